@@ -105,24 +105,24 @@ def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column
     return work.select(*df.columns, *[e.alias(n) for n, e in out.items()])
 
 
-def values_at_ranks(df: DataFrame, keys: Sequence[str], value: str,
+def counted_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """`keys, value, cnt`: equal values folded, so that only distinct ones travel."""
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
+        F.count(F.lit(1)).alias("cnt"))
+
+
+def values_at_ranks(counted: DataFrame, keys: Sequence[str], value: str,
                     ranks: dict[str, Column]) -> DataFrame:
     """Exact order statistics: one row per key with `n` and the values at the given 1-based ranks.
 
-    `ranks` are expressions over the column `n`. Equal values are counted first, so that only
-    distinct values travel. Their bands are counted next; a rank names one band, and only the
-    values of that band are ordered.
+    Takes the output of `counted_values`. `ranks` are expressions over the column `n`. A running
+    count over bands of the value range finds each rank; no key is sorted in one task.
     """
-    counted = (
-        df.where(F.col(value).isNotNull()).groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_cnt"))
-    )
-    run = carry(counted, keys, [value], value_band(value), sums={"_upto": F.col("_cnt")})
-    total = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"))
+    run = carry(counted, keys, [value], value_band(value), sums={"_upto": F.col("cnt")})
+    total = counted.groupBy(*keys).agg(F.sum("cnt").alias("n"))
     joined = run.join(total, list(keys))
     hit = {
-        name: F.when((r > F.col("_upto") - F.col("_cnt")) & (r <= F.col("_upto")), F.col(value))
+        name: F.when((r > F.col("_upto") - F.col("cnt")) & (r <= F.col("_upto")), F.col(value))
         for name, r in ranks.items()
     }
     return joined.groupBy(*keys).agg(

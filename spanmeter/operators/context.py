@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import any_glob, glob, lng, nonneg, to_ms
 from ..functions.ordered import top_k
+from ..session import settle
 from ..sources.readers import TraceTables
 
 
@@ -140,8 +141,8 @@ def clip_states(t: TraceTables, proc: DataFrame, win: DataFrame) -> DataFrame:
 class TraceContext:
     """Everything a detector reads, for every trace at once.
 
-    `proc` and `window` hold one row per trace, and every view joins them. They are cached, as
-    the bounds are needed before anything else; a lost block is computed again from its lineage.
+    `proc` and `window` hold one row per trace, and every view joins them. They are written out
+    once, as the bounds are needed before anything else.
     """
 
     tables: TraceTables
@@ -161,15 +162,15 @@ class TraceContext:
         return self
 
     def release(self) -> None:
-        for df in (self.slice_win, self.tstate_win, self.window, self.proc):
+        for df in (self.slice_win, self.tstate_win):
             df.unpersist()
 
 
 def build_context(t: TraceTables, process: str, start: str | None = None,
                   end: str | None = None) -> TraceContext:
-    proc = resolve_process(t, process).persist()
+    proc = settle(resolve_process(t, process))
     spans = process_spans(t, proc)
-    win = scenario_window(spans, start, end).persist()
+    win = settle(scenario_window(spans, start, end))
     return TraceContext(t, proc, spans, win, clip_spans(spans, win), clip_states(t, proc, win),
                         process, start, end)
 
@@ -177,7 +178,7 @@ def build_context(t: TraceTables, process: str, start: str | None = None,
 def window_info(ctx: TraceContext) -> DataFrame:
     """One row per trace: bounds, duration, process, anchor evidence, number of alternatives."""
     hits = anchor_hits(ctx.spans, ctx.start, ctx.end)
-    others = slices_per_process(ctx.tables, ctx.process_glob).groupBy("trace_id").agg(
+    others = ctx.tables.process.where(glob("name", ctx.process_glob)).groupBy("trace_id").agg(
         (F.count(F.lit(1)) - 1).alias("process_alternatives"))
     p = ctx.proc.select("trace_id", F.col("name").alias("process"), "pid")
     return (

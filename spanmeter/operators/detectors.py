@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import any_glob, glob, int_div, lng, ms_text, nonneg, ns, tenths_text, to_ms
-from ..functions.ordered import top_k, values_at_ranks
+from ..functions.ordered import counted_values, top_k, values_at_ranks
+from ..session import settle
 from .context import TraceContext
 from .intervals import intersect_intervals, islands
 
@@ -34,7 +35,7 @@ def _finding(df: DataFrame, detector: str, rank_by: str, limit: int | None,
     return best.select("trace_id", *cols)
 
 
-def _spans(extra: Column | None = None) -> list[Column]:
+def _spans() -> list[Column]:
     return [F.count(F.lit(1)).alias("count"), F.sum("dur").alias("_sum"),
             F.max("dur").alias("_max")]
 
@@ -74,11 +75,11 @@ def main_thread_outlier(ctx: TraceContext, *, factor: float = 4, min_abs_ms: flo
     """Occurrences far above the lower median of their own name on the main thread."""
     seen = ctx.slice_win.where(F.col("is_main_thread") & (F.col("dur") > 0)).select(
         "trace_id", "name", "dur")
-    median = values_at_ranks(seen, ["trace_id", "name"], "dur",
+    # Equal durations are folded once; the baseline and the outliers both read that.
+    folded = settle(counted_values(seen, ["trace_id", "name"], "dur"))
+    median = values_at_ranks(folded, ["trace_id", "name"], "dur",
                              {"median_ns": int_div(F.col("n") + 1, lng(2))})
     median = median.where(F.col("n") >= min_occurrences)
-    # Equal durations are folded before the join with the baseline.
-    folded = seen.groupBy("trace_id", "name", "dur").agg(F.count(F.lit(1)).alias("_cnt"))
     far = (
         folded.join(median, ["trace_id", "name"])
         .where((F.col("dur") >= F.col("median_ns") * F.lit(factor))
@@ -87,7 +88,7 @@ def main_thread_outlier(ctx: TraceContext, *, factor: float = 4, min_abs_ms: flo
     worst = int_div(F.col("_max") * 20 + F.col("median_ns"), F.col("median_ns") * 2)
     rows = (
         far.groupBy("trace_id", F.col("name").alias("location"), "n", "median_ns")
-        .agg(F.sum("_cnt").alias("count"), F.sum(F.col("dur") * F.col("_cnt")).alias("_sum"),
+        .agg(F.sum("cnt").alias("count"), F.sum(F.col("dur") * F.col("cnt")).alias("_sum"),
              F.max("dur").alias("_max"))
         .withColumns({**_totals(), "detail": F.concat(
             F.lit("median "), ms_text("median_ns"), F.lit(" ms of "), F.col("n").cast("string"),
@@ -243,7 +244,8 @@ def stalls(ctx: TraceContext, min_stall_ms: float, max_gap_ms: float) -> DataFra
         "trace_id", "ts", (F.col("ts") + F.col("dur")).alias("te"),
         F.lit(None).cast("string").alias("span"), F.lit(None).cast("long").alias("slice_id"),
         "state")
-    marked = islands(spans.unionByName(states), ["trace_id"], ns(max_gap_ms))
+    busy = settle(spans.unionByName(states))
+    marked = settle(islands(busy, ["trace_id"], ns(max_gap_ms)))
     length = F.col("te") - F.col("ts")
     longest = F.struct(length, -F.col("slice_id"))
     per = (

@@ -1,8 +1,11 @@
-"""Session settings the plans rely on."""
+"""Session settings the plans rely on, and intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME = {
     # Trace times are integers; log times compare as UTC.
@@ -18,3 +21,29 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor sees: the one the cluster names, else (local runs) a fresh one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spanmeter-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Writes an intermediate result once and reads it back.
+
+    For a table several later steps read: it is computed a single time, its lineage ends, its
+    true size is known to the optimizer, and it outlives any executor.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/spanmeter-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
