@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 
-MODULES = ["traces"]
+MODULES = ["traces", "reports"]
 
 
 def _entries() -> dict:
