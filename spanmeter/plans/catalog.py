@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 
-MODULES = ["traces", "reports"]
+MODULES = ["traces", "reports", "inventories", "dumpset"]
 
 
 def _entries() -> dict:
