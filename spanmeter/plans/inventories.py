@@ -11,7 +11,7 @@ from .bridge import trace_tables
 from .sqltext import big, bridge, family, ms, with_
 from .traces import PROCESS
 
-MASKS = [("gc_pressure", "name", "*3"), ("gc_pressure", "name", "signup*"),
+MASKS = [("gc_pressure", "name", "signup 3"), ("gc_pressure", "name", "signup 1"),
          ("binder_txn", "name", "purchase*"), ("binder_txn", "skip", "*2*"),
          ("monitor_contention", "thread", "worker-19")]
 BUCKETS = [("Signups", ["signup", "sign"]), ("Money", ["purchase", "error"]), ("Looks", ["view"])]
@@ -40,7 +40,7 @@ named AS (SELECT trace_id, name, thread_name AS thread, count(*) AS n,
 
 _COVER_SQL = """
 hits AS (
-  SELECT trace_id, name, bool_or(name GLOB '*3' OR name GLOB 'signup*') AS gc,
+  SELECT trace_id, name, bool_or(name IN ('signup 3', 'signup 1')) AS gc,
          bool_or(name GLOB 'purchase*') AS bi, bool_or(name GLOB '*2*') AS bs,
          bool_or(thread GLOB 'worker-19') AS mo
   FROM named GROUP BY trace_id, name),

@@ -196,6 +196,13 @@ def _overlap(spark, sf):
         "pair_id", "detector", "location", "detail", "change", "overlap")
 
 
+def _worst_only(spark, sf):
+    """Only the worst row of each detector and side, so that most names differ between the sides."""
+    rows = rep.ranked(merged(spark, sf), limit=1).drop("place")
+    before, after = _sides(settle(rows))
+    return cmp.classify_changes(cmp.pair_rows(before, after)).drop("a", "b")
+
+
 def _flat_changes(spark, sf):
     return changes(spark, sf).drop("a", "b")
 
@@ -430,9 +437,12 @@ QUERIES = {
         SELECT pair_id, detector, matched_by, {big('count(*)')} AS pairs,
                {big('count(*) FILTER (hb)')} AS with_before, {big('count(*) FILTER (ha)')} AS with_after
         FROM changes GROUP BY pair_id, detector, matched_by""", PAIRS_SQL)),
-    "compare_family": (
-        lambda s, d: _flat_changes(s, d).where("matched_by = 'family'"),
-        _q("SELECT * EXCLUDE (hb, ha) FROM changes WHERE matched_by = 'family'", PAIRS_SQL)),
+    "compare_family": (_worst_only, _q(
+        "SELECT * EXCLUDE (hb, ha) FROM changes", """
+        worst AS (SELECT * FROM (SELECT *, row_number() OVER (
+                    PARTITION BY scenario_id, detector
+                    ORDER BY coalesce(self_ms, total_ms, 0) DESC, location, detail) AS rk
+                  FROM merged) WHERE rk = 1)""", PAIRS_SQL.replace("FROM merged", "FROM worst"))),
     "compare_changes": (_flat_changes, _q("SELECT * EXCLUDE (hb, ha) FROM changes", PAIRS_SQL)),
     "compare_overlap": (_overlap, _q("""
         SELECT c.pair_id, c.detector, c.location, c.detail, c.change,
