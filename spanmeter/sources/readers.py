@@ -133,7 +133,7 @@ def load_transcripts(spark: SparkSession, path: str) -> DataFrame:
 def load_dumps(spark: SparkSession, path: str) -> DataFrame:
     """Text thread dumps as numbered lines: `dump_id, line_no, line`."""
     files = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path)
+        spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("dump_id"), F.col("value").alias("text"))
     )
     return text_lines(files, "dump_id", "text")
@@ -165,8 +165,8 @@ def load_corpus(spark: SparkSession, root: str, skip_dirs: list[str] = SKIP_DIRS
     """Source files below `root` as `path` (relative) and `text`."""
     prefix = root.rstrip("/") + "/"
     files = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{kt,java}").text(root)
+        spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.{kt,java}").text(root, wholetext=True)
         .select(F.regexp_replace(F.col("_metadata.file_path"), r"^file:/+", "/").alias("_p"),
                 F.col("value").alias("text"))
         .select(F.when(F.col("_p").startswith(prefix), F.substring("_p", len(prefix) + 1, 1 << 20))
