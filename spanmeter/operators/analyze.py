@@ -21,16 +21,13 @@ def analyze(t: TraceTables, process: str, start: str | None = None, end: str | N
             config_sha: str | None = None) -> Report:
     """One report per scenario. `scenarios(trace_id, scenario_id, repeat_no)`; without it every
     trace is a scenario of its own."""
-    ctx = build_context(t, process, start, end).persist()
-    try:
-        if scenarios is None:
-            scenarios = ctx.window.select("trace_id", F.col("trace_id").alias("scenario_id"),
-                                          F.lit(1).alias("repeat_no"))
-        done = run_detectors(ctx, names, overrides)
-        merged = settle(merge_repeats(settle(done.findings), scenarios))
-        heads = settle(_headers(ctx, scenarios, config_sha, overrides is None))
-    finally:
-        ctx.release()
+    ctx = build_context(t, process, start, end).settled()
+    if scenarios is None:
+        scenarios = ctx.window.select("trace_id", F.col("trace_id").alias("scenario_id"),
+                                      F.lit(1).alias("repeat_no"))
+    done = run_detectors(ctx, names, overrides)
+    merged = settle(merge_repeats(settle(done.findings), scenarios))
+    heads = settle(_headers(ctx, scenarios, config_sha, overrides is None))
     spark = merged.sparkSession
     plan = spark.createDataFrame(
         [(r["detector"], r["params"], r["params_source"], r["error"]) for r in done.runs],

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -155,15 +155,10 @@ class TraceContext:
     start: str | None
     end: str | None
 
-    def persist(self) -> TraceContext:
-        """Caches the clipped views, which every detector reads. Call `release` afterwards."""
-        for df in (self.slice_win, self.tstate_win):
-            df.persist()
-        return self
-
-    def release(self) -> None:
-        for df in (self.slice_win, self.tstate_win):
-            df.unpersist()
+    def settled(self) -> TraceContext:
+        """The same context with its clipped views written out once, for when several detectors
+        read them: ten scans and joins of the span table become one."""
+        return replace(self, slice_win=settle(self.slice_win), tstate_win=settle(self.tstate_win))
 
 
 def build_context(t: TraceTables, process: str, start: str | None = None,

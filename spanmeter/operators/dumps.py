@@ -146,7 +146,10 @@ def segment_threads(lines: DataFrame) -> DataFrame:
     flush = _by_producer(lambda p: ~F.col("line").rlike(r"^\s") if p.indented else F.lit(False))
     ends = ~F.col("is_sig") & (flush | block | (named != "") | entry)
     at = F.col("line_no").cast("long")
-    d = d.withColumns({"is_entry": ~F.col("is_sig") & entry, "_ends": ends})
+    # The expressions above are the costly part, and the ordered pass reads its input twice.
+    d = settle(d.withColumns({"is_entry": ~F.col("is_sig") & entry, "_ends": ends,
+                              "_block": block, "_cmd": named}))
+    block, named = F.col("_block"), F.col("_cmd")
     d = carry(d, ["dump_id"], ["line_no"], line_cell(),
               sums={"thread_no": F.when(F.col("is_sig"), lng(1)).otherwise(lng(0))},
               maxes={"_sig": F.when(F.col("is_sig"), at), "_end": F.when(F.col("_ends"), at),

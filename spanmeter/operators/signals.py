@@ -7,7 +7,7 @@ session; one whose source table a session does not carry gives `skip`, never `ok
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import lng
 from ..functions.ordered import LOG_CELL_US, carry, time_cell
+from ..session import settle
 from . import sessions as ss
 
 SEVERITY = ["warn", "info", "ok", "skip"]
@@ -333,6 +334,8 @@ NEEDS = {"entry_fumbling": "turns", "agent_prompt_gaps": "subagents",
 def run_signals(t: SessionTables, names: Sequence[str] | None = None) -> DataFrame:
     """All rules as one union. A rule which lacks its table, fails to plan, or meets a session
     without the tool calls it needs gives `skip` for that session."""
+    # Every rule reads the calls, and half of them the invocations.
+    t = replace(t, calls=settle(t.calls), invoked=settle(t.invoked))
     everyone = t.calls.select("session_id").distinct()
     out = None
     for name in names or SIGNALS:

@@ -42,7 +42,7 @@ def _traces(window: DataFrame) -> DataFrame:
 
 
 def sample(spark: SparkSession, sf: str) -> Sample:
-    c = ctx(spark, sf)
+    c = ctx(spark, sf).settled()
     found = run_detectors(c, names=NAMES, overrides={n: PARAMS[n] for n in NAMES}).findings
     return Sample(settle(found), _traces(c.window), c.window)
 
@@ -290,7 +290,7 @@ _GLOBS = {d: {k: v for k, v in PARAMS[d].items()
 
 
 def _thresholds(spark, sf):
-    return cal.propose_thresholds(_calibrate_ctx(spark, sf), params=_GLOBS)
+    return cal.propose_thresholds(_calibrate_ctx(spark, sf).settled(), params=_GLOBS)
 
 
 def _measured_sql() -> str:

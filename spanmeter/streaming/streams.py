@@ -53,16 +53,18 @@ def stream_failures(log: DataFrame, window: str = "10 minutes") -> DataFrame:
 
 def stream_findings(spark: SparkSession, arrivals: str, traces: str, out: str, checkpoint: str,
                     process: str, start: str | None = None, end: str | None = None,
-                    detectors: list[str] | None = None,
+                    detectors: list[str] | None = None, max_traces: int = 1000,
                     trigger: Callable | None = None) -> StreamingQuery:
     """Runs the batch detectors on every trace which has arrived whole.
 
     `arrivals` is a folder of JSON notes `{"trace_id": …}`, one written after a trace's tables are
-    complete under `traces/<table>/trace_id=…`. Only the noted traces are read (directories are
+    complete under `traces/<table>/trace_id=…`; a batch takes at most `max_traces` notes, the rest
+    follow in the next. Only the noted traces are read (directories are
     pruned), so there is no state across batches. A batch writes to its own folder
     `out/batch=<id>`, replaced when the batch is run again: findings land exactly once.
     """
-    notes = spark.readStream.schema("trace_id string").json(arrivals)
+    notes = spark.readStream.schema("trace_id string").option(
+        "maxFilesPerTrigger", max_traces).json(arrivals)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # The names of the newly arrived traces: one short string per trace of this batch.
@@ -70,7 +72,7 @@ def stream_findings(spark: SparkSession, arrivals: str, traces: str, out: str, c
         if not ids:
             return
         t = load_traces(batch.sparkSession, traces).where_traces(ids)
-        ctx = build_context(t, process, start, end)
+        ctx = build_context(t, process, start, end).settled()
         run_detectors(ctx, detectors).findings.write.mode("overwrite").parquet(
             f"{out}/batch={batch_id}")
 

@@ -16,7 +16,7 @@ TRACES = ("t1", "t2", "t3")
 @pytest.fixture(scope="module")
 def ctx(spark):
     return cx.build_context(tables(spark, TRACES), "com.example.app*", "AppStart",
-                            "Screen.firstFrame").persist()
+                            "Screen.firstFrame").settled()
 
 
 @pytest.fixture(scope="module")
