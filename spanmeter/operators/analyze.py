@@ -28,15 +28,20 @@ def analyze(t: TraceTables, process: str, start: str | None = None, end: str | N
     done = run_detectors(ctx, names, overrides)
     merged = settle(merge_repeats(settle(done.findings), scenarios))
     heads = settle(_headers(ctx, scenarios, config_sha, overrides is None))
-    spark = merged.sparkSession
-    plan = spark.createDataFrame(
-        [(r["detector"], r["params"], r["params_source"], r["error"]) for r in done.runs],
-        "detector string, params map<string,string>, params_source string, error string")
-    runs = heads.select("report_id").join(F.broadcast(plan))  # one row per detector, fixed
+    plan = F.array(*[F.struct(
+        F.lit(r["detector"]).alias("detector"), _literal_map(r["params"]).alias("params"),
+        F.lit(r["params_source"]).alias("params_source"),
+        F.lit(r["error"]).cast("string").alias("error")) for r in done.runs])
+    runs = heads.select("report_id", F.explode(plan).alias("_d")).select("report_id", "_d.*")
     finding = merged.withColumnRenamed("scenario_id", "report_id")
     return Report(heads, runs, finding)
 
 
+def _literal_map(d: Mapping[str, str]):
+    pairs = [F.lit(x) for kv in d.items() for x in kv]
+    return (F.create_map(*pairs) if pairs else F.create_map()).cast("map<string,string>")
+
+
 def _headers(ctx, scenarios: DataFrame, config_sha: str | None, defaults: bool) -> DataFrame:
     info = window_info(ctx).join(scenarios, "trace_id")
     first = info.groupBy("scenario_id").agg(

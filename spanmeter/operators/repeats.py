@@ -128,11 +128,10 @@ def merge_windows(win: DataFrame, traces: DataFrame, by: str = "scenario_id",
 def report_summary(findings: DataFrame, runs: DataFrame, catalogue: list[str],
                    by: str = "report_id") -> DataFrame:
     """Per report and detector of the catalogue: `fired`, `silent` or `absent`, with row counts."""
-    spark = runs.sparkSession
-    all_ids = spark.createDataFrame([(d,) for d in catalogue], "detector string")
     counts = findings.groupBy(by, "detector").agg(F.count(F.lit(1)).alias("_n"))
     ran = runs.select(by, "detector").distinct().withColumn("_ran", F.lit(True))
-    grid = runs.select(by).distinct().join(F.broadcast(all_ids))  # ten ids, fixed
+    grid = runs.select(by).distinct().select(by, F.explode(F.array(*[
+        F.lit(d) for d in catalogue])).alias("detector"))
     grid = grid.unionByName(ran.select(by, "detector")).distinct()
     return (
         grid.join(ran, [by, "detector"], "left").join(counts, [by, "detector"], "left")
