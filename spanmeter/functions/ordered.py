@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .exprs import int_div, lng
 
-TRACE_CELL_NS = 10_000_000_000       # ten seconds of recording
-LOG_CELL_US = 3_600_000_000          # one hour of a log
+# Small enough that a burst stays a task's worth of rows, large enough that a key's summary does:
+# a day of recording has 864 000 cells, a year of log 525 600.
+TRACE_CELL_NS = 100_000_000          # a tenth of a second of recording
+LOG_CELL_US = 60_000_000             # one minute of a log
 LINE_CELL = 50_000                   # lines of one text
 BANDS_PER_OCTAVE = 256               # bands of a value range, for order statistics
 

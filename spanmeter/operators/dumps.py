@@ -189,10 +189,9 @@ def dump_frames(seg: DataFrame) -> DataFrame:
     rows = _body(seg).withColumns({
         "kind": F.when(java != "", "java").when(native, "native"),
         "frame": F.when(java != "", java).otherwise(F.trim("text"))}).where("kind is not null")
-    # One stack is at most a few hundred lines.
-    pos = Window.partitionBy("dump_id", "thread_no", "kind").orderBy("line_no")
-    return rows.select("dump_id", "thread_no", "kind", F.row_number().over(pos).alias("pos"),
-                       "frame")
+    rows = carry(rows.select("dump_id", "thread_no", "kind", "line_no", "frame"),
+                 ["dump_id", "thread_no", "kind"], ["line_no"], line_cell(), sums={"pos": lng(1)})
+    return rows.select("dump_id", "thread_no", "kind", F.col("pos").cast("int").alias("pos"), "frame")
 
 
 def dump_locks(seg: DataFrame) -> DataFrame:
@@ -226,14 +225,18 @@ def _is_header(c: str = "text") -> Column:
             & ~t.rlike(LOAD))
 
 
-def dump_headers(seg: DataFrame) -> DataFrame:
-    """`dump_id, head`: the `Key: value` lines above the threads; a later line wins."""
+def dump_header_fields(seg: DataFrame) -> DataFrame:
+    """`dump_id, key, value`: the `Key: value` lines above the threads; a later line wins."""
     rows = _before_threads(seg).where(_is_header()).select(
         "dump_id", "line_no", F.trim(F.regexp_extract("text", HEADER, 1)).alias("key"),
         F.trim(F.regexp_extract("text", HEADER, 2)).alias("value"))
-    last = rows.groupBy("dump_id", "key").agg(F.max_by("value", "line_no").alias("value"))
-    # A header is a page of fields at most.
-    return last.groupBy("dump_id").agg(
+    return rows.groupBy("dump_id", "key").agg(F.max_by("value", "line_no").alias("value"))
+
+
+def dump_headers(fields: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """`dump_id, head`: the header of a dump as a map, of the named fields or all of them."""
+    kept = fields if keys is None else fields.where(F.col("key").isin(list(keys)))
+    return kept.groupBy("dump_id").agg(
         F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("head"))
 
 
@@ -263,14 +266,15 @@ def unread_lines(seg: DataFrame) -> DataFrame:
                                       F.count_if(after).alias("skipped"))
 
 
-def dump_package(headers: DataFrame) -> DataFrame:
-    """The application a dump is about: first word of Application, Process or Package."""
-    value = F.coalesce(*[F.nullif(F.element_at("head", k), F.lit(""))
-                         for k in ("Application", "Process", "Package")])
-    return headers.select(
-        "dump_id", F.split(value, r"\s+")[0].alias("package"),
-        F.coalesce(F.nullif(F.element_at("head", "Subject"), F.lit("")),
-                   F.element_at("head", "Reason")).alias("reason"))
+def dump_package(fields: DataFrame) -> DataFrame:
+    """The application a dump is about (first word of Application, Process or Package) and why the
+    system wrote it."""
+    def field(name: str) -> Column:
+        return F.max(F.when((F.col("key") == name) & (F.col("value") != ""), F.col("value")))
+    value = F.coalesce(*[field(k) for k in ("Application", "Process", "Package")])
+    return fields.groupBy("dump_id").agg(
+        F.split(value, r"\s+")[0].alias("package"),
+        F.coalesce(field("Subject"), field("Reason")).alias("reason"))
 
 
 def scope_process(threads: DataFrame, packages: DataFrame) -> DataFrame:
@@ -342,32 +346,36 @@ def own_frames(frames: DataFrame, packages: DataFrame | None = None,
 def shown_frames(frames: DataFrame, own: DataFrame, limit: int = 8) -> DataFrame:
     """Frames worth printing per thread: the top one, the one where the app called into a library,
     and both ends of the app's own frames: `dump_id, thread_no, place, frame`.
+
+    Only the frames which can be shown are gathered, a dozen of a thread, however deep its stack.
     """
     keys = ["dump_id", "thread_no"]
-    # A stack is one small array; everything below is array work on it.
-    def stack(df, name):
+    java = frames.where("kind = 'java'")
+    top = frames.where("pos <= 3").groupBy(*keys).agg(
+        F.max(F.when((F.col("kind") == "java") & (F.col("pos") == 1), F.col("frame"))).alias("_j"),
+        *[F.max(F.when((F.col("kind") == "native") & (F.col("pos") == i), F.col("frame")))
+          .alias(f"_n{i}") for i in (1, 2, 3)]).withColumn("top", F.coalesce("_j", "_n1"))
+    mine = settle(own.select(*keys, "pos", "frame").join(top.select(*keys, "top"), keys).where(
+        F.col("frame") != F.col("top")).drop("top"))
+
+    def pick(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(
             F.struct("pos", "frame"))), lambda s: s["frame"]).alias(name))
-    java = stack(frames.where("kind = 'java'"), "java")
-    native = stack(frames.where("kind = 'native'"), "nat")
-    mine = stack(own, "own")
-    d = frames.select(*keys).distinct().join(java, keys, "left").join(native, keys, "left") \
-        .join(mine, keys, "left")
-    empty = F.array().cast("array<string>")
-    d = d.select(*keys, *[F.coalesce(c, empty).alias(c) for c in ("java", "nat", "own")])
-    d = d.withColumn("top", F.coalesce(F.get("java", F.lit(0)), F.get("nat", F.lit(0))))
-    d = d.withColumn("own", F.filter("own", lambda f: f != F.col("top")))
-    edge = F.array_position("java", F.get("own", F.lit(0))).cast("int") - 1
-    before = F.when(edge > 0, F.get("java", edge - 1))
-    head = F.when(before.isNotNull() & (before != F.col("top")), F.array(F.col("top"), before)) \
-        .otherwise(F.array("top"))
+    first = pick(top_k(mine, keys, [F.col("pos")], limit), "_first")
+    last = pick(top_k(mine, keys, [F.col("pos").desc()], 2), "_last")
+    size = mine.groupBy(*keys).agg(F.count(F.lit(1)).alias("_own"), F.min("pos").alias("_edge"))
+    before = java.join(size.select(*keys, (F.col("_edge") - 1).alias("pos")), [*keys, "pos"]).select(
+        *keys, F.col("frame").alias("_before"))
+    d = top.join(size, keys, "left").join(first, keys, "left").join(last, keys, "left").join(
+        before, keys, "left")
+    head = F.when(F.col("_before") != F.col("top"), F.array("top", "_before")).otherwise(F.array("top"))
     d = d.withColumn("head", head)
     room = F.lit(limit) - F.size("head")
-    ends = F.concat(F.slice("own", F.lit(1), F.greatest(room - 3, F.lit(1))),
-                    F.array(F.lit("…")), F.slice("own", -2, 2))
-    kept = F.when(F.size("own") > room, ends).otherwise(F.col("own"))
-    out = F.when(F.size("own") > 0, F.concat("head", kept)).when(
-        F.size("head") == 1, F.concat("head", F.slice("nat", 2, 2))).otherwise(F.col("head"))
+    ends = F.concat(F.slice("_first", F.lit(1), F.greatest(room - 3, F.lit(1))),
+                    F.array(F.lit("…")), F.col("_last"))
+    out = (F.when(F.col("_own") > room, F.concat("head", ends))
+           .when(F.col("_own") > 0, F.concat("head", "_first"))
+           .otherwise(F.array_compact(F.array("top", "_n2", "_n3"))))
     return d.select(*keys, F.posexplode(out).alias("place", "frame")).withColumn(
         "place", F.col("place") + 1)
 

@@ -80,7 +80,7 @@ class Parsed:
         self.locks = settle(dm.dump_locks(self.seg))
 
     def packages(self):
-        return dm.dump_package(dm.dump_headers(self.seg))
+        return dm.dump_package(dm.dump_header_fields(self.seg))
 
 
 def source_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,7 +179,7 @@ def _shown(s, d):
 
 
 def _head(s, d):
-    return dm.dump_package(dm.dump_headers(dm.segment_threads(dump_lines(s, d))))
+    return dm.dump_package(dm.dump_header_fields(dm.segment_threads(dump_lines(s, d))))
 
 
 BASE_SQL = """

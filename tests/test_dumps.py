@@ -116,8 +116,9 @@ def parse(spark, **texts):
 def test_export(spark):
     seg, threads, frames, locks = parse(spark, e=EXPORT)
     assert threads.count() == 8
-    head = dm.dump_package(dm.dump_headers(seg)).first()
+    head = dm.dump_package(dm.dump_header_fields(seg)).first()
     assert head.package == "com.acme.app"
+    assert dm.dump_headers(dm.dump_header_fields(seg), ["Platform"]).first().head == {"Platform": "android"}
     idle = {r.tid: r.idle for r in dm.idle_reason(threads, frames).collect()}
     assert idle == {"1": None, "7": None, "12": None, "20": "pool waiting for work",
                     "21": "coroutine worker parked", "22": "runtime daemon",
@@ -131,7 +132,7 @@ def test_export(spark):
     assert dm.unread_lines(seg).first().unread == 1
     s = dm.dump_summary(threads, dm.idle_reason(threads, frames), lk.lock_groups(locks, threads)).first()
     assert (s.threads, s.working, s.idle, s.chains) == (8, 3, 5, 1)
-    own = dm.own_frames(frames, dm.dump_package(dm.dump_headers(seg)))
+    own = dm.own_frames(frames, dm.dump_package(dm.dump_header_fields(seg)))
     shown = {}
     for r in dm.shown_frames(frames, own).orderBy("place").collect():
         shown.setdefault(r.thread_no, []).append(r.frame)
@@ -145,9 +146,9 @@ def test_export(spark):
 
 def test_device_record(spark):
     seg, threads, frames, locks = parse(spark, r=RECORD)
-    head = dm.dump_package(dm.dump_headers(seg)).first()
+    head = dm.dump_package(dm.dump_header_fields(seg)).first()
     assert (head.package, head.reason) == ("com.acme.app", "Input dispatching timed out")
-    kept = dm.scope_process(threads, dm.dump_package(dm.dump_headers(seg))).collect()
+    kept = dm.scope_process(threads, dm.dump_package(dm.dump_header_fields(seg))).collect()
     assert sorted((r.name, r.state, r.elsewhere) for r in kept) == [
         ("fresh", "native", 1), ("holder", "timed waiting", 1), ("main", "blocked", 1)]
     assert {r.name: r.systid for r in kept}["holder"] == "107"
@@ -232,6 +233,22 @@ def test_dump_files_are_read_as_numbered_lines(spark, tmp_path):
     assert [(r.line_no, r.line) for r in rows] == [(1, "one"), (2, "two"), (3, ""), (4, "four")]
 
 
+def test_deep_stacks_show_both_ends(spark):
+    own = "".join(f"       at com.acme.Own.f{i}(Own.kt:{i})\n" for i in range(12))
+    text = ("deep (runnable):tid=1 systid=1\n       at java.lang.Object.wait(Native method)\n"
+            "       at okhttp3.Call.run(Call.kt:1)\n" + own + "\n"
+            "bare (native):tid=2 systid=2\n#00 pc 0x1 a.so\n#01 pc 0x2 b.so\n#02 pc 0x3 c.so\n#03 pc 0x4 d.so\n")
+    _, _, frames, _ = parse(spark, x=text)
+    got = {}
+    for r in dm.shown_frames(frames, dm.own_frames(frames)).orderBy("place").collect():
+        got.setdefault(r.thread_no, []).append(r.frame)
+    assert got[1] == ["java.lang.Object.wait(Native method)", "okhttp3.Call.run(Call.kt:1)",
+                      "com.acme.Own.f0(Own.kt:0)", "com.acme.Own.f1(Own.kt:1)",
+                      "com.acme.Own.f2(Own.kt:2)", "…", "com.acme.Own.f10(Own.kt:10)",
+                      "com.acme.Own.f11(Own.kt:11)"]
+    assert got[2] == ["#00 pc 0x1 a.so", "#01 pc 0x2 b.so", "#02 pc 0x3 c.so"]
+
+
 def test_ranking(spark):
     seg, threads, frames, locks = parse(spark, e=EXPORT)
     idle = dm.idle_reason(threads, frames)
