@@ -14,6 +14,10 @@ from .sqltext import big, with_
 PATTERNS = cp.SitePatterns(
     qualified=r'<a href="([^"]*)"', bare=r"<li>([a-zA-Z]+)", bare_import=r"<script",
     dynamic=r"<img ", method=r"<h[1-6]>([a-zA-Z]+)", symbol=r"<(p|div)>([a-zA-Z]+)")
+# A rare link as the only tracing call, so that some modules have none.
+RARE = cp.SitePatterns(
+    qualified=r'<a href="(/In[^"]*)"', bare=r"<rare>(x)", bare_import=r"<script",
+    dynamic=r"<img ", method=PATTERNS.method, symbol=PATTERNS.symbol)
 INVENTORY = [("links", r"<a "), ("lists", r"<li>"), ("images", r"<img "), ("scripts", r"<script")]
 
 
@@ -39,8 +43,9 @@ def dirs(spark: SparkSession, sf: str) -> DataFrame:
     return cp.build_dirs(table(spark, sf, "pages").select(built.alias("path")))
 
 
-def _stats(s, d):
-    return cp.module_stats(lines(s, d), cp.file_modules(files(s, d), dirs(s, d)))
+def _stats(s, d, patterns=PATTERNS):
+    return cp.module_stats(cp.site_lines(files(s, d), patterns),
+                           cp.file_modules(files(s, d), dirs(s, d)))
 
 
 def _map(s, d):
@@ -115,8 +120,9 @@ QUERIES = {
         FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path, line_no, pos) AS rk
               FROM sites) GROUP BY name""")),
     "uninstrumented_modules": (
-        lambda s, d: cp.bare_modules(_stats(s, d)),
-        _q("SELECT * FROM stats WHERE sites = 0 ORDER BY lines DESC, module LIMIT 12", _STATS_SQL)),
+        lambda s, d: cp.bare_modules(_stats(s, d, RARE)),
+        _q("SELECT * FROM stats WHERE sites = 0 ORDER BY lines DESC, module LIMIT 12",
+           _STATS_SQL.replace("len(names)", """len(regexp_extract_all(line, '<a href="(/In[^"]*)"', 1))"""))),
     "leftover_markers": (
         lambda s, d: cp.leftover_markers(files(s, d), "<p", "</p>"),
         _q(f"""SELECT path, {big('count(*)')} AS markers,
