@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NS_PER_MS = 1_000_000
+# Stands in for a NULL name inside join keys, where NULL would match nothing.
+NO_NAME = "\u0000"
 
 
 def col(c: Column | str) -> Column:
@@ -69,6 +71,15 @@ def family(c: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(c), r"0x[0-9a-fA-F]+", "0x#"), r"\d+", "#")
 
 
+def as_key(c: Column | str) -> Column:
+    """A name which can be joined on; `from_key` gives the NULL back."""
+    return F.coalesce(col(c), F.lit(NO_NAME))
+
+
+def from_key(c: Column | str) -> Column:
+    return F.nullif(col(c), F.lit(NO_NAME))
+
+
 def nonneg(c: Column | str) -> Column:
     """SQL two-argument MAX(x, 0): NULL stays NULL."""
     c = col(c)

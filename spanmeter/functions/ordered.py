@@ -62,7 +62,7 @@ def carry(df: DataFrame, keys: Sequence[str], order: Sequence[str], cell: Column
     sums / maxes                 up to and including the row
     sums_before / maxes_before   strictly before the row (0 / NULL for the first one)
     lags / leads                 the neighbouring row's value
-    `cell` must not decrease along `order`. `order` must be unique inside a key for lags and
+    Keys must not be NULL. `cell` must not decrease along `order`. `order` must be unique inside a key for lags and
     leads to be well defined.
     """
     kinds = {"sums": sums, "sums_before": sums_before, "maxes": maxes,

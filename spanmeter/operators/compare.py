@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import family, hundredths
+from ..functions.exprs import as_key, family, from_key, hundredths
 from ..session import settle
 from .detectors import identity_detail
 
@@ -24,7 +24,7 @@ def _keyed(rows: DataFrame, identity: Column | None) -> DataFrame:
     one or two rows.
     """
     named = identity_detail() if identity is None else identity
-    d = rows.withColumns({"key_location": F.col("location"),
+    d = rows.withColumns({"key_location": as_key("location"),
                           "key_detail": F.coalesce(named, F.lit(""))})
     place = Window.partitionBy(*_KEY).orderBy(
         F.col("total_ms").desc_nulls_last(), F.col("detail"))
@@ -89,7 +89,7 @@ def classify_changes(pairs: DataFrame, floor_ms: float = FLOOR_MS,
               .when(F.col("delta_ms") > 0, "grew").otherwise("shrank"))
     detail = F.when(F.col("key_detail") != "", F.col("key_detail"))
     return d.select(
-        "pair_id", "detector", F.col("key_location").alias("location"), detail.alias("detail"),
+        "pair_id", "detector", from_key("key_location").alias("location"), detail.alias("detail"),
         "metric", change.alias("change"), "matched_by", "before_ms", "after_ms", "delta_ms",
         F.when(~new & ~gone & (F.col("before_ms") != 0), F.round(va / F.col("before_ms"), 2))
         .alias("ratio"), "b", "a")

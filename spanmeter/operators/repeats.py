@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import half_up_mean, hundredths, int_div, lng
+from ..functions.exprs import as_key, from_key, half_up_mean, hundredths, int_div, lng
 from ..functions.ordered import counted_values, top_k, values_at_ranks
 from ..session import settle
 from .detectors import identity_detail
@@ -21,8 +21,9 @@ def rank_metric() -> Column:
 
 def _keyed(findings: DataFrame, traces: DataFrame, by: str) -> DataFrame:
     """Findings with their scenario, repeat number and identity columns."""
-    return findings.join(traces.select("trace_id", by, "repeat_no"), "trace_id").withColumn(
-        "identity_detail", F.coalesce(identity_detail(), F.lit("")))
+    return findings.join(traces.select("trace_id", by, "repeat_no"), "trace_id").withColumns({
+        "location": as_key("location"),
+        "identity_detail": F.coalesce(identity_detail(), F.lit(""))})
 
 
 def _long(rows: DataFrame, by: str, metrics: list[str]) -> DataFrame:
@@ -51,7 +52,11 @@ def spread(findings: DataFrame, traces: DataFrame, by: str = "scenario_id") -> D
 
     The list has one number per repeat which holds the row; it is part of the report itself.
     """
-    long = _long(_keyed(findings, traces, by), by, SPREAD)
+    return _spread(_keyed(findings, traces, by), by).withColumn("location", from_key("location"))
+
+
+def _spread(rows: DataFrame, by: str) -> DataFrame:
+    long = _long(rows, by, SPREAD)
     num = F.col("v").cast("double") / F.lit(100.0)
     return long.groupBy(by, "detector", "location", "identity_detail", "metric").agg(
         F.min(num).alias("min"), F.max(num).alias("max"),
@@ -88,12 +93,12 @@ def merge_repeats(findings: DataFrame, traces: DataFrame, by: str = "scenario_id
         .join(scenario_size(traces, by), by)
     )
     several = F.col("runs_total") > 1
-    cols = [*keys[:3], F.when(F.col("identity_detail") != "", F.col("identity_detail"))
+    cols = [by, "detector", from_key("location").alias("location"), F.when(F.col("identity_detail") != "", F.col("identity_detail"))
             .otherwise(F.col("detail")).alias("detail"),
             F.when(several, F.col("runs")).alias("runs"),
             F.when(several, F.col("runs_total")).alias("runs_total"), *METRICS]
     if with_spread:
-        bands = spread(findings, traces, by).groupBy(*keys).agg(F.map_from_entries(
+        bands = _spread(rows, by).groupBy(*keys).agg(F.map_from_entries(
             F.collect_list(F.struct("metric", F.struct("min", "max", "values")))).alias("spread"))
         merged = merged.join(bands, keys, "left")
         cols.append(F.when(several, F.col("spread")).alias("spread"))

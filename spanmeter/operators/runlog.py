@@ -19,8 +19,8 @@ SLACK_S = 15
 
 
 def from_log(log: DataFrame) -> DataFrame:
-    """Run-log entries as `load_runs` reads them, with `us`."""
-    return log.withColumn("us", epoch_us("ts"))
+    """Run-log entries as `load_runs` reads them, with `us`; a run without a project has ''."""
+    return log.withColumns({"us": epoch_us("ts"), "project": F.coalesce("project", F.lit(""))})
 
 
 def sittings(runs: DataFrame, gap_s: int = GAP_S, keys: Sequence[str] = ("project",)) -> DataFrame:

@@ -47,6 +47,17 @@ def test_identity_keeps_details_apart_and_even_medians(spark):
     assert got["main thread"].total_ms == 180.0 and got["background"].runs == 1
 
 
+def test_rows_without_a_name_are_kept(spark):
+    f = findings(spark, [("t1", "frame_jank", None, None, 10.0, 1.0, "d"),
+                         ("t2", "frame_jank", None, None, 20.0, 1.0, "d")])
+    (r,) = rep.merge_repeats(f, repeats(spark, 2)).collect()
+    assert (r.location, r.total_ms, r.runs) == (None, 15.0, 2)
+    assert r.spread["total_ms"]["values"] == [10.0, 20.0]
+    assert rep.spread(f, repeats(spark, 2)).first().location is None
+    (c,) = changed(spark, [("frame_jank", None, "", 10.0)], [("frame_jank", None, "", 90.0)]).values()
+    assert (c.location, c.change, c.matched_by) == (None, "grew", "exact")
+
+
 def test_a_single_repeat_stays_as_it_is(spark):
     f = findings(spark, [("t1", "anr", "w", None, 3.5, 3.5, "d")])
     (r,) = rep.merge_repeats(f, repeats(spark, 1)).collect()
