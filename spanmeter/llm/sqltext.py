@@ -65,3 +65,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_fa
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_chars * 100 <= word_chars * 40 AS kept
 FROM base
 """
+
+NEAR_VECTORS = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0
+    AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+linked AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95),
+reach AS (
+  SELECT vec_id AS id, vec_id AS r FROM embeddings
+  UNION SELECT e.b, p.r FROM reach p JOIN linked e ON e.a = p.id WHERE p.r < e.b),
+least AS (SELECT id, min(r) AS c FROM reach GROUP BY id),
+counts AS (SELECT a AS id, count(*) AS n FROM linked GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, l.c AS component_id, e.vec_id = l.c AS kept
+FROM embeddings e JOIN least l ON l.id = e.vec_id LEFT JOIN counts n ON n.id = e.vec_id
+"""
