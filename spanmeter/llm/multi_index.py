@@ -1,12 +1,14 @@
 """Near-duplicate vectors through an inverted multi-index over the two halves of a vector.
 
 Each half has a codebook of its own, fitted on a bounded sample; the pairs of code words form the
-grid of cells. A query walks the cells outwards: both halves' code words are ordered by the least
-distance at which a vector nearer to that code word than to the query's own can lie (the distance to
-the bisecting plane), and a pair of code words is visited while the squares of the two distances stay
-within the squared distance that the cosine allows. No link can lie beyond, so the traversal reaches
-full recall; a lower `reach` trades recall for visits. What is visited is compared exactly, in double
-precision, in blocks of bounded size.
+grid of cells. A query walks the cells outwards (multi-sequence traversal): both halves' code words
+are ordered by the least distance at which a vector nearer to that code word than to the query's own
+can lie, the distance to the bisecting plane, and a pair of code words is visited while the sum of
+the two squares stays within a bound. With the whole squared distance that the cosine allows as the
+bound, no link can be missed. The target recall lowers it: of a difference without a preferred
+direction, the part across one plane of each half is a share of its squared length distributed as
+chi-square with two degrees over the dimension, whose quantile at the target is -2 ln(1 - recall).
+What is visited is compared exactly, in double precision, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from .words import mix
 
 COSINE = 0.95
 SAMPLE = 4096        # vectors which the codebooks are fitted on
-PER_CELL = 256       # vectors of an even cell, from which the size of the codebooks follows
+RECALL = 0.999       # of links just at the threshold; closer ones are missed less often
+PER_CELL = 512       # vectors of an even cell, from which the size of the codebooks follows
 MAX_WORDS = 64       # code words of a half
 BLOCK = 1024         # vectors compared with another block at a time
 
@@ -34,6 +37,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    if not len(x):
+        return x
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def fit_codebook(points: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
     """k-means with evenly picked starts; empty code words keep their place."""
     points = np.unique(points, axis=0)
@@ -96,24 +107,26 @@ def _join_labels(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tup
 
 
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                 cosine: float = COSINE, reach: float = 1.0) -> DataFrame:
+                 cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of `vectors`.
 
     Rows link at a cosine of `cosine` or more. A vector that is null, empty, zero or holds a null or
     non-finite component links with nothing, and vectors of different lengths do not link. Equal
     vectors are one class, compared once, and count as links of each other. A row without an id links
     with nothing, has no component and is not kept. Other columns are not read.
-    `reach`: share of the squared distance allowed by `cosine` up to which cells are visited.
+    A `recall` of 1 visits every cell that can hold a link.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).cast("array<double>").alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v"))
+    if dict(rows.dtypes)["v"] not in ("array<float>", "array<double>"):
+        rows = rows.select("i", F.col("v").cast("array<double>").alias("v"))
     sound = (F.col("i").isNotNull() & (F.size("v") > 0)
              & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
              & F.exists("v", lambda x: x != 0))
-    rows = settle(rows.select("i", F.when(sound, F.transform("v", lambda x: x + F.lit(0.0))).alias("v")))
+    rows = settle(rows.select("i", F.when(sound, F.col("v")).alias("v")))
     classes = settle(rows.where("v is not null").groupBy("v").agg(F.min("i").alias("id"), F.count("*").alias("m")))
     edges, counts = [], []
     for width, n in classes.groupBy(F.size("v")).count().orderBy(F.size("v")).limit(1 << 12).collect():
-        linked = settle(_links(classes.where(F.size("v") == width), n, cosine, reach))
+        linked = settle(_links(classes.where(F.size("v") == width), n, cosine, recall))
         counts.append(linked.select("id", "links"))
         edges.append(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
     empty = vectors.sparkSession.range(0)
@@ -131,25 +144,25 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(classes: DataFrame, n: int, cosine: float, reach: float) -> DataFrame:
+def _links(classes: DataFrame, n: int, cosine: float, recall: float) -> DataFrame:
     """(id, links, root): links to other classes by multiplicity, and an edge towards the component, per block."""
-    allowed = 2 * (1 - cosine) * reach + 1e-9
+    kind = np.float32 if dict(classes.dtypes)["v"] == "array<float>" else np.float64
     size = int(np.clip(np.sqrt(n / PER_CELL), 2, MAX_WORDS))
     share = min(1.0, SAMPLE / n)
     picked = classes.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= F.lit(int(share * (1 << 20)))).select("v")
     sample = picked.limit(2 * SAMPLE).toArrow()
     sample = _matrix(sample.column("v").combine_chunks()) if sample.num_rows else np.ones((1, 2))
-    sample = sample / np.linalg.norm(sample, axis=1)[:, None]
+    sample = _unit(sample)
     half = sample.shape[1] // 2
+    reach = min(1.0, -2 * np.log(1 - recall) / sample.shape[1]) if recall < 1 else 1.0
+    allowed = 2 * (1 - cosine) * reach + 1e-9
     books = fit_codebook(sample[:, :half], size), fit_codebook(sample[:, half:], size)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of role 0 for the cell of each vector, of role 1 for each cell that it visits."""
         for b in batches:
-            x = _matrix(b.column("v"))
-            # Scaled by the largest component first, so that squares neither overflow nor vanish.
-            x = x / np.abs(x).max(1, initial=0)[:, None] if len(x) else x
-            x = x / np.linalg.norm(x, axis=1)[:, None] if len(x) else x
+            raw = _matrix(b.column("v"))
+            x, raw = _unit(raw), raw.astype(kind)
             for at in range(0, len(x), 4096):
                 part = x[at:at + 4096]
                 own, r, cell = visits(part, books, allowed)
@@ -159,8 +172,8 @@ def _links(classes: DataFrame, n: int, cosine: float, reach: float) -> DataFrame
                     [pa.array(np.concatenate([own, cell])), pa.array(np.repeat([0, 1], [len(part), len(r)])),
                      pa.array(ids), pa.array(b.column("m").to_numpy()[at:at + 4096][row]),
                      pa.FixedSizeBinaryArray.from_buffers(
-                         pa.binary(8 * part.shape[1]), len(row),
-                         [None, pa.py_buffer(part[row].tobytes())]).cast(pa.binary())],
+                         pa.binary(raw.itemsize * raw.shape[1]), len(row),
+                         [None, pa.py_buffer(raw[at:at + 4096][row].tobytes())]).cast(pa.binary())],
                     ["cell", "role", "id", "m", "u"])
 
     placed = settle(classes.mapInArrow(place, "cell long, role long, id long, m long, u binary"))
@@ -170,15 +183,15 @@ def _links(classes: DataFrame, n: int, cosine: float, reach: float) -> DataFrame
         F.ceil(F.count_if(F.col("role") == 1) / BLOCK).cast("int").alias("q")).where("s > 0 and q > 0")
     here = placed.join(grid, "cell").withColumn("h", F.xxhash64("id"))
     stored = here.where("role = 0").select(
-        "cell", F.pmod("h", "s").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qb"), "id", "m", "u")
+        "cell", F.pmod("h", "s").cast("int").alias("sb"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qb"), "id", "m", "u")
     asking = here.where("role = 1").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("sb"), F.pmod("h", "q").alias("qb"), "id", "m", "u")
+        "cell", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("sb"), F.pmod("h", "q").cast("int").alias("qb"), "id", "m", "u")
     asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])  # columns of its own for the cogroup
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         def side(t: pa.Table):
             ids = t.column("id").to_numpy()
-            x = np.frombuffer(b"".join(t.column("u").to_pylist()), np.float64).reshape(len(ids), -1)
+            x = _unit(np.frombuffer(b"".join(t.column("u").to_pylist()), kind).reshape(len(ids), -1).astype(np.float64))
             order = np.argsort(ids)
             return ids[order], t.column("m").to_numpy()[order], x[order]
         out = [np.zeros(0, np.int64)] * 3
