@@ -12,6 +12,7 @@ from . import sqltext
 
 # name of the query, module and function which make it from the table, the table, its SQL
 OPERATORS = [
+    ("op1_vector_packing", "packing", "packed_documents", "documents", None),
     ("op3_line_quality", "cleaning", "line_quality", "documents", sqltext.LINE_QUALITY),
     ("op8_near_vectors", "multi_index", "near_vectors", "embeddings", sqltext.NEAR_VECTORS),
     ("op9_minhash_near_dedup", "minhash", "near_duplicates", "documents", sqltext.NEAR_DUPLICATES),
