@@ -14,6 +14,7 @@ from . import sqltext
 OPERATORS = [
     ("op1_vector_packing", "packing", "packed_documents", "documents", None),
     ("op3_line_quality", "cleaning", "line_quality", "documents", sqltext.LINE_QUALITY),
+    ("op6_huffman_files", "huffman", "coded_documents", "documents", None),
     ("op8_near_vectors", "multi_index", "near_vectors", "embeddings", sqltext.NEAR_VECTORS),
     ("op9_minhash_near_dedup", "minhash", "near_duplicates", "documents", sqltext.NEAR_DUPLICATES),
 ]
