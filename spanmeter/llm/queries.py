@@ -17,6 +17,7 @@ OPERATORS = [
     ("op6_huffman_files", "huffman", "coded_documents", "documents", None),
     ("op8_near_vectors", "multi_index", "near_vectors", "embeddings", sqltext.NEAR_VECTORS),
     ("op9_minhash_near_dedup", "minhash", "near_duplicates", "documents", sqltext.NEAR_DUPLICATES),
+    ("op10_byte_bpe", "byte_bpe", "round_trip", "documents", None),
 ]
 
 
