@@ -13,6 +13,7 @@ from . import sqltext
 # name of the query, module and function which make it from the table, the table, its SQL
 OPERATORS = [
     ("op1_vector_packing", "packing", "packed_documents", "documents", None),
+    ("op2_language", "language", "document_languages", "documents", None),
     ("op3_line_quality", "cleaning", "line_quality", "documents", sqltext.LINE_QUALITY),
     ("op6_huffman_files", "huffman", "coded_documents", "documents", None),
     ("op8_near_vectors", "multi_index", "near_vectors", "embeddings", sqltext.NEAR_VECTORS),
