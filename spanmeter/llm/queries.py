@@ -33,8 +33,14 @@ def _bound(module: str, function: str, table: str):
     return query
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import document_toxicity
+    return document_toxicity(configure(spark), read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _bound(module, function, table) for name, module, function, table, _ in OPERATORS}
+    found = {name: _bound(module, function, table) for name, module, function, table, _ in OPERATORS}
+    return found | {"op5_toxicity": _toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

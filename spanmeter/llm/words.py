@@ -88,9 +88,10 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data[lo:hi]] * p[:n], out=total[1:])
         s, e = starts[at:upto] - lo, ends[at:upto] - lo
-        out[at:upto] = (total[e] - total[s]) * p[n - s] + (e - s).astype(np.uint64) * _BASE
+        out[at:upto] = (total[e] - total[s]) * p[n - s]
         # All ranges of a piece now carry the factor BASE ** n; take it out again.
         out[at:upto] *= np.uint64(pow(int(p[n]), -1, 1 << 64))
+        out[at:upto] += (e - s).astype(np.uint64) * _BASE
         at = upto
     return mix(out)
 
