@@ -16,6 +16,7 @@ OPERATORS = [
     ("op2_language", "language", "document_languages", "documents", None),
     ("op3_line_quality", "cleaning", "line_quality", "documents", sqltext.LINE_QUALITY),
     ("op6_huffman_files", "huffman", "coded_documents", "documents", None),
+    ("op7_katz_backoff", "katz", "document_scores", "documents", None),
     ("op8_near_vectors", "multi_index", "near_vectors", "embeddings", sqltext.NEAR_VECTORS),
     ("op9_minhash_near_dedup", "minhash", "near_duplicates", "documents", sqltext.NEAR_DUPLICATES),
     ("op10_byte_bpe", "byte_bpe", "round_trip", "documents", None),
