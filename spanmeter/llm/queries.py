@@ -15,6 +15,7 @@ OPERATORS = [
     ("op1_vector_packing", "packing", "packed_documents", "documents", None),
     ("op2_language", "language", "document_languages", "documents", None),
     ("op3_line_quality", "cleaning", "line_quality", "documents", sqltext.LINE_QUALITY),
+    ("op4_passages", "passages", "document_passages", "documents", None),
     ("op6_huffman_files", "huffman", "coded_documents", "documents", None),
     ("op7_katz_backoff", "katz", "document_scores", "documents", None),
     ("op8_near_vectors", "multi_index", "near_vectors", "embeddings", sqltext.NEAR_VECTORS),
