@@ -54,7 +54,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Columns: a struct `kept_columns` of the columns named in `keep`, doc_id, n_words, word_chars,
     n_symbols, n_dup_lines, n_repeat_words, n_lines (lines with a word), n_failed_lines,
     lost_chars, base_failed, kept, clean_text (lines that fail are left out, all others and the
-    blank ones stay). A null or empty text has no words and fails the base rules. Columns of `docs`
+    blank ones stay), and barrier: a filter which also names it (`barrier >= 0`, always true) is not
+    pushed below the measures, where it would write their nested expressions out many times over.
+    A null or empty text has no words and fails the base rules. Columns of `docs`
     that are not named are not read, so no name can clash.
     """
     keep = keep or []
@@ -93,7 +95,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.aggregate(F.filter("judged", lambda x: x["failed"]), F.lit(0).cast("long"),
                     lambda a, x: a + x["chars"]).alias("lost_chars"),
         F.array_join(F.transform(F.filter("judged", lambda x: ~x["failed"]), lambda x: x["line"]), "\n")
-        .alias("clean_text"))
+        .alias("clean_text"), F.rand().alias("barrier"))
     d = d.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                      | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEATED_PERCENT))
     return d.withColumn("kept", ~F.col("base_failed")

@@ -27,19 +27,22 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _counted(e: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a written table, and their number and checksum."""
+    e = settle(e)
+    return e, tuple(e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of `edges` (columns a, b: long), component its smallest node.
 
     Nulls and loops are ignored, direction and repetition do not matter; no edges give no rows.
     """
-    e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-               .distinct())
+    e, mark = _counted(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+                       .distinct())
     seen = None
-    while True:
-        mark = e.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
-        if mark[0] == 0 or mark == seen:
-            break
+    while mark != seen and mark[0]:
         seen = mark
-        e = settle(_small_star(_large_star(e)))
+        e, mark = _counted(_small_star(_large_star(e)))
     return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(
         e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 from . import sqltext
+from .shipping import ship
 
 # name of the query, module and function which make it from the table, the table, its SQL
 OPERATORS = [
@@ -31,13 +32,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def _bound(module: str, function: str, table: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         make = getattr(import_module(f"{__package__}.{module}"), function)
-        return make(read(configure(spark), sf_dir, table))
+        return make(read(ship(configure(spark)), sf_dir, table))
     return query
 
 
 def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import document_toxicity
-    return document_toxicity(configure(spark), read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return document_toxicity(ship(configure(spark)), read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
