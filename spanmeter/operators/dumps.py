@@ -64,7 +64,6 @@ LOAD = r"^\s*([\d.]+)% (\d+)/(.+?):\s(.*)$"
 SYS_TID = r"^\s*\|\s*sysTid=(\d+)"
 SCAFFOLD = (r"^(?:-{2,}.*-{2,}\s*|DALVIK THREADS \(\d+\):|suspend all histogram:.*|CPU usage from .*"
             r"|\s*[+-]?[\d.]+% .*|\d{4}-\d\d-\d\d \d\d:\d\d:\d\d \w+ \(.*\)\s*)$")
-HEAD_LINES = 600
 
 # Reasons a thread is idle, with the stack texts which mean only that.
 IDLE: list[tuple[str, list[str]]] = [
@@ -98,11 +97,10 @@ PLATFORM = ["java.", "javax.", "jdk.", "sun.", "libcore.", "dalvik.", "android."
             "retrofit2.", "io.reactivex."]
 
 
-def detect_producer(lines: DataFrame, producers: Sequence[Producer] = PRODUCERS,
-                    head_lines: int = HEAD_LINES) -> DataFrame:
-    """Whose signature matches most of the first lines; ties go to the earlier producer."""
+def detect_producer(lines: DataFrame, producers: Sequence[Producer] = PRODUCERS) -> DataFrame:
+    """Whose signature matches most lines of the dump; ties go to the earlier producer."""
     line = F.rtrim("line")
-    hits = lines.where(F.col("line_no") <= head_lines).groupBy("dump_id").agg(*[
+    hits = lines.groupBy("dump_id").agg(*[
         F.count_if(line.rlike(p.signature)).alias(f"_{i}") for i, p in enumerate(producers)])
     best = F.array_max(F.array(*[
         F.struct(F.col(f"_{i}").alias("n"), F.lit(-i).alias("rank"), F.lit(p.name).alias("name"))

@@ -83,26 +83,33 @@ def merge_repeats(findings: DataFrame, traces: DataFrame, by: str = "scenario_id
     `traces(trace_id, <by>, repeat_no)` lists every repeat. A scenario with a single repeat keeps
     its rows as they are, without `runs` and `spread`.
     """
-    rows = settle(_keyed(findings, traces, by))
+    keyed = settle(_keyed(findings, traces, by))
+    sizes = scenario_size(traces, by)
+    rows = keyed.join(sizes.where("runs_total > 1").select(by), by, "left_semi")
+    # Nothing to merge: two rows of one identity in the only repeat stay two rows.
+    single = keyed.join(sizes.where("runs_total = 1").select(by), by, "left_semi")
     keys = [by, "detector", "location", "identity_detail"]
     # Counted per repeat first: a detector may have several rows of one identity in a repeat.
     runs = rows.select(*keys, "trace_id").distinct().groupBy(*keys).agg(
         F.count(F.lit(1)).alias("runs"))
     merged = (
         medians(rows, by).join(runs, keys).join(worst_evidence(rows, by), keys)
-        .join(scenario_size(traces, by), by)
+        .join(sizes, by)
     )
-    several = F.col("runs_total") > 1
     cols = [by, "detector", from_key("location").alias("location"), F.when(F.col("identity_detail") != "", F.col("identity_detail"))
             .otherwise(F.col("detail")).alias("detail"),
-            F.when(several, F.col("runs")).alias("runs"),
-            F.when(several, F.col("runs_total")).alias("runs_total"), *METRICS]
+            "runs", "runs_total", *METRICS]
     if with_spread:
         bands = _spread(rows, by).groupBy(*keys).agg(F.map_from_entries(
             F.collect_list(F.struct("metric", F.struct("min", "max", "values")))).alias("spread"))
         merged = merged.join(bands, keys, "left")
-        cols.append(F.when(several, F.col("spread")).alias("spread"))
-    return merged.select(*cols)
+        cols.append("spread")
+    merged = merged.select(*cols)
+    kinds = dict(merged.dtypes)
+    return merged.union(single.select(*[
+        F.lit(None).cast(kinds[c]).alias(c) if c in ("runs", "runs_total", "spread")
+        else (from_key("location") if c == "location" else F.col(c)).cast(kinds[c]).alias(c)
+        for c in merged.columns]))
 
 
 def ranked(merged: DataFrame, by: str = "scenario_id", limit: int | None = None) -> DataFrame:

@@ -20,8 +20,8 @@ PREFIX = "AGENTTMP_"
 MAIN = "main"
 
 # The verbs of the command line, and the patterns session rules look for.
-VERBS = ["init", "setup", "doctor", "collect", "probe", "names", "analyze", "compare", "calibrate",
-         "explain", "hunt", "domains", "mark", "anr", "reflect", "guide", "selftest", "help"]
+VERBS = ["status", "init", "hunt", "doctor", "collect", "analyze", "compare", "guide", "anr", "probe",
+         "names", "domains", "mark", "calibrate", "explain", "reflect", "setup", "selftest", "help"]
 RE_RECORD = (r"(?is)gradlew\b(?![^\n]*\btasks\b)[^\n]*\bconnected\w+|" + TOOL + r"\s+collect|"
              r"adb\s+shell\s+perfetto|adb\s+shell\s+am\s+start|record_android_trace")
 TRACE_FILE = r"\.(perfetto-trace|pftrace)\b"
@@ -37,7 +37,7 @@ BUILD = r"gradlew|\badb\s|\bsleep\s+\d|emulator\b"
 REPORT_FILE = r"report\.(?:json|md)|\." + TOOL + r"/out/"
 PY_WRITES = r"(?s)open\([^)]*[\"'](?:w|a|r\+)[\"']|\.write_text\(|\.write\("
 EDIT_VERB = r"(?:^|[\s;&|(])(?:sed\s+-[a-zA-Z]*i|perl\s+-[a-zA-Z]*i)\b"
-SHELL_ERROR = r"\(eval\):|\bcd:\d*:|no matches found|command not found: "
+SHELL_ERROR = r"\(eval\):|\bcd:\d*:|no matches found|command not found: (?!" + TOOL + ")"
 CONCLUSION = {
     "place": r"\bPlace\b|Место",
     "evidence": r"\bEvidence\b|Улик|Доказательств",
@@ -46,11 +46,11 @@ CONCLUSION = {
     "confidence": r"\bConfidence\b|Уверенност",
     "cleanup": r"\bCleanup\b|Уборк|Очистк",
 }
-CONFIDENCE = r"(?i)(?:Confidence|Уверенность)\s*[:*]*\s*\**\s*([^\n.*(]{0,60})"
+CONFIDENCE = r"(?iu)(?:Confidence|Уверенность)\s*[:*]*\s*\**\s*([^\n.*(]{0,60})"
 MENTIONS = {
-    "traces": TRACE_FILE + r"|(?i)\btraces?\b|трейс",
-    "regression": r"(?i)было|стало|regress|was\b.*\bnow\b|просел|P9\d|\d+\s*(?:ms|мс|s|с)\b",
-    "since_change": (r"(?i)после\s+(?:какого|коммит|измен)|after\s+(?:which|the)\s+(?:change|commit)|"
+    "traces": TRACE_FILE + r"|(?iu:\btraces?\b|трейс)",
+    "regression": r"(?iu)было|стало|regress|was\b.*\bnow\b|просел|P9\d|\d+\s*(?:ms|мс|s|с)\b",
+    "since_change": (r"(?iu)после\s+(?:какого|коммит|измен)|after\s+(?:which|the)\s+(?:change|commit)|"
                      r"since\s+commit|\bcommit\b|\bPR\b|\bMR\b"),
 }
 ACTIVITIES = [TOOL, "report reading", "source reading", "instrumentation edit", "build/device",

@@ -29,7 +29,7 @@ BYPASS = [
 ENV_KINDS = [
     ("hook redirected the call", r"(?i)hook|redirected"),
     ("missing python module", r"(?i)ModuleNotFoundError|No module named"),
-    ("path not found", r"(?i)No such file or directory"),
+    ("path not found", r"(?i)No such file or directory|no such file"),
     ("command not found", r"(?i)command not found"),
     ("permission denied", r"(?i)Permission denied"),
     ("timeout", r"(?i)timed out|timeout"),

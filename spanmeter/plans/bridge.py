@@ -26,22 +26,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("value") * 100).cast("long").alias("cents"))
 
 
-_DECODED: dict[tuple[str, str], TraceTables] = {}
-
-
 def trace_tables(spark: SparkSession, sf_dir: str) -> TraceTables:
     """A trace per calendar day of `events`, 24 threads in 4 processes each.
 
-    A trace store holds threads and processes as tables, so they are written once per application;
-    spans, states and frames stay projections of `events`.
+    A trace store holds threads and processes as tables, so each query writes them first; spans,
+    states and frames stay projections of `events`.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _DECODED:
-        _DECODED[key] = _decode(spark, sf_dir)
-    return _DECODED[key]
-
-
-def _decode(spark: SparkSession, sf_dir: str) -> TraceTables:
     e = _events(spark, sf_dir)
     upid = F.col("utid") % 4
     threads = settle(e.select("trace_id", "utid").distinct())

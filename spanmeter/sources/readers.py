@@ -28,6 +28,12 @@ class TraceTables:
         mine = {f.name: getattr(self, f.name) for f in fields(self)}
         return TraceTables(**{**mine, **tables})
 
+    def where_noted(self, notes: DataFrame) -> TraceTables:
+        """Only the traces which `notes(trace_id)` names; the names stay distributed."""
+        wanted = notes.select("trace_id").distinct()
+        return TraceTables(**{f.name: getattr(self, f.name).join(wanted, "trace_id", "left_semi")
+                              for f in fields(self)})
+
     def where_traces(self, trace_ids: list[str]) -> TraceTables:
         """Only the named traces; on partitioned tables this prunes directories."""
         return TraceTables(**{
@@ -35,6 +41,17 @@ class TraceTables:
             for f in fields(self)})
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table; what folder names hold stays text, so that ids like 0012 keep their zeros."""
+    key = "spark.sql.sources.partitionColumnTypeInference.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+
+
 def _conform(df: DataFrame, ddl: str) -> DataFrame:
     """The declared columns in order; absent ones as NULL."""
     out = []
@@ -69,7 +86,7 @@ def load_traces(spark: SparkSession, path: str) -> TraceTables:
     tables = {}
     for name, ddl in schemas.TRACE_TABLES.items():
         try:
-            df = _conform(spark.read.parquet(f"{path}/{name}"), ddl)
+            df = _conform(_read(spark, f"{path}/{name}"), ddl)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
                 raise
@@ -187,9 +204,9 @@ class Report:
 def load_report(spark: SparkSession, path: str) -> Report:
     """Reports written by `write_report`; anything without detector runs is refused."""
     try:
-        runs = _conform(spark.read.parquet(f"{path}/detector_run"), schemas.DETECTOR_RUN)
-        head = _conform(spark.read.parquet(f"{path}/report"), schemas.REPORT)
-        rows = _conform(spark.read.parquet(f"{path}/finding"), schemas.REPORT_FINDING)
+        runs = _conform(_read(spark, f"{path}/detector_run"), schemas.DETECTOR_RUN)
+        head = _conform(_read(spark, f"{path}/report"), schemas.REPORT)
+        rows = _conform(_read(spark, f"{path}/finding"), schemas.REPORT_FINDING)
     except AnalysisException as e:
         raise ValueError(f"{path} is not a report: {e.getCondition()}") from e
     if runs.isEmpty():

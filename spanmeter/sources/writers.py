@@ -42,7 +42,9 @@ def next_seq(spark: SparkSession, path: str, investigation: str) -> int:
     """One past the highest number there, not one past how many there are."""
     try:
         d = spark.read.parquet(f"{path}/report")
-    except AnalysisException:
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in (e.getCondition() or ""):
+            raise
         return 1
     top = d.where(F.col("investigation") == investigation).agg(F.max("seq")).first()[0]
     return int(top or 0) + 1

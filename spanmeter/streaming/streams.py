@@ -12,6 +12,7 @@ from ..functions.exprs import iso_text
 from ..operators.context import build_context
 from ..operators.registry import run_detectors
 from ..sources import schemas
+from ..session import settle
 from ..sources.readers import load_traces
 
 
@@ -67,11 +68,10 @@ def stream_findings(spark: SparkSession, arrivals: str, traces: str, out: str, c
         "maxFilesPerTrigger", max_traces).json(arrivals)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        # The names of the newly arrived traces: one short string per trace of this batch.
-        ids = [r.trace_id for r in batch.select("trace_id").distinct().collect()]
-        if not ids:
+        if batch.isEmpty():
             return
-        t = load_traces(batch.sparkSession, traces).where_traces(ids)
+        # Settled, since every table meets the names; a semi-join prunes folders as it runs.
+        t = load_traces(batch.sparkSession, traces).where_noted(settle(batch.select("trace_id").distinct()))
         ctx = build_context(t, process, start, end).settled()
         run_detectors(ctx, detectors).findings.write.mode("overwrite").parquet(
             f"{out}/batch={batch_id}")
