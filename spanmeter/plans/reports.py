@@ -333,7 +333,7 @@ FROM (SELECT *, CASE WHEN coalesce(n, 0) < 10 THEN 'small_sample'
               ON s.detector = r.detector AND s.metric = r.metric))"""
 
 
-_OUT0 = OUTLIER_SQL.replace(" AND r.dur >= 40000000000", "")
+_OUT0 = OUTLIER_SQL.replace("d >= 40000000000 AND ", "")
 _CAL_CTES = (CHILD_SQL, _OUT0, SHARED_SQL, FRAMES_SQL)
 
 
