@@ -30,6 +30,7 @@ NEARBY = 4               # words on either side of a cut that must have larger h
 # Two paragraphs of similarity 0.75 share none of 20 bands of 3 with a chance of (1 - 0.75 ** 3) ** 20,
 # about 2 in 100 000; of similarity 0.85, 2 in 100 million.
 BANDS, ROWS = 20, 3
+CROWD = 64               # more paragraphs in one band are compared in blocks
 
 
 def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,7 +179,7 @@ def repeats(rows: DataFrame) -> DataFrame:
         return (rows.join(wanted, "i", "left_semi").mapInArrow(_contents, "id long, items array<long>")
                 .join(ids, "id", "left_semi").groupBy("id").agg(F.first("items").alias("items")))
 
-    near = links(paragraphs, 1, contents)
+    near = links(paragraphs, 1, contents, crowd=CROWD)
     named = (groups.join(near.withColumnRenamed("id", "h").withColumn("kind", F.lit(0)), ["kind", "h"], "left")
              .select("kind", "h", "f", "first", F.coalesce("component", "h").alias("cluster")))
     several = named.groupBy("kind", "cluster").agg(F.sum("f").alias("members"), F.min("first").alias("first")).where("members > 1")

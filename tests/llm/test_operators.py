@@ -15,8 +15,8 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from spanmeter.llm import (byte_bpe, cleaning, huffman, katz, language, minhash, multi_index, packing, passages,
-                           toxicity, words)
+from spanmeter.llm import (byte_bpe, cleaning, huffman, katz, language, minhash, multi_index, near, packing,
+                           passages, toxicity, words)
 
 SYL = ["ka", "lo", "mi", "ra", "tu", "ne", "so", "vi", "pe", "da"]
 
@@ -121,6 +121,32 @@ def test_passages(docs, none):
     assert passages.document_passages(none).collect() == []
 
 
+def test_crowded_buckets_in_blocks(spark, monkeypatch):
+    """Sets around a few centres, all in one bucket: blocks of a few sets find what brute force finds."""
+    monkeypatch.setattr(near, "BLOCK_SETS", 7)
+    r = random.Random(4)
+    centres = [r.sample(range(1000), 30) for _ in range(3)]
+    sets = {i: sorted({*r.sample(centres[i % 3], r.choice([18, 24, 27, 29])), *r.sample(range(2000, 9000), r.randint(0, 3))})
+            for i in range(60)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+    for a in sets:
+        for b in sets:
+            both = len(set(sets[a]) & set(sets[b]))
+            if a < b and both * 100 >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    rows = spark.createDataFrame([(i, len(v), [1, 2 + i % 3], v) for i, v in sets.items()],
+                                 "id long, n long, keys array<long>, items array<long>")
+    for crowd in (None, 3):
+        found = near.links(rows.drop("items"), 1, lambda ids: rows.select("id", "items").join(ids, "id"), crowd=crowd)
+        got = {r.id: r.component for r in found.collect()}
+        assert {i: got.get(i, i) for i in sets} == {i: find(i) for i in sets}
+    assert len({find(i) for i in sets}) > 3
+
+
 def test_packing(docs, none):
     tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     tk.encode_special_tokens = True
