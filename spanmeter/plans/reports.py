@@ -43,7 +43,8 @@ def _traces(window: DataFrame) -> DataFrame:
 
 def sample(spark: SparkSession, sf: str) -> Sample:
     c = ctx(spark, sf).settled()
-    found = run_detectors(c, names=NAMES, overrides={n: PARAMS[n] for n in NAMES}).findings
+    # All rows: a row which one repeat shows 21st must not count as missing there.
+    found = run_detectors(c, names=NAMES, overrides={n: PARAMS[n] for n in NAMES}, limit=None).findings
     return Sample(settle(found), _traces(c.window), c.window)
 
 
@@ -68,7 +69,7 @@ def changes(spark: SparkSession, sf: str, with_spread: bool = False) -> DataFram
 
 FINDINGS_SQL = f"""
 findings AS ({' UNION ALL '.join(f'SELECT * FROM ({q})' for q in (
-    block_sql(), gc_sql(), binder_sql(), starvation_sql()))}),
+    block_sql(limit=None), gc_sql(limit=None), binder_sql(limit=None), starvation_sql(None)))}),
 traces AS (
   SELECT trace_id, CAST(substr(trace_id, 9, 2) AS INTEGER) AS repeat_no,
          'p' || CAST(substr(trace_id, 9, 2) AS INTEGER) % 3 || '/' ||
@@ -186,7 +187,7 @@ def _spread_flat(spark, sf):
 def _evidence(spark, sf):
     """Evidence of detectors whose detail is no part of the name, from the worst repeat."""
     c = ctx(spark, sf)
-    found = settle(DETECTORS["monitor_contention"](c, **PARAMS["monitor_contention"]))
+    found = settle(DETECTORS["monitor_contention"](c, **PARAMS["monitor_contention"], limit=None))
     out = rep.merge_repeats(found, _traces(c.window), with_spread=False)
     return out.select("scenario_id", "location", "detail", "runs", "max_ms")
 
@@ -397,7 +398,7 @@ QUERIES = {
         FROM longf WHERE metric IN ('self_ms', 'total_ms', 'max_ms')
         GROUP BY scenario_id, detector, location, identity_detail, metric""")),
     "merge_worst_evidence": (_evidence, with_(bridge(), f"""
-        found AS ({monitor_sql()}), traces AS (
+        found AS ({monitor_sql(None)}), traces AS (
           SELECT trace_id, CAST(substr(trace_id, 9, 2) AS INTEGER) AS repeat_no,
                  'p' || CAST(substr(trace_id, 9, 2) AS INTEGER) % 3 || '/' ||
                  CASE WHEN CAST(substr(trace_id, 9, 2) AS INTEGER) <= 15 THEN 'before'
