@@ -1,20 +1,21 @@
 """Repeated passages inside and across documents.
 
-A paragraph is a line of at least MIN_WORDS words; a passage can also stand inside one. So paragraphs
-are compared as a whole, and besides they are cut into pieces where the words say so: after a word
-whose hash, taken with its neighbours', is the smallest nearby. A passage of more than 50 words is cut
-at the same places in whatever text it stands, so that it holds pieces which are equal everywhere.
-
-Equal paragraphs and equal pieces are found by their hash. Different paragraphs are posted under the
-bands of a MinHash signature; those which meet in a band are confirmed by the exact Jaccard
-similarity of their sets of five-word shingles, and components of links form clusters. Of the members
-of a cluster, the first by (document, position) stays and the others are removed. Equal pieces in a
-row are removed only where together they have at least MIN_WORDS words.
+A paragraph is a line of at least MIN_WORDS words, or a run of shorter lines which have as many words
+together and no blank or longer line between them. Equal paragraphs are found by their hash. Different
+ones are posted under the bands of a MinHash signature; those which meet in a band are confirmed by the
+exact Jaccard similarity of their sets of five-word shingles, and components of links form clusters. Of
+the members of a cluster, the first by (document, position) stays and the others are removed.
+
+A passage can also stand inside paragraphs or run over several. So the words of the whole document, its
+line breaks ignored, are winnowed: in each MIN_WORDS words in a row, the SEED words in a row with the
+smallest hash are posted. Any MIN_WORDS words which stand in two places have such a seed in common, and
+the seeds of a passage touch. Each seed is found again at its first place; seeds in a row are removed
+where together they have at least MIN_WORDS words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from .near import links
 from .words import _LOWER, _powers, hash_spans, mix, shingle_sets, signatures, utf8, word_spans
 
 MIN_WORDS = 20
-NEARBY = 4               # words on either side of a cut that must have larger hashes
+SEED = 11                # words; more than half of MIN_WORDS, so that the seeds of a passage touch
 # Two paragraphs of similarity 0.75 share none of 20 bands of 3 with a chance of (1 - 0.75 ** 3) ** 20,
 # about 2 in 100 000; of similarity 0.85, 2 in 100 million.
 BANDS, ROWS = 20, 3
@@ -46,7 +47,7 @@ def _lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Cut:
-    """Lines and pieces of a batch of texts, as ranges of word numbers."""
+    """Lines, paragraphs and seeds of a batch of texts, as ranges of word numbers."""
 
     def __init__(self, texts: pa.Array):
         self.data, lines, self.text = _lines(texts)
@@ -57,8 +58,6 @@ class _Cut:
         self.hash = hash_spans(self.data, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, self.line_starts)
         self.last = np.searchsorted(self.starts, self.line_ends)
-        n_lines = np.bincount(self.text, minlength=len(texts))
-        self.number = np.arange(len(self.text)) - np.repeat(np.cumsum(n_lines) - n_lines, n_lines)
 
     def sequence(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """A hash of each range of words, as words."""
@@ -77,19 +76,48 @@ class _Cut:
             at = upto
         return mix(out + (last - first).astype(np.uint64))
 
-    def pieces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First and last word of each piece, and its line."""
-        around = self.hash.copy()
-        around[1:] += mix(self.hash[:-1])
-        line = np.repeat(np.arange(len(self.first)), self.last - self.first)
-        least = np.ones(len(around), bool)
-        for d in range(1, NEARBY + 1):
-            least[d:] &= (around[d:] < around[:-d]) | (line[d:] != line[:-d])
-            least[:-d] &= (around[:-d] < around[d:]) | (line[:-d] != line[d:])
-        new = np.ones(len(around), bool)
-        new[1:] = (line[1:] != line[:-1]) | least[:-1]
-        first = np.flatnonzero(new)
-        return first, np.append(first[1:], len(around)), line[first]
+    def paragraphs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last word of each paragraph, and its text."""
+        n = self.last - self.first
+        short = np.flatnonzero((n > 0) & (n < MIN_WORDS))
+        new = np.ones(len(short), bool)
+        new[1:] = (np.diff(short) > 1) | (np.diff(self.text[short]) > 0)
+        begins = np.flatnonzero(new)
+        run_first, run_last = short[begins], short[np.append(begins[1:], len(short)) - 1] if len(short) else short
+        long = np.flatnonzero(n >= MIN_WORDS)
+        begin, end = np.concatenate([long, run_first]), np.concatenate([long, run_last])
+        enough = self.last[end] - self.first[begin] >= MIN_WORDS
+        begin, end = begin[enough], end[enough]
+        order = np.argsort(begin)
+        return self.first[begin][order], self.last[end][order], self.text[begin][order]
+
+    def seeds(self, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First word and hash of each seed; bounds: the n + 1 bounds of the texts' words."""
+        n, wide = len(self.hash), MIN_WORDS - SEED + 1
+        if n < MIN_WORDS:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        rolled = np.zeros(n, np.uint64)
+        for k in range(SEED):
+            rolled[:n - k] += self.hash[k:] * _powers(SEED + 1)[k + 1]
+        rolled = mix(rolled)
+        # The least hash of each window, and for each place the largest of those of its windows.
+        least = np.zeros(n + wide - 1, np.uint64)
+        least[wide - 1:n] = _sliding(np.minimum, rolled, wide)
+        ends = np.repeat(bounds[1:], np.diff(bounds))
+        least[wide - 1:][np.arange(n) + MIN_WORDS > ends] = 0          # not in one text
+        most = _sliding(np.maximum, least, wide)
+        at = np.flatnonzero((most == rolled) & (most > 0))
+        return at, rolled[at]
+
+
+def _sliding(of: np.ufunc, x: np.ndarray, wide: int) -> np.ndarray:
+    """`of` over each `wide` values in a row."""
+    have = 1
+    while have < wide:
+        by = min(have, wide - have)
+        x = of(x[:-by], x[by:])
+        have += by
+    return x
 
 
 def _split_at(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,50 +133,47 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield whole.slice(at, 1000)
 
 
-# kind 0: a paragraph; kind 1: a piece. at: the first word of its document; n: its words.
-UNITS = "i long, kind int, line int, at int, n int, h long"
+# kind 0: a paragraph; kind 1: a seed. at: the first word of its document; n: its words.
+UNITS = "i long, kind int, at int, n int, h long"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _slices(batches):
         c = _Cut(b.column("t"))
         ids = b.column("i").to_numpy(zero_copy_only=False)
-        doc_first = np.searchsorted(c.starts, utf8(b.column("t"))[1][:-1])
-        long = np.flatnonzero(c.last - c.first >= MIN_WORDS)
-        pf, pl, line = c.pieces()
-        inside = c.last[line] - c.first[line] >= MIN_WORDS     # shorter lines can't hold a passage
-        pf, pl, line = pf[inside], pl[inside], line[inside]
-        first, last, line = np.concatenate([c.first[long], pf]), np.concatenate([c.last[long], pl]), np.concatenate([long, line])
-        kind = np.repeat([0, 1], [len(long), len(pf)])
-        h = np.concatenate([c.sequence(c.first[long], c.last[long]), c.sequence(pf, pl)])
-        text = c.text[line]
+        bounds = np.append(np.searchsorted(c.starts, utf8(b.column("t"))[1][:-1]), len(c.starts))
+        first, last, text = c.paragraphs()
+        at, h = c.seeds(bounds)
+        text = np.concatenate([text, np.searchsorted(bounds, at, "right") - 1])
+        kind = np.repeat(np.array([0, 1], np.int32), [len(first), len(at)])
+        h = np.concatenate([c.sequence(first, last), h])
+        n = np.concatenate([last - first, np.full(len(at), SEED)])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids[text]), pa.array(kind.astype(np.int32)), pa.array(c.number[line].astype(np.int32)),
-             pa.array((first - doc_first[text]).astype(np.int32)), pa.array((last - first).astype(np.int32)), pa.array(h.view(np.int64))],
-            ["i", "kind", "line", "at", "n", "h"])
+            [pa.array(ids[text]), pa.array(kind), pa.array((np.concatenate([first, at]) - bounds[text]).astype(np.int32)),
+             pa.array(n.astype(np.int32)), pa.array(h.view(np.int64))], ["i", "kind", "at", "n", "h"])
 
 
 def _paragraph_sets(c: _Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The long lines, and the bounds and values of their shingle sets."""
-    long = np.flatnonzero(c.last - c.first >= MIN_WORDS)
-    n = c.last[long] - c.first[long]
+    """The hashes of the paragraphs, and the bounds and values of their shingle sets."""
+    first, last, _ = c.paragraphs()
+    n = last - first
     bounds = np.concatenate([[0], np.cumsum(n)])
-    words = c.hash[np.arange(bounds[-1]) + np.repeat(c.first[long] - bounds[:-1], n)]
+    words = c.hash[np.arange(bounds[-1]) + np.repeat(first - bounds[:-1], n)]
     values, at = shingle_sets(words, bounds)
-    return long, values, at
+    return c.sequence(first, last), values, at
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, n, keys) of each paragraph: its hash, the size of its set, and the keys of its bands."""
     for b in _slices(batches):
         c = _Cut(b.column("t"))
-        long, values, at = _paragraph_sets(c)
+        hashes, values, at = _paragraph_sets(c)
         s = signatures(values, at, BANDS * ROWS, seed=11).reshape(-1, BANDS, ROWS)
         key = np.zeros(s.shape[:2], np.uint64)
         for r in range(ROWS):
             key = mix(key + s[:, :, r])
         key ^= mix(np.arange(1, BANDS + 1, dtype=np.uint64))[None]
-        h, once = np.unique(c.sequence(c.first[long], c.last[long]), return_index=True)
+        h, once = np.unique(hashes, return_index=True)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(h) + 1, dtype=np.int32) * BANDS), pa.array(key[once].reshape(-1).view(np.int64)))
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.diff(at)[once].astype(np.int64)), lists], ["id", "n", "keys"])
 
@@ -156,19 +181,18 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in _slices(batches):
         c = _Cut(b.column("t"))
-        long, values, at = _paragraph_sets(c)
-        h = c.sequence(c.first[long], c.last[long]).view(np.int64)
+        hashes, values, at = _paragraph_sets(c)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))], ["id", "items"])
+            [pa.array(hashes.view(np.int64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))], ["id", "items"])
 
 
 def repeats(rows: DataFrame) -> DataFrame:
-    """rows: (i, t), ids unique and not null. (i, kind, line, at, n, cluster, first_i, first_at) of every
+    """rows: (i, t), ids unique and not null. (i, kind, at, n, cluster, first_i, first_at) of every
     unit to be removed: the members of a cluster of which another document, or an earlier place of the
     same one, keeps the first."""
     units = settle(rows.mapInArrow(_units, UNITS))
     place = F.struct("i", "at")
-    groups = units.groupBy("kind", "h").agg(F.count("*").alias("f"), F.min(place).alias("first"))
+    groups = units.where("kind = 0").groupBy("h").agg(F.count("*").alias("f"), F.min(place).alias("first"))
     paragraphs = settle(rows.mapInArrow(_banded, "id long, n long, keys array<long>").groupBy("id")
                         .agg(F.max("n").alias("n"), F.first("keys").alias("keys")))
 
@@ -180,47 +204,103 @@ def repeats(rows: DataFrame) -> DataFrame:
                 .join(ids, "id", "left_semi").groupBy("id").agg(F.first("items").alias("items")))
 
     near = links(paragraphs, 1, contents, crowd=CROWD)
-    named = (groups.join(near.withColumnRenamed("id", "h").withColumn("kind", F.lit(0)), ["kind", "h"], "left")
-             .select("kind", "h", "f", "first", F.coalesce("component", "h").alias("cluster")))
-    several = named.groupBy("kind", "cluster").agg(F.sum("f").alias("members"), F.min("first").alias("first")).where("members > 1")
-    first = settle(named.join(several.select("kind", "cluster", F.col("first").alias("kept")), ["kind", "cluster"])
-                   .select("kind", "h", "cluster", "kept"))
+    named = (groups.join(near.withColumnRenamed("id", "h"), "h", "left")
+             .select("h", "f", "first", F.coalesce("component", "h").alias("cluster")))
+    several = named.groupBy("cluster").agg(F.sum("f").alias("members"), F.min("first").alias("kept")).where("members > 1")
+    seeds = (units.where("kind = 1").groupBy("h").agg(F.count("*").alias("f"), F.min(place).alias("kept")).where("f > 1")
+             .select(F.lit(1).alias("kind"), "h", F.col("h").alias("cluster"), "kept"))
+    first = settle(named.join(several, "cluster").select(F.lit(0).alias("kind"), "h", "cluster", "kept").union(seeds))
     return (units.join(first, ["kind", "h"])
             .where((F.col("i") != F.col("kept.i")) | (F.col("at") != F.col("kept.at")))
-            .select("i", "kind", "line", "at", "n", "cluster", F.col("kept.i").alias("first_i"), F.col("kept.at").alias("first_at")))
+            .select("i", "kind", "at", "n", "cluster", F.col("kept.i").alias("first_i"), F.col("kept.at").alias("first_at")))
+
+
+def _by_document(rows: DataFrame, make: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """make of tables in which every document has all its rows, side by side."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = []
+        for b in batches:
+            i = b.column("i").to_numpy()
+            at = int(np.searchsorted(i, i[-1])) if len(i) else 0
+            if at or (rest and len(i) and rest[-1].column("i")[-1].as_py() != i[0]):
+                yield make(pa.Table.from_batches([*rest, b.slice(0, at)]))
+                rest = []
+            if len(i):
+                rest.append(b.slice(at))
+        if rest:
+            yield make(pa.Table.from_batches(rest))
+    return rows.repartition("i").sortWithinPartitions("i").mapInArrow(whole, schema)
+
+
+RUNS = "i long, kind int, at int, n int, clusters array<long>, first_i long, first_at int"
+
+
+def _runs(t: pa.Table) -> pa.RecordBatch:
+    """Seeds in a row which are in a row at their first places too become one; paragraphs stay."""
+    i, kind, at, n, cluster, first_i, first_at = (t.column(c).to_numpy() for c in ("i", "kind", "at", "n", "cluster", "first_i", "first_at"))
+    apart = at.astype(np.int64) - first_at
+    order = np.lexsort((at, apart, first_i, kind, i))
+    i, kind, at, n, cluster, first_i, first_at, apart = (x[order] for x in (i, kind, at, n, cluster, first_i, first_at, apart))
+    new = np.ones(len(i), bool)
+    new[1:] = ((kind[1:] == 0) | (kind[:-1] == 0) | (i[1:] != i[:-1]) | (first_i[1:] != first_i[:-1]) | (apart[1:] != apart[:-1])
+               | (at[1:] > at[:-1] + n[:-1]))
+    s = np.flatnonzero(new)
+    e = np.append(s[1:], len(i)) - 1
+    clusters = pa.ListArray.from_arrays(pa.array(np.append(s, len(i)).astype(np.int32)), pa.array(cluster))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(i[s]), pa.array(kind[s]), pa.array(at[s]), pa.array(at[e] + n[e] - at[s]), clusters, pa.array(first_i[s]),
+         pa.array(first_at[s])], ["i", "kind", "at", "n", "clusters", "first_i", "first_at"])
+
+
+def _joined(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges which overlap or touch become one."""
+    order = np.argsort(s, kind="stable")
+    s, e = s[order], np.maximum.accumulate(e[order]) if len(s) else e
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] > e[:-1]
+    k = np.flatnonzero(new)
+    return s[k], e[np.append(k[1:], len(s)) - 1] if len(k) else e
+
+
+def _lists(row: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
+    """The distinct values of each of n rows, ascending."""
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    keep = np.ones(len(row), bool)
+    keep[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    row, value = row[keep], value[keep]
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(value))
+
+
+def _spans(t: pa.Table) -> pa.RecordBatch:
+    i, kind, at, n, first_i = (t.column(c).to_numpy() for c in ("i", "kind", "at", "n", "first_i"))
+    ids, doc = np.unique(i, return_inverse=True)
+    s = (doc.astype(np.int64) << 32) + at           # the ranges of all documents on one line
+    e = s + n
+    rs, re = _joined(s[kind == 1], e[kind == 1])
+    enough = re - rs >= MIN_WORDS
+    rs, re = _joined(np.concatenate([rs[enough], s[kind == 0]]), np.concatenate([re[enough], e[kind == 0]]))
+    k = np.searchsorted(rs, s, "right") - 1
+    inside = np.flatnonzero((k >= 0) & (s < re[np.maximum(k, 0)])) if len(rs) else np.zeros(0, np.int64)
+    some, of = np.unique(rs >> 32, return_inverse=True)
+    ends = np.stack([rs & 0xFFFFFFFF, re & 0xFFFFFFFF], 1).astype(np.int32).reshape(-1)
+    pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(rs) + 1, dtype=np.int32) * 2), pa.array(ends))
+    spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(some) + 1)).astype(np.int32)), pairs)
+    row = np.searchsorted(some, doc[inside])
+    lists = t.column("clusters").combine_chunks().take(pa.array(inside))
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    clusters = lists.flatten().to_numpy()
+    sizes = np.diff(lists.offsets.to_numpy())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids[some]), spans, _lists(np.repeat(row, sizes), clusters, len(some)), _lists(row, first_i[inside], len(some))],
+        ["i", "spans", "clusters", "firsts"])
 
 
 def removals(rows: DataFrame) -> DataFrame:
     """(i, spans, clusters, firsts) of the documents that lose words: disjoint ascending spans of words
     [from, upto), the clusters of what is removed and the documents which keep them."""
-    found = repeats(rows)
-
-    def merge(t: pa.Table) -> pa.Table:
-        i, out = t.column("i")[0].as_py(), []
-        kind, at, n = (t.column(c).to_numpy() for c in ("kind", "at", "n"))
-        order = np.argsort(at, kind="stable")
-        runs: list[list[int]] = []
-        for k in order[kind[order] == 1].tolist():       # pieces in a row
-            if runs and at[k] <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], int(at[k] + n[k]))
-            else:
-                runs.append([int(at[k]), int(at[k] + n[k])])
-        spans = [r for r in runs if r[1] - r[0] >= MIN_WORDS] + [[int(at[k]), int(at[k] + n[k])] for k in np.flatnonzero(kind == 0)]
-        for s, e in sorted(spans):
-            if out and s <= out[-1][1]:
-                out[-1][1] = max(out[-1][1], e)
-            else:
-                out.append([s, e])
-        if not out:
-            return pa.table(
-                {"i": pa.array([], pa.int64()), "spans": pa.array([], pa.list_(pa.list_(pa.int32()))),
-                 "clusters": pa.array([], pa.list_(pa.int64())), "firsts": pa.array([], pa.list_(pa.int64()))})
-        inside = np.array([any(s <= a < e for s, e in out) for a in at])
-        return pa.table({"i": pa.array([i], pa.int64()), "spans": pa.array([out], pa.list_(pa.list_(pa.int32()))),
-                         "clusters": pa.array([np.unique(t.column("cluster").to_numpy()[inside]).tolist()], pa.list_(pa.int64())),
-                         "firsts": pa.array([np.unique(t.column("first_i").to_numpy()[inside]).tolist()], pa.list_(pa.int64()))})
-
-    return found.groupBy("i").applyInArrow(merge, "i long, spans array<array<int>>, clusters array<long>, firsts array<long>")
+    runs = _by_document(repeats(rows), _runs, RUNS)
+    return _by_document(runs, _spans, "i long, spans array<array<int>>, clusters array<long>, firsts array<long>")
 
 
 def without(texts: pa.Array, spans: list[list[list[int]] | None]) -> list[str]:

@@ -121,6 +121,42 @@ def test_passages(docs, none):
     assert passages.document_passages(none).collect() == []
 
 
+def test_passages_over_short_lines(spark):
+    """A passage of 60 words in lines of 12 stands in other lines, and in one line, of later documents."""
+    w = PASSAGE.split()
+
+    def lines(words, n):
+        return "\n".join(" ".join(words[k:k + n]) for k in range(0, len(words), n))
+    texts = [prose(31, 40) + "\n" + lines(w, 12) + "\n" + prose(32, 40), lines([*prose(33, 28).split(), "a1", *w, "b1", *prose(34, 30).split()], 12),
+             prose(35, 14) + " a2\n\n" + lines(w, 7) + "\n\nb2 " + prose(36, 15), prose(37, 32) + " a3 " + PASSAGE + " b3 " + prose(38, 5)]
+    got = by_id(passages.document_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert got[0].n_spans == 0
+    for i, at in ((1, 29), (2, 15), (3, 33)):
+        (s, e), = got[i].spans
+        assert 0 in got[i].kept_in and at - 10 <= s <= at + 9 and at + 51 <= e <= at + 70
+
+
+def test_near_copies_in_short_lines(spark):
+    """Hard-wrapped paragraphs are compared as paragraphs, however they are wrapped."""
+    w = prose(41, 120).split()
+    edited = [f"other{k}" if k % 40 == 20 else x for k, x in enumerate(w)]
+    texts = ["\n".join(" ".join(x[k:k + n]) for k in range(0, 120, n)) for x, n in ((w, 12), (edited, 10))]
+    got = by_id(passages.document_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert got[0].n_spans == 0 and got[1].spans == [[0, 120]] and got[1].kept_in == [0]
+
+
+def test_every_repeat_of_twenty_words_has_a_seed():
+    r = random.Random(5)
+    for n in (20, 21, 35):
+        w = prose(r.random(), n).split()
+        seen = []
+        for before, after in ((r.randint(0, 40), r.randint(0, 40)) for _ in range(30)):
+            t = pa.array([prose(r.random(), 30), " ".join([*prose(r.random(), before + 1).split(), *w, *prose(r.random(), after + 1).split()])])
+            u = pa.Table.from_batches(passages._units([pa.RecordBatch.from_arrays([pa.array([0, 1]), t], ["i", "t"])])).to_pylist()
+            seen.append({x["h"] for x in u if x["kind"] == 1 and x["i"] == 1 and before + 1 <= x["at"] <= before + 1 + n - passages.SEED})
+        assert set.intersection(*seen)
+
+
 def test_crowded_buckets_in_blocks(spark, monkeypatch):
     """Sets around a few centres, all in one bucket: blocks of a few sets find what brute force finds."""
     monkeypatch.setattr(near, "BLOCK_SETS", 7)
