@@ -9,8 +9,9 @@ the members of a cluster, the first by (document, position) stays and the others
 A passage can also stand inside paragraphs or run over several. So the words of the whole document, its
 line breaks ignored, are winnowed: in each MIN_WORDS words in a row, the SEED words in a row with the
 smallest hash are posted. Any MIN_WORDS words which stand in two places have such a seed in common, and
-the seeds of a passage touch. Each seed is found again at its first place; seeds in a row are removed
-where together they have at least MIN_WORDS words.
+the seeds of a passage touch. Each seed is found again at its first place; seeds in a row are extended
+there word by word on both sides, as long as the words are equal, and removed where together they have at
+least MIN_WORDS words.
 """
 
 from __future__ import annotations
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .near import links
-from .words import _LOWER, _powers, hash_spans, mix, shingle_sets, signatures, utf8, word_spans
+from .words import _LOWER, _powers, hash_spans, mix, shingle_sets, signatures, utf8, word_spans, words
 
 MIN_WORDS = 20
 SEED = 11                # words; more than half of MIN_WORDS, so that the seeds of a passage touch
 # Two paragraphs of similarity 0.75 share none of 20 bands of 3 with a chance of (1 - 0.75 ** 3) ** 20,
 # about 2 in 100 000; of similarity 0.85, 2 in 100 million.
 BANDS, ROWS = 20, 3
+STEP = 16                # words compared at first beside a run; eight times as many each further time
 CROWD = 64               # more paragraphs in one band are compared in blocks
 
 
@@ -158,8 +160,8 @@ def _paragraph_sets(c: _Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     first, last, _ = c.paragraphs()
     n = last - first
     bounds = np.concatenate([[0], np.cumsum(n)])
-    words = c.hash[np.arange(bounds[-1]) + np.repeat(first - bounds[:-1], n)]
-    values, at = shingle_sets(words, bounds)
+    hashes = c.hash[np.arange(bounds[-1]) + np.repeat(first - bounds[:-1], n)]
+    values, at = shingle_sets(hashes, bounds)
     return c.sequence(first, last), values, at
 
 
@@ -252,6 +254,52 @@ def _runs(t: pa.Table) -> pa.RecordBatch:
          pa.array(first_at[s])], ["i", "kind", "at", "n", "clusters", "first_i", "first_at"])
 
 
+def _beside(step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(i, p, d, w) of texts and their places (p, d): the `step` words before (d = -1) or from (1) word p, nearest first."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            h, bounds = words(b.column("t"))
+            asked = b.column("asked")
+            places = asked.flatten()
+            p, d = (places.field(c).to_numpy().astype(np.int64) for c in ("p", "d"))
+            row = np.repeat(np.arange(b.num_rows), np.diff(asked.offsets.to_numpy()))
+            at = bounds[row] + p
+            n = np.clip(np.where(d > 0, bounds[row + 1] - at, p), 0, step)
+            upto = np.cumsum(n)
+            k = np.arange(upto[-1] if len(n) else 0) - np.repeat(upto - n, n)
+            near = np.repeat(np.where(d > 0, at, at - 1), n) + np.repeat(d, n) * k
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, upto).astype(np.int32)), pa.array(h[near].view(np.int64)))
+            ids = b.column("i").to_numpy(zero_copy_only=False)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(p.astype(np.int32)), pa.array(d.astype(np.int32)), lists], ["i", "p", "d", "w"])
+    return cut
+
+
+def _extended(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """As rows of RUNS, the words beside each run of seeds which equal those beside its first place."""
+    def side(d: int, n: str) -> DataFrame:
+        return runs.where("kind = 1").selectExpr("i", "first_i", f"{d} d", f"at + {n} p", f"first_at + {n} q")
+    left, step, found = side(-1, "0").union(side(1, "n")), STEP, None
+    while True:
+        asked = (left.select("i", "p", "d").union(left.selectExpr("first_i", "q", "d")).distinct()
+                 .groupBy("i").agg(F.collect_list(F.struct("p", "d")).alias("asked")))
+        # Rows with the same id are one document: one of them is compared.
+        near = settle(rows.join(asked, "i").select("i", "t", "asked").mapInArrow(_beside(step), "i long, p int, d int, w array<long>")
+                      .groupBy("i", "p", "d").agg(F.min("w").alias("w")))
+        there = near.selectExpr("i first_i", "p q", "d", "w v")
+        unlike = F.array_position(F.zip_with("w", "v", lambda a, b: a == b), F.lit(False))
+        equal = F.when(unlike > 0, unlike - 1).otherwise(F.least(F.size("w"), F.size("v"))).cast("int")
+        part = settle(left.join(near, ["i", "p", "d"]).join(there, ["first_i", "q", "d"])
+                      .select("i", "first_i", "d", "p", "q", equal.alias("k")).where("k > 0"))
+        back = F.when(F.col("d") < 0, F.col("k")).otherwise(0)
+        more = part.select("i", F.lit(1).alias("kind"), (F.col("p") - back).alias("at"), F.col("k").alias("n"),
+                           F.array().cast("array<long>").alias("clusters"), "first_i", (F.col("q") - back).alias("first_at"))
+        found = more if found is None else found.union(more)
+        left = part.where(F.col("k") == step).selectExpr("i", "first_i", "d", f"p + d * {step} p", f"q + d * {step} q")
+        if left.isEmpty():
+            return found
+        step *= 8
+
+
 def _joined(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ranges which overlap or touch become one."""
     order = np.argsort(s, kind="stable")
@@ -272,35 +320,62 @@ def _lists(row: np.ndarray, value: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(value))
 
 
+def _outer(s: np.ndarray, e: np.ndarray, doc: np.ndarray, first_i: np.ndarray, first_at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs joined with what extends them, without those that lie inside another one: start, end, first_i."""
+    apart = (s & 0xFFFFFFFF) - first_at
+    order = np.lexsort((s, apart, first_i, doc))
+    s, e, doc, first_i, apart = (x[order] for x in (s, e, doc, first_i, apart))
+    new = np.ones(len(s), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (first_i[1:] != first_i[:-1]) | (apart[1:] != apart[:-1])
+    group = np.cumsum(new) << 32
+    upto = np.maximum.accumulate((e & 0xFFFFFFFF) + group) if len(s) else e
+    new[1:] |= (s[1:] & 0xFFFFFFFF) + group[1:] > upto[:-1]
+    k = np.flatnonzero(new)
+    last = np.append(k[1:], len(s)) - 1 if len(k) else k
+    s, e, first_i, apart = s[k], (upto[last] - group[last]) + (s[k] >> 32 << 32), first_i[k], apart[k]
+    order = np.lexsort((-apart, first_i, -e, s))
+    s, e, first_i = s[order], e[order], first_i[order]
+    outer = np.ones(len(s), bool)
+    if len(s):
+        outer[1:] = e[1:] > np.maximum.accumulate(e)[:-1]
+    return s[outer], e[outer], first_i[outer]
+
+
 def _spans(t: pa.Table) -> pa.RecordBatch:
-    i, kind, at, n, first_i = (t.column(c).to_numpy() for c in ("i", "kind", "at", "n", "first_i"))
+    i, kind, at, n, first_i, first_at = (t.column(c).to_numpy() for c in ("i", "kind", "at", "n", "first_i", "first_at"))
     ids, doc = np.unique(i, return_inverse=True)
     s = (doc.astype(np.int64) << 32) + at           # the ranges of all documents on one line
     e = s + n
-    rs, re = _joined(s[kind == 1], e[kind == 1])
+    run = kind == 1
+    os, oe, of_i = _outer(s[run], e[run], doc[run], first_i[run], first_at[run])
+    rs, re = _joined(os, oe)
     enough = re - rs >= MIN_WORDS
-    rs, re = _joined(np.concatenate([rs[enough], s[kind == 0]]), np.concatenate([re[enough], e[kind == 0]]))
-    k = np.searchsorted(rs, s, "right") - 1
-    inside = np.flatnonzero((k >= 0) & (s < re[np.maximum(k, 0)])) if len(rs) else np.zeros(0, np.int64)
+    rs, re = _joined(np.concatenate([rs[enough], s[~run]]), np.concatenate([re[enough], e[~run]]))
+    def within(x: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(rs, x, "right") - 1
+        return np.flatnonzero((k >= 0) & (x < re[np.maximum(k, 0)])) if len(rs) else np.zeros(0, np.int64)
+    inside = within(s)
+    kept_s, kept_i = np.concatenate([os, s[~run]]), np.concatenate([of_i, first_i[~run]])
+    kept = within(kept_s)
     some, of = np.unique(rs >> 32, return_inverse=True)
     ends = np.stack([rs & 0xFFFFFFFF, re & 0xFFFFFFFF], 1).astype(np.int32).reshape(-1)
     pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(rs) + 1, dtype=np.int32) * 2), pa.array(ends))
     spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(some) + 1)).astype(np.int32)), pairs)
-    row = np.searchsorted(some, doc[inside])
+    row, kept_row = np.searchsorted(some, doc[inside]), np.searchsorted(some, kept_s[kept] >> 32)
     lists = t.column("clusters").combine_chunks().take(pa.array(inside))
     lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
     clusters = lists.flatten().to_numpy()
     sizes = np.diff(lists.offsets.to_numpy())
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids[some]), spans, _lists(np.repeat(row, sizes), clusters, len(some)), _lists(row, first_i[inside], len(some))],
+        [pa.array(ids[some]), spans, _lists(np.repeat(row, sizes), clusters, len(some)), _lists(kept_row, kept_i[kept], len(some))],
         ["i", "spans", "clusters", "firsts"])
 
 
 def removals(rows: DataFrame) -> DataFrame:
     """(i, spans, clusters, firsts) of the documents that lose words: disjoint ascending spans of words
     [from, upto), the clusters of what is removed and the documents which keep them."""
-    runs = _by_document(repeats(rows), _runs, RUNS)
-    return _by_document(runs, _spans, "i long, spans array<array<int>>, clusters array<long>, firsts array<long>")
+    runs = settle(_by_document(repeats(rows), _runs, RUNS))
+    return _by_document(runs.union(_extended(rows, runs)), _spans, "i long, spans array<array<int>>, clusters array<long>, firsts array<long>")
 
 
 def without(texts: pa.Array, spans: list[list[list[int]] | None]) -> list[str]:

@@ -136,6 +136,22 @@ def test_passages_over_short_lines(spark):
         assert 0 in got[i].kept_in and at - 10 <= s <= at + 9 and at + 51 <= e <= at + 70
 
 
+def test_a_passage_goes_to_its_last_word(spark):
+    """Spans are the exact ranges of what repeats: 51 and 300 words in a line, and a text which repeats itself."""
+    whole = prose(51, 300)
+    half = " ".join(whole.split()[100:151])
+    loop = " ".join(prose(52, 7).split() * 6)
+    texts = [prose(53, 20) + " a0 " + whole + " b0 " + prose(54, 20)]
+    texts += [f"{prose(60 + k, 20)} a{k} {half} b{k} {prose(80 + k, 20)}" for k in range(1, 9)]
+    texts += ["c1 " + whole + " c2 " + prose(55, 140), "d1 " + loop + " d2"]
+    got = by_id(passages.document_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert got[0].n_spans == 0
+    for k in range(1, 9):
+        assert got[k].spans == [[21, 72]] and got[k].kept_in == [0] and got[k].removed_words == 51
+    assert got[9].spans == [[1, 301]] and got[9].kept_in == [0]
+    assert got[10].spans == [[8, 43]] and got[10].kept_in == [10]
+
+
 def test_near_copies_in_short_lines(spark):
     """Hard-wrapped paragraphs are compared as paragraphs, however they are wrapped."""
     w = prose(41, 120).split()
