@@ -20,12 +20,12 @@ def analyze(t: TraceTables, process: str, start: str | None = None, end: str | N
             overrides: Mapping[str, Mapping[str, Any]] | None = None,
             config_sha: str | None = None) -> Report:
     """One report per scenario. `scenarios(trace_id, scenario_id, repeat_no)`; without it every
-    trace is a scenario of its own."""
+    trace is a scenario of its own. All findings of a detector are merged and kept."""
     ctx = build_context(t, process, start, end).settled()
     if scenarios is None:
         scenarios = ctx.window.select("trace_id", F.col("trace_id").alias("scenario_id"),
                                       F.lit(1).alias("repeat_no"))
-    done = run_detectors(ctx, names, overrides)
+    done = run_detectors(ctx, names, overrides, limit=None)
     merged = settle(merge_repeats(settle(done.findings), scenarios))
     heads = settle(_headers(ctx, scenarios, config_sha, overrides is None))
     plan = F.array(*[F.struct(

@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.detectors import LIMIT
+from ..operators.repeats import ranked
 from .readers import Report, _conform
 from .schemas import DETECTOR_RUN, REPORT, REPORT_FINDING
 
@@ -23,7 +25,7 @@ def write_report(report: Report, path: str, mode: str = "append") -> None:
 def nested(report: Report) -> DataFrame:
     """One row per report: header, and detectors each with its rows (at most 20 of a detector)."""
     row_cols = [c for c in report.finding.columns if c not in ("report_id", "detector")]
-    rows = report.finding.groupBy("report_id", "detector").agg(F.reverse(F.array_sort(F.collect_list(
+    rows = ranked(report.finding, "report_id", LIMIT).groupBy("report_id", "detector").agg(F.reverse(F.array_sort(F.collect_list(
         F.struct(F.coalesce("self_ms", "total_ms", F.lit(0.0)).alias("_by"), F.struct(
             *[F.to_json(c).alias(c) if c == "spread" else F.col(c) for c in row_cols])
             .alias("row"))))).alias("rows"))

@@ -4,7 +4,7 @@ from spanmeter.operators import compare as cmp
 from spanmeter.operators import repeats as rep
 from spanmeter.operators.analyze import analyze
 from spanmeter.sources import history as hist
-from spanmeter.sources.readers import load_report, load_traces
+from spanmeter.sources.readers import TraceTables, load_report, load_traces
 from spanmeter.sources.schemas import FINDING, REPORT_FINDING
 from spanmeter.sources.writers import append_report, nested, write_report
 from spanmeter.functions.ordered import time_cell
@@ -188,3 +188,22 @@ def test_analyze_store_and_read_back(spark, tmp_path):
     assert append_report(back, hist_dir, "i2") == 1
     with pytest.raises(ValueError):
         load_report(spark, src)
+
+
+def test_a_finding_ranked_low_in_one_repeat_is_merged(spark):
+    """W00 is the 25th of its detector in t1 and the first in t2; a shown document has 20 rows."""
+    data = {n: [] for n in TRACE_TABLES}
+    for trace in ("t1", "t2"):
+        for name, r in planted_rows(trace).items():
+            data[name] += r
+        root = next(s[1] for s in data["slice"] if s[0] == trace and s[6] == "AppStart")
+        data["slice"] += [(trace, 900 + k, 4100, root, 10_000_000_000 + (200 + k) * 1_000_000,
+                           (200 if trace == "t2" and k == 0 else 130 + k) * 1_000_000, f"W{k:02}", 1) for k in range(25)]
+    t = TraceTables(**{n: spark.createDataFrame(data[n], s) for n, s in TRACE_TABLES.items()})
+    scenarios = spark.createDataFrame([("t1", "cold", 1), ("t2", "cold", 2)],
+                                      "trace_id string, scenario_id string, repeat_no int")
+    report = analyze(t, "com.example.app*", "AppStart", "Screen.firstFrame", scenarios=scenarios, names=["main_thread_block"])
+    row = report.finding.where("location = 'W00'").first()
+    assert (row.runs, row.runs_total, row.self_ms) == (2, 2, 165.0)
+    shown = [r.location for r in nested(report).first().detectors[0].rows]
+    assert len(shown) == 20 and shown[:3] == ["waitWhileAllocatingLocked", "W00", "W24"] and report.finding.count() > 25
