@@ -22,6 +22,8 @@ OPERATORS = [
     ("op8_near_vectors", "multi_index", "near_vectors", "embeddings", sqltext.NEAR_VECTORS),
     ("op9_minhash_near_dedup", "minhash", "near_duplicates", "documents", sqltext.NEAR_DUPLICATES),
     ("op10_byte_bpe", "byte_bpe", "round_trip", "documents", None),
+    ("op11_bit_planes", "bit_planes", "clusters", "embeddings", sqltext.CLUSTERS),
+    ("op13_exact_dedup", "exact", "exact_duplicates", "documents", sqltext.EXACT_DUPLICATES),
 ]
 
 
@@ -41,10 +43,15 @@ def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_toxicity(ship(configure(spark)), read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def _resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resample import resampled
+    return resampled(read(ship(configure(spark)), sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: _bound(module, function, table) for name, module, function, table, _ in OPERATORS}
-    return found | {"op5_toxicity": _toxicity}
+    return found | {"op5_toxicity": _toxicity, "op12_resampling": _resampled}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, *_, sql in OPERATORS if sql is not None}
+    return {name: sql for name, *_, sql in OPERATORS if sql is not None} | {"op12_resampling": sqltext.RESAMPLED}

@@ -83,3 +83,83 @@ counts AS (SELECT a AS id, count(*) AS n FROM linked GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, l.c AS component_id, e.vec_id = l.c AS kept
 FROM embeddings e JOIN least l ON l.id = e.vec_id LEFT JOIN counts n ON n.id = e.vec_id
 """
+
+EXACT_DUPLICATES = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY t)
+SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.t) AS text_sha256
+FROM t JOIN g USING (t)
+"""
+
+RESAMPLED = r"""
+WITH steps AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc
+  FROM (SELECT unnest(range(0, 256))::BIGINT AS n)),
+w AS (
+  SELECT kind, id, list_filter(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM (SELECT 'raw' AS kind, doc_id AS id, text FROM documents
+        UNION ALL SELECT 'target', item_id, text FROM benchmark)),
+single AS (SELECT kind, id, unnest(w) AS word FROM w),
+bytes AS (
+  SELECT word, list_transform(range(0, octet_length(encode(word))),
+      lambda i: ('0x' || hex(encode(word))[2 * i + 1:2 * i + 2])::BIGINT) AS b
+  FROM (SELECT DISTINCT word FROM single)),
+hashed AS (
+  SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], b),
+      lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes, steps),
+counts AS (
+  SELECT bucket, count(*) FILTER (kind = 'raw') AS s, count(*) FILTER (kind = 'target') AS t
+  FROM single JOIN hashed USING (word) GROUP BY bucket),
+sums AS (SELECT coalesce(sum(s), 0) AS s, coalesce(sum(t), 0) AS t FROM counts),
+gains AS (
+  SELECT bucket, floor(1000 * ln(((c.t + 1) * (a.s + 10000))::DOUBLE / ((c.s + 1) * (a.t + 10000))::DOUBLE))::BIGINT AS gain
+  FROM counts c, sums a),
+means AS (
+  SELECT id, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight
+  FROM single JOIN hashed USING (word) JOIN gains USING (bucket) WHERE kind = 'raw' GROUP BY id),
+scored AS (
+  SELECT d.doc_id, coalesce(m.n, 0)::BIGINT AS n_features, coalesce(m.weight, 0)::BIGINT AS weight,
+         coalesce(m.weight, 0)::BIGINT + floor(-1000 * ln(-ln(
+             (('0x' || sha256('2024:' || d.doc_id)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM documents d LEFT JOIN means m ON m.id = d.doc_id),
+placed AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 10 * count(*) OVER () // 100 AS want
+           FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN p.r <= p.want THEN p.r END AS rank
+FROM scored s LEFT JOIN placed p USING (doc_id)
+"""
+
+
+def _clusters(rounds: int) -> str:
+    """Each round is a statement of its own over the one before: distances, nearest, floored means."""
+    ctes = [r"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NULL OR isnan(e) OR isinf(e))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h) - 1 AS c, x FROM (
+    SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h LIMIT 8))"""]
+    for k in range(rounds + 1):
+        ctes.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, vec_id, x, d.least AS distance, d.c AS cluster FROM (
+    SELECT v.r, any_value(v.vec_id) AS vec_id, any_value(v.x) AS x,
+           min(struct_pack(least := list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - q.x[i]) * (v.x[i] - q.x[i])))::BIGINT,
+                           c := q.c)) AS d
+    FROM v, c{k} q GROUP BY v.r))""")
+        if k < rounds:
+            ctes.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT q.c, coalesce(m.x, q.x) AS x FROM c{k} q LEFT JOIN (
+    SELECT cluster, list(m ORDER BY i) AS x FROM (
+      SELECT cluster, i, ((sum(x[i])::BIGINT - (sum(x[i])::BIGINT % count(*) + count(*)) % count(*)) // count(*)) AS m
+      FROM a{k}, range(1, 65) p(i) GROUP BY cluster, i) GROUP BY cluster) m ON m.cluster = q.c)""")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT a.vec_id, a.cluster::INTEGER AS cluster, a.distance, sum(a.distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+       sum(a.distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(q.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} q ON q.c = a.cluster
+"""
+
+
+CLUSTERS = _clusters(10)
