@@ -5,10 +5,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.exprs import epoch_us, iso_text, lng
 from ..functions.ordered import LOG_CELL_US, carry, time_cell, top_k
@@ -66,44 +69,82 @@ def last_runs(runs: DataFrame, keys: Sequence[str] = ("project",),
 
 def match_runs(calls: DataFrame, runs: DataFrame, keys: Sequence[str] = ("session_id", "cmd"),
                slack_s: float = SLACK_S) -> DataFrame:
-    """One-to-one pairs of calls and logged runs of the same command, nearest in time first.
+    """One-to-one pairs of calls and logged runs of the same command: each call in order of time takes
+    the nearest run within the slack that no earlier call took (ties: the earlier run).
 
-    Takes `call_id, us` and `run_id, us` beside the keys. Two events which are each other's
-    nearest stand next to each other in time, so a round needs the neighbours only, never all
-    pairs; matched events leave and the rounds go on until nothing within the slack is left.
-    Deviation from a walk in call order: the globally nearer pair wins over the earlier call.
+    Takes `call_id, us` and `run_id, us` beside the keys; events without a time match nothing. No pair reaches over
+    a pause longer than the slack, so the pauses cut a key into chains. Chains are dealt out on their
+    own and walked once, as sorted streams: a walk holds the events of one slack, never a chain.
     """
     keys = list(keys)
-    slack = lng(round(slack_s * 1_000_000))
-    none = F.lit(None).cast("string")
-    events = calls.select(*keys, "us", F.col("call_id").cast("string").alias("call"),
-                          none.alias("run")).unionByName(
-        runs.select(*keys, "us", none.alias("call"), F.col("run_id").cast("string").alias("run")))
-    events = settle(events.withColumn("_tag", F.coalesce(
-        F.concat(F.lit("c"), F.col("call")), F.concat(F.lit("r"), F.col("run")))))
-    found = None
-    while True:
-        cell = time_cell("us", LOG_CELL_US)
-        near = carry(events, keys, ["us", "_tag"], cell, leads={
-            "_next": F.struct("us", "call", "run")})
-        mixed = F.col("call").isNotNull() != F.col("_next.call").isNotNull()
-        gap = F.col("_next.us") - F.col("us")
-        near = settle(near.withColumn("_gap", F.when(mixed & (gap <= slack), gap)))
-        around = carry(near, keys, ["us", "_tag"], cell,
-                       lags={"_left": F.col("_gap")}, leads={"_right": F.col("_gap")})
-        wins = (F.col("_gap").isNotNull()
-                & (F.col("_left").isNull() | (F.col("_gap") < F.col("_left")))
-                & (F.col("_right").isNull() | (F.col("_gap") <= F.col("_right"))))
-        pairs = settle(around.where(wins).select(
-            *keys, F.coalesce("call", "_next.call").alias("call_id"),
-            F.coalesce("run", "_next.run").alias("run_id"), F.col("_gap").alias("gap_us")))
-        if pairs.isEmpty():
-            return found if found is not None else pairs
-        found = pairs if found is None else found.unionByName(pairs)
-        gone = pairs.select(*keys, F.explode(F.array(
-            F.concat(F.lit("c"), F.col("call_id")), F.concat(F.lit("r"), F.col("run_id"))))
-            .alias("_tag"))
-        events = settle(events.join(gone, [*keys, "_tag"], "left_anti"))
+    slack = round(slack_s * 1_000_000)
+    ids = {"call_id": calls.schema["call_id"].dataType, "run_id": runs.schema["run_id"].dataType}
+    def side(df: DataFrame, own: str) -> DataFrame:
+        return df.where(F.col("us").isNotNull()).select(
+            *keys, "us", *[(F.col(i) if i == own else F.lit(None)).cast(t).alias(i) for i, t in ids.items()])
+
+    events = side(calls, "call_id").unionByName(side(runs, "run_id"))
+    cell = time_cell("us", LOG_CELL_US)
+    near = carry(events, keys, ["us"], cell, lags={"_before": F.col("us")})
+    # Of events at one time the one that opens a chain goes first.
+    goes_on = near.withColumn("_goes_on", F.when(F.col("us") - F.col("_before") <= lng(slack), lng(1)).otherwise(lng(0)))
+    chains = carry(goes_on, keys, ["us", "_goes_on"], cell, sums={"_chain": 1 - F.col("_goes_on")})
+    place = [*keys, "_chain"]
+    dealt = (chains.select(*place, "us", *ids).repartition(*place)
+             .sortWithinPartitions(*place, "us", "call_id", "run_id"))
+    schema = StructType([*[events.schema[k] for k in keys], *[StructField(i, t) for i, t in ids.items()],
+                         StructField("gap_us", LongType())])
+    return dealt.mapInArrow(_walk(len(place), slack), schema)
+
+
+def _walk(n_place: int, slack: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The walk over sorted events (place, us, call_id, run_id). A call is decided when the stream has
+    passed the last run it could take."""
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, waiting, free, pairs = None, deque(), deque(), []
+
+        def decide() -> None:
+            us, call = waiting.popleft()
+            while free and free[0][0] < us - slack:
+                free.popleft()
+            near = [k for k, (t, _) in enumerate(free) if abs(t - us) <= slack]
+            if near:
+                k = min(near, key=lambda k: abs(free[k][0] - us))
+                pairs.append((*at[:-1], call, free[k][1], abs(free[k][0] - us)))
+                del free[k]
+
+        def emit(kinds: list) -> pa.RecordBatch:
+            columns = zip(*pairs, strict=True) if pairs else [[]] * len(kinds)
+            out = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
+            pairs.clear()
+            return out
+
+        kinds = names = None
+        for b in batches:
+            fields = [f for k, f in enumerate(b.schema) if k not in (n_place - 1, n_place)]
+            names, kinds = [*[f.name for f in fields], "gap_us"], [*[f.type for f in fields], pa.int64()]
+            for *place, us, call, run in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if place != at:
+                    while waiting:
+                        decide()
+                    free.clear()
+                    at = place
+                while waiting and waiting[0][0] < us - slack:
+                    decide()
+                if call is not None:
+                    waiting.append((us, call))
+                else:
+                    if not waiting:   # no call before this one can reach further back
+                        while free and free[0][0] < us - slack:
+                            free.popleft()
+                    free.append((us, run))
+            yield emit(kinds)
+        while waiting:
+            decide()
+        if kinds is not None:
+            yield emit(kinds)
+
+    return walk
 
 
 def newest_sittings(facts: DataFrame, keys: Sequence[str] = ("project",), n: int | None = 1

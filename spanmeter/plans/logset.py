@@ -187,29 +187,25 @@ def _sig(name: str, severity: str, rows: str, source: str) -> str:
             f"FROM {source}")
 
 
-def _match_sql(rounds: int = 12) -> str:
-    """Rounds of mutually nearest neighbours, written out. More rounds than the data needs."""
-    ctes = ["""ev0 AS MATERIALIZED (
-      SELECT 's' || project % 5 AS session_id, cmd, us, event_id,
-             CASE WHEN event_id % 2 = 1 THEN 'c' ELSE 'r' END AS kind FROM runs)"""]
-    for k in range(rounds):
-        ctes.append(f"""near{k} AS MATERIALIZED (
-      SELECT *, CASE WHEN nk <> kind AND nus - us <= 300000000 THEN nus - us END AS gap FROM (
-        SELECT *, lead(us) OVER w AS nus, lead(kind) OVER w AS nk, lead(event_id) OVER w AS nid
-        FROM ev{k} WINDOW w AS (PARTITION BY session_id, cmd ORDER BY us, kind, event_id))),
-    won{k} AS MATERIALIZED (
-      SELECT * FROM (SELECT *, lag(gap) OVER w AS lg, lead(gap) OVER w AS rg FROM near{k}
-                     WINDOW w AS (PARTITION BY session_id, cmd ORDER BY us, kind, event_id))
-      WHERE gap IS NOT NULL AND (lg IS NULL OR gap < lg) AND (rg IS NULL OR gap <= rg)),
-    ev{k + 1} AS MATERIALIZED (
-      SELECT * FROM ev{k} WHERE event_id NOT IN (SELECT event_id FROM won{k})
-        AND event_id NOT IN (SELECT nid FROM won{k}))""")
-    union = " UNION ALL ".join(f"SELECT * FROM won{k}" for k in range(rounds))
-    return _q(f"""
-      SELECT session_id, cmd, gap AS gap_us,
-             CAST(CASE WHEN kind = 'c' THEN event_id ELSE nid END AS VARCHAR) AS call_id,
-             CAST(CASE WHEN kind = 'c' THEN nid ELSE event_id END AS VARCHAR) AS run_id
-      FROM ({union})""", *ctes)
+# The walk in call order, one call of every command at a time, with the list of runs it has taken.
+_MATCH_SQL = """
+sides AS (
+  SELECT 's' || project % 5 AS session_id, cmd,
+         list({'us': us, 'id': event_id} ORDER BY us, event_id) FILTER (event_id % 2 = 1) AS calls,
+         list({'us': us, 'id': event_id} ORDER BY us, event_id) FILTER (event_id % 2 = 0) AS logged
+  FROM runs GROUP BY ALL),
+walk AS (
+  SELECT session_id, cmd, calls, logged, 0 AS n, CAST([] AS BIGINT[]) AS taken,
+         CAST(NULL AS STRUCT(gap BIGINT, us BIGINT, id BIGINT)) AS best
+  FROM sides WHERE len(calls) > 0
+  UNION ALL
+  SELECT session_id, cmd, calls, logged, n + 1,
+         CASE WHEN found IS NULL THEN taken ELSE list_append(taken, found.id) END, found
+  FROM (SELECT *, list_min(list_transform(
+                 list_filter(coalesce(logged, []), lambda r: abs(r.us - calls[n + 1].us) <= 300000000
+                                                             AND NOT list_contains(taken, r.id)),
+                 lambda r: {'gap': abs(r.us - calls[n + 1].us), 'us': r.us, 'id': r.id})) AS found
+        FROM walk WHERE n < len(calls)))"""
 
 
 _ROUND_SQL = """
@@ -356,7 +352,10 @@ QUERIES = {
         lambda s, d: rl.last_runs(runs(s, d)),
         _q("""SELECT project, cmd, max(us) AS us, CAST(arg_max(exit, us) AS INTEGER) AS exit,
                      arg_max(ms, us) AS ms FROM runs GROUP BY project, cmd""")),
-    "match_runs": (_matched, _match_sql()),
+    "match_runs": (
+        _matched,
+        _q("SELECT session_id, cmd, calls[n].id AS call_id, best.id AS run_id, best.gap AS gap_us "
+           "FROM walk WHERE best IS NOT NULL", _MATCH_SQL).replace("WITH", "WITH RECURSIVE", 1)),
     "usage_totals": (
         lambda s, d: ss.usage_totals(usage(s, d)),
         f"""

@@ -1,6 +1,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanmeter.functions.exprs import strip_heredocs
@@ -28,31 +29,49 @@ def test_sittings(spark):
     assert rl.sitting_facts(rl.sittings(runs(spark, [(0, 0), (30, 1)]))).count() == 1
 
 
-def test_matching_is_one_to_one_and_nearest(spark):
-    rnd = random.Random(7)
-    def some(n):
-        return sorted(rnd.sample(range(200), n))
-    calls, logged = some(25), some(25)
-    c = spark.createDataFrame([("s", "a", i, t * 1_000_000) for i, t in enumerate(calls)],
+def walked(calls, logged, slack):
+    """The walk in call order, on lists of (time, id)."""
+    free, pairs = sorted(logged), set()
+    for us, call in sorted(calls):
+        near = [r for r in free if abs(r[0] - us) <= slack]
+        if near:
+            best = min(near, key=lambda r: abs(r[0] - us))
+            free.remove(best)
+            pairs.add((call, best[1], abs(best[0] - us)))
+    return pairs
+
+
+def matched(spark, calls, logged, slack_s):
+    c = spark.createDataFrame([("s", cmd, i, t) for cmd, t, i in calls],
                               "session_id string, cmd string, call_id long, us long")
-    r = spark.createDataFrame([("s", "a", i, t * 1_000_000) for i, t in enumerate(logged)],
+    r = spark.createDataFrame([("s", cmd, i, t) for cmd, t, i in logged],
                               "session_id string, cmd string, run_id long, us long")
-    got = {(int(x.call_id), int(x.run_id)) for x in rl.match_runs(c, r, slack_s=15).collect()}
-    # Brute force: the closest pair of all leaves first.
-    free_c, free_r, want = set(range(25)), set(range(25)), set()
-    while True:
-        # Ties: the pair which starts earlier.
-        pairs = [(abs(calls[i] - logged[j]), min(calls[i], logged[j]), i, j)
-                 for i in free_c for j in free_r if abs(calls[i] - logged[j]) <= 15]
-        if not pairs:
-            break
-        _, _, i, j = min(pairs)
-        want.add((i, j))
-        free_c.discard(i)
-        free_r.discard(j)
-    assert len({a for a, _ in got}) == len(got) == len({b for _, b in got})
-    assert sum(abs(calls[i] - logged[j]) for i, j in got) == sum(abs(calls[i] - logged[j]) for i, j in want)
-    assert len(got) == len(want)
+    return {(x.cmd, x.call_id, x.run_id, x.gap_us) for x in rl.match_runs(c, r, slack_s=slack_s).collect()}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_matching_walks_in_call_order(spark, seed):
+    rnd = random.Random(seed)
+    calls, logged = ([(cmd, rnd.randrange(500) * 1_000_000, k) for cmd in "ab" for k in range(60)] for _ in "xy")
+    want = {(cmd, *p) for cmd in "ab" for p in walked([(t, i) for c, t, i in calls if c == cmd],
+                                                      [(t, i) for c, t, i in logged if c == cmd], 15_000_000)}
+    assert matched(spark, calls, logged, 15) == want
+
+
+def test_an_earlier_call_takes_the_run_a_later_one_is_nearer_to(spark):
+    # Distances shrink from pair to pair: each call's nearest run is nearer to the call after it.
+    at = [0]
+    for step in range(12, 0, -1):
+        at.append(at[-1] + step)
+    events = [("a", t * 1_000_000, k) for k, t in enumerate(at)]
+    got = matched(spark, events[0::2], events[1::2], 15)
+    assert {(c, r) for _, c, r, _ in got} == {(k, k + 1) for k in range(0, 12, 2)}
+
+
+def test_a_pause_of_just_the_slack_is_none(spark):
+    got = matched(spark, [("a", 0, 1), ("a", 100_000_000, 2)], [("a", 15_000_000, 7), ("a", 84_999_999, 8)], 15)
+    assert got == {("a", 1, 7, 15_000_000)}
+    assert matched(spark, [("a", 5, 1)], [], 15) == matched(spark, [], [("a", 5, 1)], 15) == set()
 
 
 def test_log_lines_which_do_not_parse_are_skipped(spark, tmp_path):
