@@ -8,9 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import any_glob, glob, int_div, lng, ms_text, nonneg, ns, tenths_text, to_ms
+from ..functions.exprs import any_glob, as_key, from_key, glob, int_div, lng, ms_text, ns, tenths_text, to_ms
 from ..functions.ordered import counted_values, top_k, values_at_ranks
-from ..session import settle
 from .context import TraceContext
 from .intervals import intersect_intervals, islands
 
@@ -35,9 +34,8 @@ def _finding(df: DataFrame, detector: str, rank_by: str, limit: int | None,
     return best.select("trace_id", *cols)
 
 
-def _spans() -> list[Column]:
-    return [F.count(F.lit(1)).alias("count"), F.sum("dur").alias("_sum"),
-            F.max("dur").alias("_max")]
+def _folds() -> list[Column]:
+    return [F.sum("n").alias("count"), F.sum("dur_sum").alias("_sum"), F.max("dur_max").alias("_max")]
 
 
 def _totals() -> dict[str, Column]:
@@ -50,22 +48,26 @@ def main_thread_block(ctx: TraceContext, *, min_slice_ms: float = 16,
 
     The child sum is over all spans of the trace, unclipped; an open child counts 0.
     """
+    main = F.col("is_main_thread")
+    parents = ctx.slice_win.where(main).select("trace_id", "slice_id", "name", "thread_name")
+    # Only the sum per name is wanted, so children meet their parent's name and no sum per parent is made.
     children = (
-        ctx.tables.slice.where(F.col("parent_id").isNotNull())
-        .groupBy("trace_id", F.col("parent_id").alias("slice_id"))
-        .agg(F.sum(nonneg("dur")).alias("child_ns"))
+        ctx.tables.slice.where(F.col("parent_id").isNotNull() & (F.col("dur") > 0))
+        .select("trace_id", F.col("parent_id").alias("slice_id"), "dur")
+        .join(parents, ["trace_id", "slice_id"])
+        .groupBy("trace_id", as_key("name").alias("_name"), as_key("thread_name").alias("_thread"))
+        .agg(F.sum("dur").alias("child_ns"))
     )
     own = (
-        ctx.slice_win.where(F.col("is_main_thread"))
-        .select("trace_id", "slice_id", "name", "thread_name", nonneg("dur").alias("dur"))
-        .join(children, ["trace_id", "slice_id"], "left")
-        .withColumn("self_ns", F.col("dur") - F.coalesce("child_ns", lng(0)))
+        ctx.span_folds.where(main)
+        .groupBy("trace_id", as_key("name").alias("_name"), as_key("thread_name").alias("_thread")).agg(*_folds())
+        .join(children, ["trace_id", "_name", "_thread"], "left")
+        .withColumn("_self", F.col("_sum") - F.coalesce("child_ns", lng(0)))
     )
     rows = (
-        own.groupBy("trace_id", F.col("name").alias("location"), F.col("thread_name").alias("detail"))
-        .agg(*_spans(), F.sum("self_ns").alias("_self"))
-        .where(F.col("_self") >= lng(ns(min_slice_ms)))
-        .withColumns({"self_ms": to_ms("_self"), **_totals()})
+        own.where(F.col("_self") >= lng(ns(min_slice_ms)))
+        .withColumns({"location": from_key("_name"), "detail": from_key("_thread"),
+                      "self_ms": to_ms("_self"), **_totals()})
     )
     return _finding(rows, "main_thread_block", "self_ms", limit)
 
@@ -76,7 +78,7 @@ def main_thread_outlier(ctx: TraceContext, *, factor: float = 4, min_abs_ms: flo
     seen = ctx.slice_win.where(F.col("is_main_thread") & (F.col("dur") > 0)).select(
         "trace_id", "name", "dur")
     # Equal durations are folded once; the baseline and the outliers both read that.
-    folded = settle(counted_values(seen, ["trace_id", "name"], "dur"))
+    folded = counted_values(seen, ["trace_id", "name"], "dur")
     median = values_at_ranks(folded, ["trace_id", "name"], "dur",
                              {"median_ns": int_div(F.col("n") + 1, lng(2))})
     median = median.where(F.col("n") >= min_occurrences)
@@ -102,9 +104,9 @@ def gc_pressure(ctx: TraceContext, *, max_events: int = 15, max_total_ms: float
                 limit: int | None = LIMIT) -> DataFrame:
     """Collector cycles and allocation waits by name and thread."""
     rows = (
-        ctx.slice_win.where(any_glob("name", [name_glob, name_glob_alt]))
+        ctx.span_folds.where(any_glob("name", [name_glob, name_glob_alt]))
         .groupBy("trace_id", F.col("name").alias("location"), F.col("thread_name").alias("detail"))
-        .agg(*_spans())
+        .agg(*_folds())
         .where((F.col("count") >= max_events) | (F.col("_sum") >= lng(ns(max_total_ms))))
         .withColumns(_totals())
     )
@@ -116,11 +118,10 @@ def monitor_contention(ctx: TraceContext, *, min_block_ms: float = 8, max_total_
                        name_glob_alt: str = "monitor contention with owner*",
                        limit: int | None = LIMIT) -> DataFrame:
     """Monitor waits by the thread which waited; the longest one names the owner."""
-    longest = F.struct(F.col("dur"), -F.col("slice_id"))
     rows = (
-        ctx.slice_win.where(any_glob("name", [name_glob, name_glob_alt]))
+        ctx.span_folds.where(any_glob("name", [name_glob, name_glob_alt]))
         .groupBy("trace_id", F.col("thread_name").alias("location"))
-        .agg(*_spans(), F.max_by("name", longest).alias("detail"))
+        .agg(*_folds(), F.max_by("name", "longest").alias("detail"))
         .where((F.col("_max") >= lng(ns(min_block_ms))) | (F.col("_sum") >= lng(ns(max_total_ms))))
         .withColumns(_totals())
     )
@@ -132,9 +133,9 @@ def binder_txn(ctx: TraceContext, *, min_txn_ms: float = 10, max_total_ms: float
                limit: int | None = LIMIT) -> DataFrame:
     """Synchronous calls into other processes by thread."""
     rows = (
-        ctx.slice_win.where(glob("name", name_glob) & ~glob("name", skip_glob))
+        ctx.span_folds.where(glob("name", name_glob) & ~glob("name", skip_glob))
         .groupBy("trace_id", F.col("thread_name").alias("location"), "is_main_thread")
-        .agg(*_spans())
+        .agg(*_folds())
         .where((F.col("_max") >= lng(ns(min_txn_ms))) | (F.col("_sum") >= lng(ns(max_total_ms))))
         .withColumns({**_totals(), "detail": F.when(
             F.col("is_main_thread"), F.lit("main thread")).otherwise(F.lit("background"))})
@@ -146,9 +147,9 @@ def runnable_starvation(ctx: TraceContext, *, min_runnable_ms: float = 20,
                         limit: int | None = LIMIT) -> DataFrame:
     """Time ready to run without a CPU, by thread and state, inside the window."""
     rows = (
-        ctx.tstate_win.where(F.col("state").isin(RUNNABLE))
+        ctx.state_folds.where(F.col("state").isin(RUNNABLE))
         .groupBy("trace_id", F.col("thread_name").alias("location"), "state")
-        .agg(*_spans())
+        .agg(*_folds())
         .where(F.col("_sum") >= lng(ns(min_runnable_ms)))
         .withColumns({**_totals(), "detail": F.concat(F.lit("state "), F.col("state"))})
     )
@@ -168,11 +169,11 @@ def uninstrumented_cpu(ctx: TraceContext, *, min_running_ms: float = 50,
                        max_covered_pct: float = 50, limit: int | None = LIMIT) -> DataFrame:
     """Threads which burn CPU mostly outside any span."""
     running = (
-        ctx.tstate_win.where(F.col("state") == "Running")
-        .groupBy("trace_id", "utid", "thread_name").agg(F.sum("dur").alias("running_ns"))
+        ctx.state_folds.where(F.col("state") == "Running")
+        .select("trace_id", "utid", "thread_name", F.col("dur_sum").alias("running_ns"))
         .where(F.col("running_ns") >= lng(ns(min_running_ms)))
     )
-    counted = ctx.slice_win.groupBy("trace_id", "utid").agg(F.count(F.lit(1)).alias("_slices"))
+    counted = ctx.span_folds.groupBy("trace_id", "utid").agg(F.sum("n").alias("_slices"))
     covered = F.coalesce("shared_ns", lng(0))
     rows = (
         running.join(cpu_in_spans(ctx), ["trace_id", "utid"], "left")
@@ -197,8 +198,7 @@ def frame_jank(ctx: TraceContext, *, min_frames: int = 3, min_overrun_ms: float
     """
     mine = (
         ctx.tables.actual_frame.where(F.col("surface_frame_token").isNotNull() & (F.col("dur") > 0))
-        .join(ctx.proc.select("trace_id", "upid"), ["trace_id", "upid"])
-        .join(ctx.window, "trace_id")
+        .join(ctx.chosen.select("trace_id", "upid", "ts_start", "ts_end"), ["trace_id", "upid"])
         .where((F.col("ts") < F.col("ts_end"))
                & (F.col("ts") + F.col("dur") > F.col("ts_start")))
         .select("trace_id", "upid", "surface_frame_token", "dur", "jank_type", "jank_tag")
@@ -244,8 +244,7 @@ def stalls(ctx: TraceContext, min_stall_ms: float, max_gap_ms: float) -> DataFra
         "trace_id", "ts", (F.col("ts") + F.col("dur")).alias("te"),
         F.lit(None).cast("string").alias("span"), F.lit(None).cast("long").alias("slice_id"),
         "state")
-    busy = settle(spans.unionByName(states))
-    marked = settle(islands(busy, ["trace_id"], ns(max_gap_ms)))
+    marked = islands(spans.unionByName(states), ["trace_id"], ns(max_gap_ms))
     length = F.col("te") - F.col("ts")
     longest = F.struct(length, -F.col("slice_id"))
     per = (
@@ -260,7 +259,7 @@ def stalls(ctx: TraceContext, min_stall_ms: float, max_gap_ms: float) -> DataFra
     )
     # Spans without length inside the stretch are messages too.
     points = (
-        marked.where(F.col("te").isNull())
+        marked.where(F.col("te").isNull() & F.col("state").isNull())   # only spans are without length
         .join(per.select("trace_id", "island", "ts_from", "ts_to"), ["trace_id", "island"])
         .where((F.col("ts") > F.col("ts_from")) & (F.col("ts") < F.col("ts_to")))
         .groupBy("trace_id", "island").agg(
@@ -295,11 +294,12 @@ def anr_risk(ctx: TraceContext, *, min_stall_ms: float = 5000, max_gap_ms: float
 
 def anr(ctx: TraceContext, *, limit: int | None = LIMIT) -> DataFrame:
     """Freezes the system recorded for this process, over the whole trace."""
-    p = ctx.proc.select("trace_id", F.col("upid").alias("_upid"), F.col("pid").alias("_pid"),
-                        F.col("name").alias("_name"))
+    p = ctx.chosen.where(F.col("ts_start").isNotNull()).select(
+        "trace_id", F.col("upid").alias("_upid"), F.col("pid").alias("_pid"), F.col("name").alias("_name"),
+        "ts_start", "ts_end")
     same = ((F.col("upid") == F.col("_upid")) | (F.col("pid") == F.col("_pid"))
             | (F.col("process_name") == F.col("_name")))
-    ours = ctx.tables.freeze_record.join(p, "trace_id").where(same).join(ctx.window, "trace_id")
+    ours = ctx.tables.freeze_record.join(p, "trace_id").where(same)
     subject = F.coalesce(F.nullif(F.col("subject"), F.lit("")), F.col("anr_type"), F.lit("ANR"))
     where = (
         F.when(F.col("ts") < F.col("ts_start"), F.concat(

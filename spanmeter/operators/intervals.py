@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import lng
 from ..functions.ordered import TRACE_CELL_NS, carry, time_cell
-from ..session import settle
 
 
 def intersect_intervals(a: DataFrame, b: DataFrame, keys: Sequence[str],
@@ -30,7 +29,7 @@ def intersect_intervals(a: DataFrame, b: DataFrame, keys: Sequence[str],
                         (mine if side == "a" else zero).alias("da"),
                         (mine if side == "b" else zero).alias("db"))
 
-    events = settle(
+    events = (
         bounds(a, "a").unionByName(bounds(b, "b"))
         .groupBy(*keys, "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     )
@@ -44,15 +43,33 @@ def intersect_intervals(a: DataFrame, b: DataFrame, keys: Sequence[str],
 
 def islands(intervals: DataFrame, keys: Sequence[str], max_gap_ns: int,
             cell_ns: int = TRACE_CELL_NS) -> DataFrame:
-    """Adds `island` to intervals `ts, te`: a new one opens where the largest end so far is
-    left behind by more than the gap. Rows with a NULL `te` are points: they join the island
-    around them and never open or prolong one.
+    """Adds `island`, the time at which it opens, to intervals `ts, te`: a new one opens where the largest end so
+    far is left behind by more than the gap. Rows with a NULL `te` are points: they join the island
+    around them and never open or prolong one; before the first island they have none.
+
+    Rows are sorted inside cells only. A row which would open an island in its cell does so if the ends of
+    earlier cells are left behind too, and if the last one of a cell doesn't, none of that cell does: so a cell's
+    largest end and last opening are all that is carried on, and the rows are met once.
     """
-    cell = time_cell("ts", cell_ns)
-    reach = carry(intervals, keys, ["ts", "te"], cell, maxes_before={"_reached": F.col("te")})
-    opens = F.col("te").isNotNull() & (
-        F.col("_reached").isNull() | (F.col("ts") - F.col("_reached") > lng(max_gap_ns)))
-    # Equal intervals may be sorted differently the second time: the opening one goes first.
-    flagged = reach.withColumn("_stays", F.when(opens, lng(0)).otherwise(lng(1)))
-    return carry(flagged, keys, ["ts", "te", "_stays"], cell,
-                 sums={"island": 1 - F.col("_stays")}).drop("_reached", "_stays")
+    cell_keys, gap = [*keys, "_cell"], lng(max_gap_ns)
+    inside = Window.partitionBy(*cell_keys).orderBy("ts", "te")
+    before = F.max("te").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.col("te").isNotNull() & (before.isNull() | (F.col("ts") - before > gap))
+    rows = (
+        intervals.withColumn("_cell", time_cell("ts", cell_ns))
+        .withColumn("_opens", F.when(opens, F.col("ts")))
+    )
+    per_cell = rows.groupBy(*cell_keys).agg(F.max("te").alias("_end"), F.max("_opens").alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+
+    def valid(c: str) -> Column:
+        return F.when(F.col("_reached").isNull() | (F.col(c) - F.col("_reached") > gap), F.col(c))
+
+    carried = (
+        per_cell.withColumn("_reached", F.max("_end").over(earlier))
+        .withColumn("_island", F.max(valid("_last")).over(earlier))
+        .select(*cell_keys, "_reached", "_island")
+    )
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    island = F.greatest(F.max(valid("_opens")).over(upto), F.col("_island"))
+    return rows.join(carried, cell_keys).select(*intervals.columns, island.alias("island"))

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import epoch_us, lng
-from ..session import settle
 from ..sources.readers import TraceTables
 
 
@@ -27,14 +26,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trace_tables(spark: SparkSession, sf_dir: str) -> TraceTables:
-    """A trace per calendar day of `events`, 24 threads in 4 processes each.
-
-    A trace store holds threads and processes as tables, so each query writes them first; spans,
-    states and frames stay projections of `events`.
-    """
+    """A trace per calendar day of `events`, 24 threads in 4 processes each; all tables are projections."""
     e = _events(spark, sf_dir)
     upid = F.col("utid") % 4
-    threads = settle(e.select("trace_id", "utid").distinct())
+    threads = e.select("trace_id", "utid").distinct()
     depth = (F.when(F.col("event_type").isin("view", "click"), 0)
              .when(F.col("event_type") == "signup", 2).otherwise(1))
     named = F.concat("event_type", F.lit(" "), (F.col("event_id") % 5).cast("string"))
@@ -46,9 +41,9 @@ def trace_tables(spark: SparkSession, sf_dir: str) -> TraceTables:
     tag = (F.when(F.col("event_type") == "view", "No Jank")
            .when(F.col("event_type").isin("click", "error"), "Self Jank").otherwise("Other Jank"))
     return TraceTables(
-        process=settle(threads.select(
+        process=threads.select(
             "trace_id", upid.alias("upid"), (upid + 1000).alias("pid"),
-            F.concat(F.lit("app.p"), upid.cast("string")).alias("name")).distinct()),
+            F.concat(F.lit("app.p"), upid.cast("string")).alias("name")).distinct(),
         thread=threads.select(
             "trace_id", "utid",
             F.when(F.col("utid") < 4, upid + 1000).otherwise(F.col("utid") + 2000).alias("tid"),

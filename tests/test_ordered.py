@@ -66,10 +66,10 @@ def test_islands_match_a_scan(spark):
     rows += [("x", 100 + i, r[2], r[3]) for i, r in enumerate(rows[:10])]  # equal intervals
     got = islands(spark.createDataFrame(rows, "k string, i long, ts long, te long"), ["k"], 2,
                   cell_ns=9).collect()
-    reach, island, want = None, 0, {}
+    reach, island, want = None, None, {}
     for _, i, ts, te in sorted(rows, key=lambda r: (r[2], r[3])):
         if reach is None or ts - reach > 2:
-            island += 1
+            island = ts   # an island is named by the time at which it opens
         want[i] = island
         reach = te if reach is None else max(reach, te)
     assert {r.i: r.island for r in got} == want
