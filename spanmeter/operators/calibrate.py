@@ -63,8 +63,7 @@ def nth_largest(df: DataFrame, keys: Sequence[str], column: str, n: int) -> Data
 
 def interp_percentile(df: DataFrame, keys: Sequence[str], column: str, p: float) -> DataFrame:
     """The percentile at position (n-1)*p/100, linear between the two neighbours, per key."""
-    counted = settle(counted_values(df.select(*keys, F.col(column).cast("double").alias("_x")),
-                                    keys, "_x"))
+    counted = counted_values(df.select(*keys, F.col(column).cast("double").alias("_x")), keys, "_x")
     at = (F.col("n") - 1) * F.lit(p) / F.lit(100.0)
     low = F.floor(at) + 1
     found = values_at_ranks(counted, keys, "_x", {"_low": low, "_high": F.least(low + 1, F.col("n"))})

@@ -9,26 +9,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import as_key, family, from_key, hundredths
-from ..session import settle
-from .detectors import identity_detail
+from .detectors import identity_of
 
 FLOOR_MS = 5.0
 FLOOR_RATIO = 0.10
-_KEY = ["pair_id", "detector", "key_location", "key_detail"]
+_KEY = ["pair_id", "detector", "key_location", "key_detail", "key_more"]
 
 
-def _keyed(rows: DataFrame, identity: Column | None) -> DataFrame:
+def _common(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Per pair and detector, the identity columns which the rows of both sides carry; where one side has
+    no rows, those of the other. Sides with nothing in common are matched on the location."""
+    def names(df: DataFrame, side: str) -> DataFrame:
+        return df.select("pair_id", "detector", *[
+            (F.map_keys(identity_of(df)) if s == side else F.lit(None).cast("array<string>")).alias(s) for s in "ba"])
+
+    met = names(before, "b").unionByName(names(after, "a")).groupBy("pair_id", "detector").agg(
+        *[F.first(s, ignorenulls=True).alias(s) for s in "ba"])
+    both = F.array_sort(F.array_intersect("b", "a"))
+    return met.select("pair_id", "detector", F.when(F.col("b").isNull(), F.col("a")).when(F.col("a").isNull(), F.col("b"))
+                      .when(F.size(both) > 0, both).otherwise(F.array(F.lit("location"))).alias("_names"))
+
+
+def _keyed(rows: DataFrame, names: DataFrame) -> DataFrame:
     """Identity columns, and an ordinal for rows which share one.
 
     Rows of one report share an identity only when edited by hand, so the ordinal window holds
     one or two rows.
     """
-    named = identity_detail() if identity is None else identity
-    d = rows.withColumns({"key_location": as_key("location"),
-                          "key_detail": F.coalesce(named, F.lit(""))})
+    def value(name: str) -> Column:
+        return F.when(F.array_contains("_names", name), as_key(F.try_element_at("_identity", F.lit(name)))).otherwise("")
+
+    more = F.filter("_names", lambda n: ~n.isin("location", "detail"))
+    d = rows.withColumn("_identity", identity_of(rows)).join(names, ["pair_id", "detector"]).withColumns({
+        "key_location": value("location"), "key_detail": value("detail"),
+        "key_more": F.transform(more, lambda n: as_key(F.try_element_at("_identity", n)))})
     place = Window.partitionBy(*_KEY).orderBy(
         F.col("total_ms").desc_nulls_last(), F.col("detail"))
-    return d.withColumn("ordinal", F.row_number().over(place))
+    return d.drop("_identity", "_names").withColumn("ordinal", F.row_number().over(place))
 
 
 def _side(df: DataFrame, side: str) -> DataFrame:
@@ -37,20 +54,23 @@ def _side(df: DataFrame, side: str) -> DataFrame:
     return df.select(*keep, F.struct(*cols).alias(side))
 
 
-def pair_rows(before: DataFrame, after: DataFrame, identity: Column | None = None) -> DataFrame:
+def pair_rows(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows of both sides matched exactly, then by name family, then left over.
 
-    A family pairs only when exactly one row is left of it on each side: with two workers before
+    A row is named by the identity columns which both reports carry (`identity`, a map). A report without them
+    is matched on the location alone; rows of frames without that column are named as the detectors
+    here declare. A family pairs only when exactly one row is left of it on each side: with two workers before
     and three after there is no honest way to say which became which.
     """
-    keep = [*_KEY, "ordinal"]
-    b, a = _side(_keyed(before, identity), "b"), _side(_keyed(after, identity), "a")
-    full = settle(b.join(a, keep, "full_outer"))
+    keep, names = [*_KEY, "ordinal"], _common(before, after)
+    b, a = _side(_keyed(before, names), "b"), _side(_keyed(after, names), "a")
+    full = b.join(a, keep, "full_outer")
     exact = full.where(F.col("b").isNotNull() & F.col("a").isNotNull()).withColumn(
         "matched_by", F.lit("exact"))
     rest = full.where(F.col("b").isNull() | F.col("a").isNull()).withColumns({
-        "fam_location": family("key_location"), "fam_detail": family("key_detail")})
-    fam = ["pair_id", "detector", "fam_location", "fam_detail"]
+        "fam_location": family("key_location"), "fam_detail": family("key_detail"),
+        "fam_more": F.transform("key_more", family)})
+    fam = ["pair_id", "detector", "fam_location", "fam_detail", "fam_more"]
     # Both leftovers of an unambiguous family meet in one aggregate; no self-join is needed.
     groups = rest.groupBy(*fam).agg(
         F.count("b").alias("nb"), F.count("a").alias("na"),
@@ -58,7 +78,7 @@ def pair_rows(before: DataFrame, after: DataFrame, identity: Column | None = Non
     one = (F.col("nb") == 1) & (F.col("na") == 1)
     by_family = groups.where(one).select(
         "pair_id", "detector", F.col("fam_location").alias("key_location"),
-        F.col("fam_detail").alias("key_detail"), F.lit(1).alias("ordinal"),
+        F.col("fam_detail").alias("key_detail"), F.col("fam_more").alias("key_more"), F.lit(1).alias("ordinal"),
         F.col("fb").alias("b"), F.col("fa").alias("a"), F.lit("family").alias("matched_by"))
     left = rest.join(groups.where(one).select(*fam), fam, "left_anti").select(
         *keep, "b", "a", F.lit("exact").alias("matched_by"))
@@ -87,7 +107,7 @@ def classify_changes(pairs: DataFrame, floor_ms: float = FLOOR_MS,
     change = (F.when(new, "appeared").when(gone, "vanished")
               .when(F.abs("delta_ms") < floor, "steady")
               .when(F.col("delta_ms") > 0, "grew").otherwise("shrank"))
-    detail = F.when(F.col("key_detail") != "", F.col("key_detail"))
+    detail = F.when(F.col("key_detail") != "", from_key("key_detail"))
     return d.select(
         "pair_id", "detector", from_key("key_location").alias("location"), detail.alias("detail"),
         "metric", change.alias("change"), "matched_by", "before_ms", "after_ms", "delta_ms",
@@ -95,9 +115,12 @@ def classify_changes(pairs: DataFrame, floor_ms: float = FLOOR_MS,
         .alias("ratio"), "b", "a")
 
 
+LARGEST_MOVE = [F.abs("delta_ms").desc(), F.asc("detector"), F.asc("location"), F.asc("detail")]
+
+
 def ordered_changes(changes: DataFrame) -> DataFrame:
     """The largest move first."""
-    return changes.orderBy("pair_id", F.abs("delta_ms").desc(), "detector", "location", "detail")
+    return changes.orderBy("pair_id", *LARGEST_MOVE)
 
 
 def range_overlap(changes: DataFrame) -> DataFrame:

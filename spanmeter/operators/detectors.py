@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,17 +23,23 @@ _NUMBERS = ["self_ms", "total_ms", "max_ms", "covered_ms"]
 
 
 def _finding(df: DataFrame, detector: str, rank_by: str, limit: int | None,
-             order: list[Column] | None = None, ascending: bool = False) -> DataFrame:
-    """The finding contract: all columns, top rows per trace, ties by location and detail."""
+             ascending: bool = False,
+             identity: Sequence[str] | None = None) -> DataFrame:
+    """The finding contract: all columns, top rows per trace, ties by location and detail.
+
+    `identity` maps the columns which tell one row of the detector from another to their values.
+    """
     cols = [F.lit(detector).alias("detector")]
     for name in ["location", "count", *_NUMBERS, "detail", "extra"]:
         kind = {"location": "string", "detail": "string", "count": "long",
                 "extra": "map<string,string>"}.get(name, "double")
         c = F.col(name) if name in df.columns else F.lit(None)
         cols.append(c.cast(kind).alias(name))
+    names = identity or IDENTITY.get(detector, ("location",))
+    named = F.create_map(*[x for n in names for x in (F.lit(n), F.col(n).cast("string"))])
     rank = F.col(rank_by).asc_nulls_last() if ascending else F.col(rank_by).desc_nulls_last()
     best = top_k(df, ["trace_id"], [rank, F.col("location"), F.col("detail")], limit)
-    return best.select("trace_id", *cols)
+    return best.select("trace_id", *cols, named.alias("identity"))
 
 
 def _folds() -> list[Column]:
@@ -340,9 +348,12 @@ IDENTITY: dict[str, tuple[str, ...]] = {
 }
 
 
-def identity_detail(detector: Column | str = "detector", detail: Column | str = "detail") -> Column:
-    """`detail` where it is part of the row's name, else NULL."""
+def identity_of(df: DataFrame) -> Column:
+    """The identity of each row: as it is carried, NULL read as the location alone; rows which carry none at
+    all are those of the detectors above."""
+    location = F.create_map(F.lit("location"), F.col("location"))
+    if "identity" in df.columns:
+        return F.coalesce("identity", location)
+    both = F.create_map(F.lit("location"), F.col("location"), F.lit("detail"), F.col("detail"))
     named = [d for d, cols in IDENTITY.items() if "detail" in cols]
-    d = F.col(detector) if isinstance(detector, str) else detector
-    v = F.col(detail) if isinstance(detail, str) else detail
-    return F.when(d.isin(named), v)
+    return F.when(F.col("detector").isin(named), both).otherwise(location)

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import inspect
 import uuid
-from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .context import TraceContext
-from .detectors import DETECTORS, LIMIT, _finding
+from .detectors import DETECTORS, IDENTITY, LIMIT, _finding
 
 
 def defaults_of(detector: Callable[..., DataFrame]) -> dict[str, Any]:
@@ -80,7 +82,8 @@ def run_detectors(ctx: TraceContext, names: list[str] | None = None,
                   limit: int | None = LIMIT,
                   extra: Mapping[str, Callable[[TraceContext], DataFrame]] | None = None
                   ) -> DetectorResults:
-    """All or some detectors as one union. One which cannot be planned yields an error entry."""
+    """All or some detectors as one union. One which cannot be planned yields an error entry; nothing runs
+    yet, so one that fails on its rows is only seen by `guarded`. `extra` are detectors of one's own."""
     plan = plan_detectors(names, config, overrides)
     jobs: list[tuple[str, dict, str, Callable[[], DataFrame]]] = [
         (p.name, p.params, p.source,
@@ -96,7 +99,7 @@ def run_detectors(ctx: TraceContext, names: list[str] | None = None,
         except (PySparkException, ValueError) as e:
             error = str(e).splitlines()[0]
         runs.append({"detector": name, "params": {k: str(v) for k, v in params.items()},
-                     "params_source": source, "error": error})
+                     "params_source": source, "identity": list(IDENTITY.get(name, ())), "error": error})
     union = None
     for df in done.values():
         union = df if union is None else union.unionByName(df)
@@ -106,11 +109,38 @@ def run_detectors(ctx: TraceContext, names: list[str] | None = None,
     return DetectorResults(union, runs, [d for d in DETECTORS if d not in planned], done)
 
 
+def guarded(done: DetectorResults) -> DetectorResults:
+    """The rows of all detectors, written. One that fails while it runs keeps the others' rows: its error
+    is noted in `runs` and it has none.
+
+    All are written in one job; only if that fails is each written on its own to see which one it is.
+    """
+    try:
+        rows = settle(done.findings)
+        return replace(done, findings=rows, per_detector={
+            n: rows.where(F.col("detector") == n) for n in done.per_detector})
+    except (PySparkException, Py4JJavaError):
+        pass
+    written, errors = {}, {}
+    for name, df in done.per_detector.items():
+        try:
+            written[name] = settle(df)
+        except (PySparkException, Py4JJavaError) as e:
+            errors[name] = str(getattr(e, "java_exception", None) or e).splitlines()[0]
+    rows = done.findings.where(F.lit(False))
+    for df in written.values():
+        rows = rows.unionByName(df)
+    runs = [{**r, "error": r["error"] or errors.get(r["detector"])} for r in done.runs]
+    return replace(done, findings=rows, runs=runs, per_detector=written)
+
+
 def custom_detector(ctx: TraceContext, sql: str, args: Mapping[str, Any] | None = None,
                     name: str = "custom", rank_by: str = "total_ms",
-                    limit: int | None = LIMIT) -> DataFrame:
+                    limit: int | None = LIMIT, identity: Sequence[str] = ("location",)) -> DataFrame:
     """A detector written in SQL over the context views, with bound parameters.
 
+    `identity` names the columns which tell one of its rows from another, for merging and comparing.
+
     The text may read `slice_win`, `tstate_win`, `scenario_window`, `spans` and `proc`, must return
     `trace_id` and `location`, and takes parameters as `:name` markers (values are bound, never
     spliced into the text). Columns outside the finding contract go to `extra`.
@@ -130,7 +160,7 @@ def custom_detector(ctx: TraceContext, sql: str, args: Mapping[str, Any] | None
     finally:
         for view in views:
             spark.catalog.dropTempView(f"_{view}_{tag}")
-    for need in ("trace_id", "location"):
+    for need in ("trace_id", "location", *identity):
         if need not in df.columns:
             raise ValueError(f"a detector must return {need}")
     known = {"trace_id", "location", "count", "self_ms", "total_ms", "max_ms", "covered_ms",
@@ -142,4 +172,4 @@ def custom_detector(ctx: TraceContext, sql: str, args: Mapping[str, Any] | None
     for c in ("detail", rank_by):
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string" if c == "detail" else "double"))
-    return _finding(df, name, rank_by, limit)
+    return _finding(df, name, rank_by, limit, identity=identity)

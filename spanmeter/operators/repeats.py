@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import as_key, from_key, half_up_mean, hundredths, int_div, lng
 from ..functions.ordered import counted_values, top_k, values_at_ranks
-from ..session import settle
-from .detectors import identity_detail
+from .detectors import identity_of
 
 METRICS = ["count", "self_ms", "total_ms", "max_ms", "covered_ms"]
 SPREAD = ["self_ms", "total_ms", "max_ms"]
@@ -20,26 +19,35 @@ def rank_metric() -> Column:
 
 
 def _keyed(findings: DataFrame, traces: DataFrame, by: str) -> DataFrame:
-    """Findings with their scenario, repeat number and identity columns."""
-    return findings.join(traces.select("trace_id", by, "repeat_no"), "trace_id").withColumns({
+    """Findings with their scenario, repeat number and identity columns; `identity_more` lists the values of
+    those beside location and detail, by name."""
+    d = findings.withColumn("identity", identity_of(findings)).join(
+        traces.select("trace_id", by, "repeat_no"), "trace_id")
+    more = F.sort_array(F.map_entries(F.map_filter(
+        "identity", lambda k, v: ~k.isin("location", "detail"))))
+    return d.withColumns({
         "location": as_key("location"),
-        "identity_detail": F.coalesce(identity_detail(), F.lit(""))})
+        "identity_detail": F.coalesce(F.try_element_at("identity", F.lit("detail")), F.lit("")),
+        "identity_more": F.transform(more, lambda e: F.concat_ws("=", e["key"], e["value"]))})
+
+
+def _names(by: str) -> list[str]:
+    return [by, "detector", "location", "identity_detail", "identity_more"]
 
 
 def _long(rows: DataFrame, by: str, metrics: list[str]) -> DataFrame:
     """One row per metric value, in hundredths, so that medians are exact."""
     return rows.select(
-        by, "detector", "location", "identity_detail", "repeat_no",
+        *_names(by), "repeat_no",
         F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), hundredths(m).alias("v"))
                             for m in metrics])).alias("_m")
-    ).select(by, "detector", "location", "identity_detail", "repeat_no", "_m.metric", "_m.v").where(
-        F.col("v").isNotNull())
+    ).select(*_names(by), "repeat_no", "_m.metric", "_m.v").where(F.col("v").isNotNull())
 
 
 def medians(rows: DataFrame, by: str) -> DataFrame:
     """Median of every metric per finding row, wide. Exact, with no group held in one task."""
-    keys = [by, "detector", "location", "identity_detail", "metric"]
-    counted = settle(counted_values(_long(rows, by, METRICS), keys, "v"))
+    keys = [*_names(by), "metric"]
+    counted = counted_values(_long(rows, by, METRICS), keys, "v")
     mid = values_at_ranks(counted, keys, "v", {
         "_a": int_div(F.col("n") + 1, lng(2)), "_b": int_div(F.col("n"), lng(2)) + 1})
     value = half_up_mean(F.col("_a"), F.col("_b")).cast("double") / F.lit(100.0)
@@ -58,17 +66,17 @@ def spread(findings: DataFrame, traces: DataFrame, by: str = "scenario_id") -> D
 def _spread(rows: DataFrame, by: str) -> DataFrame:
     long = _long(rows, by, SPREAD)
     num = F.col("v").cast("double") / F.lit(100.0)
-    return long.groupBy(by, "detector", "location", "identity_detail", "metric").agg(
+    return long.groupBy(*_names(by), "metric").agg(
         F.min(num).alias("min"), F.max(num).alias("max"),
         F.transform(F.array_sort(F.collect_list(F.struct("repeat_no", num.alias("x")))),
                     lambda s: s["x"]).alias("values"))
 
 
 def worst_evidence(rows: DataFrame, by: str) -> DataFrame:
-    """`detail` of the repeat with the largest ranking metric (ties: the earliest repeat)."""
-    keys = [by, "detector", "location", "identity_detail"]
-    return rows.groupBy(*keys).agg(F.max_by(
-        "detail", F.struct(rank_metric(), -F.col("repeat_no"))).alias("detail"))
+    """`detail` of the repeat with the largest ranking metric (ties: the earliest repeat), and the identity."""
+    return rows.groupBy(*_names(by)).agg(F.max_by(
+        "detail", F.struct(rank_metric(), -F.col("repeat_no"))).alias("detail"),
+        F.first("identity").alias("identity"))
 
 
 def scenario_size(traces: DataFrame, by: str = "scenario_id") -> DataFrame:
@@ -83,12 +91,12 @@ def merge_repeats(findings: DataFrame, traces: DataFrame, by: str = "scenario_id
     `traces(trace_id, <by>, repeat_no)` lists every repeat. A scenario with a single repeat keeps
     its rows as they are, without `runs` and `spread`.
     """
-    keyed = settle(_keyed(findings, traces, by))
+    keyed = _keyed(findings, traces, by)
     sizes = scenario_size(traces, by)
     rows = keyed.join(sizes.where("runs_total > 1").select(by), by, "left_semi")
     # Nothing to merge: two rows of one identity in the only repeat stay two rows.
     single = keyed.join(sizes.where("runs_total = 1").select(by), by, "left_semi")
-    keys = [by, "detector", "location", "identity_detail"]
+    keys = _names(by)
     # Counted per repeat first: a detector may have several rows of one identity in a repeat.
     runs = rows.select(*keys, "trace_id").distinct().groupBy(*keys).agg(
         F.count(F.lit(1)).alias("runs"))
@@ -98,7 +106,7 @@ def merge_repeats(findings: DataFrame, traces: DataFrame, by: str = "scenario_id
     )
     cols = [by, "detector", from_key("location").alias("location"), F.when(F.col("identity_detail") != "", F.col("identity_detail"))
             .otherwise(F.col("detail")).alias("detail"),
-            "runs", "runs_total", *METRICS]
+            "identity", "runs", "runs_total", *METRICS]
     if with_spread:
         bands = _spread(rows, by).groupBy(*keys).agg(F.map_from_entries(
             F.collect_list(F.struct("metric", F.struct("min", "max", "values")))).alias("spread"))
@@ -124,7 +132,7 @@ def merge_windows(win: DataFrame, traces: DataFrame, by: str = "scenario_id",
     """Median, shortest and longest window of a scenario; `divergent` beyond the ratio."""
     d = win.join(traces.select("trace_id", by), "trace_id").select(
         by, hundredths((F.col("ts_end") - F.col("ts_start")) / F.lit(1e6)).alias("v"))
-    counted = settle(counted_values(d, [by], "v"))
+    counted = counted_values(d, [by], "v")
     mid = values_at_ranks(counted, [by], "v", {
         "_a": int_div(F.col("n") + 1, lng(2)), "_b": int_div(F.col("n"), lng(2)) + 1})
     ends = counted.groupBy(by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
@@ -168,4 +176,5 @@ def merged_detector_runs(runs: DataFrame, by: str = "scenario_id") -> DataFrame:
     return runs.groupBy(by, "detector").agg(
         F.min_by("params", order).alias("params"),
         F.min_by("params_source", order).alias("params_source"),
+        F.min_by("identity", order).alias("identity"),
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("repeat_no"))).alias("error"))

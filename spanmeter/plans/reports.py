@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import LOG_CELL_US, time_cell
@@ -12,14 +12,13 @@ from ..operators import calibrate as cal
 from ..operators import compare as cmp
 from ..operators import repeats as rep
 from ..operators.detectors import DETECTORS
-from ..operators.registry import defaults_of, run_detectors
+from ..operators.registry import custom_detector, defaults_of, guarded, run_detectors
 from ..session import settle
 from ..sources import history as hist
 from .sqltext import big, bridge, family, ms, scaled, with_
-from .traces import (CHILD_SQL, FRAMES_SQL, OUTLIER_SQL, PARAMS, SHARED_SQL, binder_sql, block_sql,
-                     blind_sql, ctx, gc_sql, jank_sql, monitor_sql, outlier_sql, starvation_sql)
-
-NAMES = ["main_thread_block", "gc_pressure", "binder_txn", "runnable_starvation"]
+from .traces import (CHILD_SQL, COLUMNS, FRAMES_SQL, OUTLIER_SQL, PARAMS, SHARED_SQL, STALL_SQL, anr_sql, binder_sql,
+                     block_sql, blind_sql, ctx, gc_sql, jank_sql, monitor_sql, outlier_sql, stall_sql,
+                     starvation_sql)
 
 
 @dataclass
@@ -44,7 +43,7 @@ def _traces(window: DataFrame) -> DataFrame:
 def sample(spark: SparkSession, sf: str) -> Sample:
     c = ctx(spark, sf).settled()
     # All rows: a row which one repeat shows 21st must not count as missing there.
-    found = run_detectors(c, names=NAMES, overrides={n: PARAMS[n] for n in NAMES}, limit=None).findings
+    found = run_detectors(c, overrides=PARAMS, limit=None).findings
     return Sample(settle(found), _traces(c.window), c.window)
 
 
@@ -53,6 +52,10 @@ def merged(spark: SparkSession, sf: str, with_spread: bool = False) -> DataFrame
     return rep.merge_repeats(s.findings, s.traces, with_spread=with_spread)
 
 
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    return merged(spark, sf).withColumn("identity", F.to_json("identity"))
+
+
 def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     d = rows.withColumns({"pair_id": F.substring("scenario_id", 1, 2),
                           "side": F.substring("scenario_id", 4, 6)}).drop("scenario_id")
@@ -69,14 +72,17 @@ def changes(spark: SparkSession, sf: str, with_spread: bool = False) -> DataFram
 
 FINDINGS_SQL = f"""
 findings AS ({' UNION ALL '.join(f'SELECT * FROM ({q})' for q in (
-    block_sql(limit=None), gc_sql(limit=None), binder_sql(limit=None), starvation_sql(None)))}),
+    block_sql(limit=None), outlier_sql(None), gc_sql(limit=None), monitor_sql(None), binder_sql(limit=None),
+    starvation_sql(None), blind_sql(None), jank_sql(limit=None), stall_sql(None), anr_sql(None)))}),
 traces AS (
   SELECT trace_id, CAST(substr(trace_id, 9, 2) AS INTEGER) AS repeat_no,
          'p' || CAST(substr(trace_id, 9, 2) AS INTEGER) % 3 || '/' ||
          CASE WHEN CAST(substr(trace_id, 9, 2) AS INTEGER) <= 15 THEN 'before' ELSE 'after' END
            AS scenario_id FROM win),
 keyed AS (
-  SELECT f.*, t.scenario_id, t.repeat_no, f.detail AS identity_detail
+  SELECT f.*, t.scenario_id, t.repeat_no,
+         CASE WHEN f.detector IN ('main_thread_block', 'gc_pressure', 'binder_txn', 'runnable_starvation', 'anr')
+              THEN f.detail ELSE '' END AS identity_detail
   FROM findings f JOIN traces t ON t.trace_id = f.trace_id),
 longf AS (
   {' UNION ALL '.join(f'''SELECT scenario_id, detector, location, identity_detail, repeat_no,
@@ -100,18 +106,19 @@ med AS (
 sizes AS (SELECT scenario_id, count(DISTINCT trace_id) AS runs_total FROM traces
           GROUP BY scenario_id),
 seen AS (SELECT scenario_id, detector, location, identity_detail,
-                count(DISTINCT trace_id) AS runs FROM keyed
+                count(DISTINCT trace_id) AS runs,
+                first(detail ORDER BY coalesce(self_ms, total_ms, 0) DESC, repeat_no) AS worst FROM keyed
          GROUP BY scenario_id, detector, location, identity_detail),
 merged AS (
-  SELECT m.scenario_id, m.detector, m.location, m.identity_detail AS detail,
+  SELECT m.scenario_id, m.detector, m.location, m.identity_detail, s.worst AS detail,
          {big('s.runs')} AS runs, {big('z.runs_total')} AS runs_total, m."count", m.self_ms,
          m.total_ms, m.max_ms, m.covered_ms
   FROM med m JOIN seen s USING (scenario_id, detector, location, identity_detail)
   JOIN sizes z USING (scenario_id))"""
 
 PAIRS_SQL = f"""
-b AS (SELECT *, substr(scenario_id, 1, 2) AS pair_id FROM merged WHERE scenario_id LIKE '%before'),
-a AS (SELECT *, substr(scenario_id, 1, 2) AS pair_id FROM merged WHERE scenario_id LIKE '%after'),
+b AS (SELECT * REPLACE (identity_detail AS detail), substr(scenario_id, 1, 2) AS pair_id FROM merged WHERE scenario_id LIKE '%before'),
+a AS (SELECT * REPLACE (identity_detail AS detail), substr(scenario_id, 1, 2) AS pair_id FROM merged WHERE scenario_id LIKE '%after'),
 exact AS (
   SELECT b.pair_id, b.detector, b.location, b.detail, 'exact' AS matched_by,
          b.self_ms AS bs, b.total_ms AS bt, a.self_ms AS asf, a.total_ms AS att, TRUE AS hb,
@@ -165,7 +172,7 @@ bands AS (
 
 
 def _q(body: str, *ctes: str) -> str:
-    return with_(bridge(), CHILD_SQL, FINDINGS_SQL, *ctes, body=body)
+    return with_(bridge(), CHILD_SQL, OUTLIER_SQL, SHARED_SQL, FRAMES_SQL, STALL_SQL, FINDINGS_SQL, *ctes, body=body)
 
 
 def _compare_exact(spark, sf):
@@ -185,16 +192,13 @@ def _spread_flat(spark, sf):
 
 
 def _evidence(spark, sf):
-    """Evidence of detectors whose detail is no part of the name, from the worst repeat."""
-    c = ctx(spark, sf)
-    found = settle(DETECTORS["monitor_contention"](c, **PARAMS["monitor_contention"], limit=None))
-    out = rep.merge_repeats(found, _traces(c.window), with_spread=False)
-    return out.select("scenario_id", "location", "detail", "runs", "max_ms")
+    """Evidence of all detectors, from the worst repeat."""
+    return merged(spark, sf).select("scenario_id", "detector", "location", "detail", "runs", "max_ms")
 
 
 def _overlap(spark, sf):
-    return cmp.range_overlap(changes(spark, sf, True)).where("matched_by = 'exact'").select(
-        "pair_id", "detector", "location", "detail", "change", "overlap")
+    return cmp.range_overlap(changes(spark, sf, True)).select(
+        "pair_id", "detector", "location", "detail", "change", "matched_by", "overlap")
 
 
 def _worst_only(spark, sf):
@@ -209,16 +213,18 @@ def _flat_changes(spark, sf):
 
 
 def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Detector runs of both sides as a report would carry them, derived from the findings."""
-    b, a = _sides(settle(merged(spark, sf)))
-
-    def runs(d: DataFrame) -> DataFrame:
-        top = F.max("total_ms")
-        return d.groupBy("pair_id", "detector").agg(F.create_map(
-            F.lit("bar"), F.when(F.col("detector") == "gc_pressure", top.cast("long").cast("string"))
-            .otherwise(F.lit("16")),
-            F.lit("floor"), F.lit("5")).alias("params"))
-    return runs(b), runs(a)
+    """All detectors run on both sides, but for one which the after side of p1 lacks. The bar of one
+    follows what it found, as a calibrated one would."""
+    m = merged(spark, sf).withColumns({"pair_id": F.substring("scenario_id", 1, 2),
+                                       "side": F.substring("scenario_id", 4, 6)})
+    tops = settle(m.groupBy("pair_id", "side").agg(
+        F.max(F.when(F.col("detector") == "gc_pressure", F.col("total_ms"))).alias("top")))
+    bar = F.when(F.col("detector") == "gc_pressure", F.col("top").cast("long").cast("string")).otherwise("16")
+    ran = tops.select("pair_id", "side", "top", F.explode(F.array(*[F.lit(n) for n in DETECTORS])).alias("detector")).where(
+        ~((F.col("detector") == "anr") & (F.col("pair_id") == "p1") & (F.col("side") == "after")))
+    ran = ran.select("pair_id", "side", "detector", F.create_map(
+        F.lit("bar"), bar, F.lit("floor"), F.lit("5")).alias("params"))
+    return ran.where("side = 'before'").drop("side"), ran.where("side = 'after'").drop("side")
 
 
 def _heads(spark, sf):
@@ -238,13 +244,16 @@ def _warnings(spark, sf):
     b, a = _heads(spark, sf)
     rb, ra = _runs(spark, sf)
 
-    def head(d, sha):
+    def head(d, sha, side):
         return d.select(
             "pair_id", F.concat(F.lit("app."), F.when(F.col("pair_id") == "p1", F.lit(sha))
-                                .otherwise(F.lit("x"))).alias("process"), "runs",
-            F.lit(sha).alias("config_sha"), F.lit(False).alias("defaults"),
+                                .otherwise(F.lit("x"))).alias("process"),
+            F.when((F.col("pair_id") == "p2") & F.lit(side == "after"), 1).otherwise(F.col("runs")).alias("runs"),
+            F.lit(sha).alias("config_sha"),
+            ((F.col("pair_id") == "p0") & F.lit(side == "after")).alias("defaults"),
             F.when(F.col("pair_id") == "p2", 0).otherwise(1).cast("long").alias("start_matches"))
-    return cmp.compare_warnings(head(b, "s1"), head(a, "s2"), rb, ra)
+    planted = cmp.planted_rows(changes(spark, sf), "purchase")
+    return cmp.compare_warnings(head(b, "s1", "before"), head(a, "s2", "after"), rb, ra, planted)
 
 
 def _param_diff(spark, sf):
@@ -265,8 +274,8 @@ def _summary(spark, sf):
     s = sample(spark, sf)
     f = s.findings.withColumnRenamed("trace_id", "report_id")
     ran = s.window.select(F.col("trace_id").alias("report_id"), F.explode(F.array(
-        *[F.lit(n) for n in [*NAMES, "anr"]])).alias("detector"))
-    return rep.report_summary(f, ran, list(DETECTORS))
+        *[F.lit(n) for n in DETECTORS])).alias("detector"))
+    return rep.report_summary(f, ran, [*DETECTORS, "not_installed"])
 
 
 def _calibrate_ctx(spark, sf):
@@ -358,6 +367,85 @@ def _pick_pair(spark, sf):
     return hist.pick_pair(reports, "first_last").unionByName(hist.pick_pair(reports, "latest_two"))
 
 
+def _identity(spark, sf):
+    """A detector of one's own whose rows are told apart by location and depth. The before side was written
+    by an older version which knew the location alone."""
+    c = ctx(spark, sf)
+    found = custom_detector(c, OWN, name="by_depth", identity=("location", "depth"), limit=None)
+    m = settle(rep.merge_repeats(found, _traces(c.window), with_spread=False))
+    before, after = _sides(m)
+    old = before.where("identity['depth'] = '0'").withColumn("identity", F.create_map(F.lit("location"), F.col("location")))
+    new = cmp.pair_rows(before, after).withColumn("written", F.lit("both new"))
+    upgraded = cmp.pair_rows(old, after).withColumn("written", F.lit("before old"))
+    return new.unionByName(upgraded).select(
+        "written", "pair_id", "key_location", F.concat_ws(",", "key_more").alias("depth"), "matched_by",
+        "ordinal", F.col("b.total_ms").alias("before_ms"), F.col("a.total_ms").alias("after_ms"))
+
+
+OWN = """
+SELECT trace_id, name AS location, CAST(depth AS STRING) AS depth, count(*) AS count,
+       CAST(sum(dur_win) DIV 1000000 AS DOUBLE) AS total_ms
+FROM (SELECT trace_id, split(name, ' ')[0] AS name, slice_id % 3 AS depth, dur_win FROM slice_win)
+GROUP BY trace_id, name, depth"""
+
+BROKEN = """
+SELECT trace_id, name AS location, count(*) AS count, CAST(CAST(max(name) AS INT) AS DOUBLE) AS total_ms
+FROM slice_win GROUP BY trace_id, name"""
+
+
+def _guarded(spark, sf):
+    """One detector fails on its rows and one on its parameters; the others are not taken down."""
+    c = ctx(spark, sf).settled()
+    return guarded(run_detectors(c, overrides=PARAMS | {"anr_risk": {"min_stall_ms": 600_000, "max_gap_ms": -1}},
+                                 extra={"broken": lambda c: custom_detector(c, BROKEN, name="broken")}))
+
+
+def _guarded_runs(spark, sf):
+    done = _guarded(spark, sf)
+    rows = done.findings.groupBy("detector").agg(F.count(F.lit(1)).alias("rows"))
+    ran = spark.createDataFrame([(r["detector"], r["params_source"], r["error"] is not None) for r in done.runs],
+                                "detector string, params_source string, failed boolean")
+    return ran.join(rows, "detector", "left").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+
+
+def _faces(spark, sf):
+    d = cmp.faces(cmp.range_overlap(changes(spark, sf, True))).where("matched_by = 'exact'")
+    return d.select("pair_id", "detector", "location", "detail", *[
+        F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("before", "after") for c in ("value", "min", "max", "runs")])
+
+
+def _ordered(spark, sf):
+    """The order as a column: changes of one pair carry their place."""
+    d = cmp.ordered_changes(changes(spark, sf).drop("a", "b"))
+    return d.select("pair_id", "detector", "location", "detail", "delta_ms", F.row_number().over(
+        Window.partitionBy("pair_id").orderBy(*cmp.LARGEST_MOVE)).alias("place"))
+
+
+def _merged_runs(spark, sf):
+    """Detector runs of every day, some of which failed."""
+    w = _traces(ctx(spark, sf).window)
+    runs = w.select("scenario_id", "repeat_no", F.explode(F.array(*[F.lit(n) for n in DETECTORS])).alias("detector"))
+    bad = (F.length("detector") + F.col("repeat_no")) % 4 != 0
+    return rep.merged_detector_runs(runs.select(
+        "scenario_id", "repeat_no", "detector",
+        F.create_map(F.lit("day"), F.col("repeat_no").cast("string")).alias("params"),
+        F.when(F.col("repeat_no") % 2 == 0, "call").otherwise("default").alias("params_source"),
+        F.array(F.lit("location")).alias("identity"),
+        F.when(bad, F.concat(F.lit("failed on day "), F.col("repeat_no").cast("string"))).alias("error"))).select(
+        "scenario_id", "detector", F.col("params")["day"].alias("day"), "params_source", "error")
+
+
+def _silent(spark, sf):
+    s = sample(spark, sf)
+    f = s.findings.join(s.traces, "trace_id").withColumnRenamed("scenario_id", "report_id")
+    f = f.where("not (detector = 'frame_jank' and pair_id = 'p0')")
+    ran = s.traces.select(F.col("scenario_id").alias("report_id"), F.explode(F.array(
+        *[F.lit(n) for n in DETECTORS])).alias("detector"))
+    summary = rep.report_summary(f, ran, list(DETECTORS)).withColumns({
+        "pair_id": F.substring("report_id", 1, 2), "side": F.substring("report_id", 4, 6)})
+    return cmp.silent_in_both(summary)
+
+
 def _find(spark, sf):
     h = investigations(spark, sf).groupBy("investigation").agg(
         F.max_by("question", F.struct("us", "report_id")).alias("question"),
@@ -374,7 +462,75 @@ reports AS (
          count(*) OVER (PARTITION BY o_custkey) AS n
   FROM orders)"""
 
+_OWN_SQL = f"""
+found AS (
+  SELECT trace_id, split_part(name, ' ', 1) AS location, CAST(slice_id % 3 AS VARCHAR) AS depth,
+         CAST(sum(dur_win) // 1000000 AS BIGINT) AS total
+  FROM slice_win GROUP BY ALL),
+sided AS (
+  SELECT f.*, 'p' || CAST(substr(trace_id, 9, 2) AS INTEGER) % 3 AS pair_id,
+         CAST(substr(trace_id, 9, 2) AS INTEGER) <= 15 AS early FROM found f),
+mid AS (
+  SELECT pair_id, early, location, depth, CAST({scaled("(list_sort(list(total * 100))[(count(*) + 1) // 2] + list_sort(list(total * 100))[count(*) // 2 + 1])", 2)} AS DOUBLE) / 100.0 AS ms
+  FROM sided GROUP BY ALL),
+olds AS (SELECT * FROM mid WHERE early AND depth = '0'),
+news AS (SELECT *, row_number() OVER (PARTITION BY pair_id, location ORDER BY ms DESC) AS k FROM mid WHERE NOT early)"""
+
 QUERIES = {
+    "compare_identity": (_identity, with_(bridge(), _OWN_SQL, body="""
+        SELECT 'both new' AS written, coalesce(b.pair_id, a.pair_id) AS pair_id,
+               coalesce(b.location, a.location) AS key_location, coalesce(b.depth, a.depth) AS depth,
+               'exact' AS matched_by, 1 AS ordinal, b.ms AS before_ms, a.ms AS after_ms
+        FROM (SELECT * FROM mid WHERE early) b FULL JOIN (SELECT * FROM mid WHERE NOT early) a
+          USING (pair_id, location, depth)
+        UNION ALL
+        SELECT 'before old', coalesce(b.pair_id, a.pair_id), coalesce(b.location, a.location), '', 'exact',
+               CAST(coalesce(a.k, 1) AS INTEGER), b.ms, a.ms
+        FROM olds b FULL JOIN news a ON a.pair_id = b.pair_id AND a.location = b.location AND a.k = 1""")),
+    "guarded_detectors": (
+        lambda s, d: _guarded(s, d).findings.select(*COLUMNS),
+        with_(bridge(), CHILD_SQL, OUTLIER_SQL, SHARED_SQL, FRAMES_SQL, body=" UNION ALL ".join(
+            f"SELECT * FROM ({q})" for q in (block_sql(), outlier_sql(), gc_sql(), monitor_sql(), binder_sql(),
+                                             starvation_sql(), blind_sql(), jank_sql(), anr_sql())))),
+    "guarded_runs": (_guarded_runs, with_(bridge(), CHILD_SQL, OUTLIER_SQL, SHARED_SQL, FRAMES_SQL, body=f"""
+        SELECT detector, CASE WHEN detector IN ({", ".join(f"'{d}'" for d in [*PARAMS, "broken"] if d == "broken" or PARAMS[d])})
+                         THEN 'call' ELSE 'default' END AS params_source,
+               detector IN ('anr_risk', 'broken') AS failed, {big("coalesce(n, 0)")} AS "rows"
+        FROM (VALUES {", ".join(f"('{d}')" for d in [*DETECTORS, "broken"])}) d(detector)
+        LEFT JOIN (SELECT detector, count(*) AS n FROM ({" UNION ALL ".join(
+            f"SELECT * FROM ({q})" for q in (block_sql(), outlier_sql(), gc_sql(), monitor_sql(), binder_sql(),
+                                             starvation_sql(), blind_sql(), jank_sql(), anr_sql()))})
+                   GROUP BY detector) USING (detector)""")),
+    "faces": (_faces, _q("""
+        SELECT c.pair_id, c.detector, c.location, c.detail, c.before_ms AS before_value, c.after_ms AS after_value,
+               b.lo / 100.0 AS before_min, b.hi / 100.0 AS before_max, a.lo / 100.0 AS after_min, a.hi / 100.0 AS after_max,
+               mb.runs AS before_runs, ma.runs AS after_runs
+        FROM (SELECT *, coalesce(detail, '') AS dk FROM changes WHERE matched_by = 'exact') c
+        LEFT JOIN (SELECT *, substr(scenario_id, 1, 2) AS pair_id FROM bands WHERE scenario_id LIKE '%before') b
+          ON b.pair_id = c.pair_id AND b.detector = c.detector AND b.metric = c.metric AND b.location = c.location AND b.identity_detail = c.dk
+        LEFT JOIN (SELECT *, substr(scenario_id, 1, 2) AS pair_id FROM bands WHERE scenario_id LIKE '%after') a
+          ON a.pair_id = c.pair_id AND a.detector = c.detector AND a.metric = c.metric AND a.location = c.location AND a.identity_detail = c.dk
+        LEFT JOIN b mb ON mb.pair_id = c.pair_id AND mb.detector = c.detector AND mb.location = c.location AND mb.detail = c.dk
+        LEFT JOIN a ma ON ma.pair_id = c.pair_id AND ma.detector = c.detector AND ma.location = c.location AND ma.detail = c.dk""",
+        PAIRS_SQL, BANDS_SQL)),
+    "ordered_changes": (_ordered, _q("""
+        SELECT pair_id, detector, location, detail, delta_ms, CAST(rank() OVER (
+                 PARTITION BY pair_id ORDER BY abs(delta_ms) DESC, detector, location, coalesce(detail, '')) AS INTEGER) AS place
+        FROM changes""", PAIRS_SQL)),
+    "merged_detector_runs": (_merged_runs, _q(f"""
+        SELECT scenario_id, detector,
+               CAST(first(repeat_no ORDER BY bad, repeat_no) AS VARCHAR) AS day,
+               first(CASE WHEN repeat_no % 2 = 0 THEN 'call' ELSE 'default' END ORDER BY bad, repeat_no) AS params_source,
+               'failed on day ' || min(repeat_no) FILTER (bad) AS error
+        FROM (SELECT *, (length(detector) + repeat_no) % 4 <> 0 AS bad
+              FROM traces, (VALUES {', '.join(f"('{n}')" for n in DETECTORS)}) d(detector))
+        GROUP BY scenario_id, detector""")),
+    "silent_in_both": (_silent, _q(f"""
+        SELECT p.pair_id, d.detector
+        FROM (SELECT substr(scenario_id, 1, 2) AS pair_id FROM traces GROUP BY 1
+              HAVING count(DISTINCT scenario_id) = 2) p, (VALUES {', '.join(f"('{n}')" for n in DETECTORS)}) d(detector)
+        WHERE (p.pair_id = 'p0' AND d.detector = 'frame_jank')
+           OR (p.pair_id, d.detector) NOT IN (SELECT (substr(scenario_id, 1, 2), detector) FROM keyed)""")),
     "calibrate_topn": (_calibrate_topn, _cq(
         "SELECT detector, v AS value FROM (SELECT *, row_number() OVER (ORDER BY v DESC) AS rk "
         "FROM longm WHERE detector = 'main_thread_block' AND metric = 'self_ms') WHERE rk = 10")),
@@ -390,30 +546,18 @@ QUERIES = {
                  {ms('min(ts_end - ts_start)')} AS min_ms, {ms('max(ts_end - ts_start)')} AS max_ms,
                  count(*) > 1 AND max(ts_end - ts_start) > 2 * min(ts_end - ts_start) AS divergent
           FROM win GROUP BY 1""")),
-    "merge_repeats": (lambda s, d: merged(s, d), _q("SELECT * FROM merged")),
+    "merge_repeats": (_merged, _q("""
+        SELECT * EXCLUDE (identity_detail), CASE WHEN identity_detail <> ''
+               THEN CAST(to_json({'location': location, 'detail': identity_detail}) AS VARCHAR)
+               ELSE CAST(to_json({'location': location}) AS VARCHAR) END AS identity FROM merged""")),
     "merge_spread": (_spread_flat, _q("""
         SELECT scenario_id, detector, location, identity_detail, metric,
                CAST(min(v) AS DOUBLE) / 100.0 AS "min", CAST(max(v) AS DOUBLE) / 100.0 AS "max",
                string_agg(CAST(v AS VARCHAR), ',' ORDER BY repeat_no, v) AS values_text
         FROM longf WHERE metric IN ('self_ms', 'total_ms', 'max_ms')
         GROUP BY scenario_id, detector, location, identity_detail, metric""")),
-    "merge_worst_evidence": (_evidence, with_(bridge(), f"""
-        found AS ({monitor_sql(None)}), traces AS (
-          SELECT trace_id, CAST(substr(trace_id, 9, 2) AS INTEGER) AS repeat_no,
-                 'p' || CAST(substr(trace_id, 9, 2) AS INTEGER) % 3 || '/' ||
-                 CASE WHEN CAST(substr(trace_id, 9, 2) AS INTEGER) <= 15 THEN 'before'
-                      ELSE 'after' END AS scenario_id FROM win)""",
-        f"""placed AS (SELECT f.*, t.scenario_id,
-                 row_number() OVER (PARTITION BY t.scenario_id, location
-                                    ORDER BY total_ms DESC, repeat_no) AS rk,
-                 row_number() OVER (PARTITION BY t.scenario_id, location ORDER BY max_ms) AS pl,
-                 count(*) OVER (PARTITION BY t.scenario_id, location) AS n
-               FROM found f JOIN traces t ON t.trace_id = f.trace_id)""",
-        body=f"""
-        SELECT scenario_id, location, max(CASE WHEN rk = 1 THEN detail END) AS detail,
-               {big('count(DISTINCT trace_id)')} AS runs,
-               CAST({scaled("(sum(CASE WHEN pl = (n + 1) // 2 THEN CAST(round(max_ms * 100) AS BIGINT) ELSE 0 END) + sum(CASE WHEN pl = n // 2 + 1 THEN CAST(round(max_ms * 100) AS BIGINT) ELSE 0 END))", 2)} AS DOUBLE) / 100.0 AS max_ms
-        FROM placed GROUP BY scenario_id, location""")),
+    "merge_worst_evidence": (_evidence, _q(
+        "SELECT scenario_id, detector, location, detail, runs, max_ms FROM merged")),
     "merge_window": (
         lambda s, d: _merge_window(s, d),
         _q(f"""
@@ -428,9 +572,8 @@ QUERIES = {
         GROUP BY scenario_id""")),
     "report_summary": (_summary, _q(f"""
         SELECT w.trace_id AS report_id, d.detector, {big('coalesce(f.n, 0)')} AS "rows",
-               CASE WHEN d.detector NOT IN ({', '.join(f"'{n}'" for n in [*NAMES, 'anr'])})
-                    THEN 'absent' WHEN f.n > 0 THEN 'fired' ELSE 'silent' END AS state
-        FROM win w CROSS JOIN (VALUES {', '.join(f"('{n}')" for n in DETECTORS)}) d(detector)
+               CASE WHEN d.detector = 'not_installed' THEN 'absent' WHEN f.n > 0 THEN 'fired' ELSE 'silent' END AS state
+        FROM win w CROSS JOIN (VALUES {', '.join(f"('{n}')" for n in [*DETECTORS, 'not_installed'])}) d(detector)
         LEFT JOIN (SELECT trace_id, detector, count(*) AS n FROM findings
                    GROUP BY trace_id, detector) f
           ON f.trace_id = w.trace_id AND f.detector = d.detector""")),
@@ -446,19 +589,23 @@ QUERIES = {
                   FROM merged) WHERE rk = 1)""", PAIRS_SQL.replace("FROM merged", "FROM worst"))),
     "compare_changes": (_flat_changes, _q("SELECT * EXCLUDE (hb, ha) FROM changes", PAIRS_SQL)),
     "compare_overlap": (_overlap, _q("""
-        SELECT c.pair_id, c.detector, c.location, c.detail, c.change,
+        SELECT c.pair_id, c.detector, c.location, c.detail, c.change, c.matched_by,
                CASE WHEN c.hb AND c.ha THEN NOT (a.hi IS NOT NULL AND b.hi IS NOT NULL
                     AND (a.hi < b.lo OR b.hi < a.lo)) END AS overlap
-        FROM (SELECT *, coalesce(detail, '') AS dk FROM changes) c
+        FROM changes c
         LEFT JOIN (SELECT *, substr(scenario_id, 1, 2) AS pair_id
                    FROM bands WHERE scenario_id LIKE '%before') b
           ON b.pair_id = c.pair_id AND b.detector = c.detector AND b.metric = c.metric
-         AND b.location = c.location AND b.identity_detail = c.dk
+         AND b.location = c.bl AND b.identity_detail = c.bd
         LEFT JOIN (SELECT *, substr(scenario_id, 1, 2) AS pair_id
                    FROM bands WHERE scenario_id LIKE '%after') a
           ON a.pair_id = c.pair_id AND a.detector = c.detector AND a.metric = c.metric
-         AND a.location = c.location AND a.identity_detail = c.dk
-        WHERE c.matched_by = 'exact'""", PAIRS_SQL, BANDS_SQL)),
+         AND a.location = c.al AND a.identity_detail = c.ad""",
+        PAIRS_SQL.replace("SELECT b.pair_id,", "SELECT b.location AS bl, b.detail AS bd, a.location AS al, a.detail AS ad, b.pair_id,")
+        .replace("SELECT f.pair_id,", "SELECT lb.location AS bl, lb.detail AS bd, la.location AS al, la.detail AS ad, f.pair_id,")
+        .replace("SELECT pair_id, detector, location, detail, 'exact' AS", "SELECT location AS bl, detail AS bd, NULL AS al, NULL AS ad, pair_id, detector, location, detail, 'exact' AS")
+        .replace("SELECT pair_id, detector, location, detail, 'exact', NULL", "SELECT NULL, NULL, location, detail, pair_id, detector, location, detail, 'exact', NULL")
+        .replace("SELECT pair_id, detector, location, nullif", "SELECT bl, bd, al, ad, pair_id, detector, location, nullif"), BANDS_SQL)),
     "compare_summary": (
         lambda s, d: cmp.compare_summary(changes(s, d)),
         _q(f"""
@@ -494,8 +641,9 @@ QUERIES = {
         WHERE b.was <> a.was""")),
     "compare_warnings": (_warnings, _q("""
         SELECT pair_id, id, id <> 'process' AS comparable FROM (
-          SELECT DISTINCT pair_id, unnest(CASE pair_id WHEN 'p1' THEN ['process', 'config']
-                 WHEN 'p2' THEN ['anchor-before', 'anchor-after', 'config'] ELSE ['config'] END) AS id
+          SELECT DISTINCT pair_id, unnest(CASE pair_id WHEN 'p0' THEN ['config', 'defaults']
+                 WHEN 'p1' THEN ['process', 'config', 'detectors']
+                 WHEN 'p2' THEN ['anchor-before', 'anchor-after', 'config', 'single'] END) AS id
           FROM (SELECT DISTINCT substr(scenario_id, 1, 2) AS pair_id FROM traces)
           UNION ALL
           SELECT DISTINCT b.pair_id, 'thresholds' FROM
@@ -505,11 +653,13 @@ QUERIES = {
              WHERE detector = 'gc_pressure' AND scenario_id LIKE '%after' GROUP BY 1) a
             USING (pair_id) WHERE a.x <> b.x
           UNION ALL
+          SELECT DISTINCT pair_id, 'instrumentation' FROM changes WHERE change = 'appeared' AND location LIKE 'purchase%'
+          UNION ALL
           SELECT b.pair_id, 'runs' FROM
             (SELECT substr(scenario_id, 1, 2) AS pair_id, count(*) AS n FROM traces
              WHERE scenario_id LIKE '%before' GROUP BY 1) b
             JOIN (SELECT substr(scenario_id, 1, 2) AS pair_id, count(*) AS n FROM traces
-             WHERE scenario_id LIKE '%after' GROUP BY 1) a USING (pair_id) WHERE a.n <> b.n)""")),
+             WHERE scenario_id LIKE '%after' GROUP BY 1) a USING (pair_id) WHERE a.n <> b.n OR b.pair_id = 'p2')""", PAIRS_SQL)),
     "compare_window": (_window_delta, _q(f"""
         SELECT b.pair_id, b.d AS before_ms, a.d AS after_ms,
                CAST(CAST(round(a.d * 100) AS BIGINT) - CAST(round(b.d * 100) AS BIGINT) AS DOUBLE) / 100.0 AS delta_ms,

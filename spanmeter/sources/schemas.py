@@ -26,9 +26,10 @@ REPORT = ("report_id string, process string, pid int, duration_ms double, runs i
           "config_sha string, defaults boolean, start_matches long, end_matches long")
 
 DETECTOR_RUN = ("report_id string, detector string, params map<string,string>, "
-                "params_source string, error string")
+                "params_source string, identity array<string>, error string")
 
 REPORT_FINDING = ("report_id string, detector string, location string, detail string, "
+                  "identity map<string,string>, "
                   "runs int, runs_total int, count double, self_ms double, total_ms double, "
                   f"max_ms double, covered_ms double, spread map<string,{SPREAD}>")
 

@@ -27,7 +27,7 @@ def nested(report: Report) -> DataFrame:
     row_cols = [c for c in report.finding.columns if c not in ("report_id", "detector")]
     rows = ranked(report.finding, "report_id", LIMIT).groupBy("report_id", "detector").agg(F.reverse(F.array_sort(F.collect_list(
         F.struct(F.coalesce("self_ms", "total_ms", F.lit(0.0)).alias("_by"), F.struct(
-            *[F.to_json(c).alias(c) if c == "spread" else F.col(c) for c in row_cols])
+            *[F.to_json(c).alias(c) if c in ("spread", "identity") else F.col(c) for c in row_cols])
             .alias("row"))))).alias("rows"))
     runs = report.detector_run.join(rows, ["report_id", "detector"], "left").groupBy(
         "report_id").agg(F.array_sort(F.collect_list(F.struct(

@@ -3,6 +3,7 @@ import pytest
 from spanmeter.operators import compare as cmp
 from spanmeter.operators import repeats as rep
 from spanmeter.operators.analyze import analyze
+from spanmeter.operators.detectors import IDENTITY
 from spanmeter.sources import history as hist
 from spanmeter.sources.readers import TraceTables, load_report, load_traces
 from spanmeter.sources.schemas import FINDING, REPORT_FINDING
@@ -76,7 +77,7 @@ def test_merged_run_takes_the_first_which_worked(spark):
 def side(spark, rows, spread=None):
     """(detector, location, detail, total)"""
     return spark.createDataFrame(
-        [("p", d, loc, det, 3, 3, 1.0, None, tot, tot, None,
+        [("p", d, loc, det, {c: v for c, v in (("location", loc), ("detail", det)) if c in IDENTITY[d]}, 3, 3, 1.0, None, tot, tot, None,
           {"total_ms": (b[0], b[1], list(b))} if (b := (spread or {}).get(loc)) else None)
          for d, loc, det, tot in rows], REPORT_FINDING.replace("report_id", "pair_id"))
 
@@ -114,6 +115,28 @@ def test_identity_pairs_states_of_one_thread(spark):
     assert got["m", "state R"].change == "steady" and got["m", "state R+"].change == "grew"
 
 
+def own(spark, rows):
+    """(identity or None, total) of a detector nobody here knows"""
+    return spark.createDataFrame([("p", "own", (i or {}).get("location", "A"), "evidence", i, 1, 1, 1.0, None, t, t, None, None)
+                                  for i, t in rows], REPORT_FINDING.replace("report_id", "pair_id"))
+
+
+def test_rows_are_named_by_what_both_reports_declare(spark):
+    def kinds(before, after):
+        return sorted((r.location, r.detail, r.change, r.matched_by) for r in cmp.classify_changes(
+            cmp.pair_rows(own(spark, before), own(spark, after))).collect())
+    x, y = {"location": "A", "state": "x"}, {"location": "A", "state": "y"}
+    assert kinds([(x, 100.0), (y, 30.0)], [(y, 31.0), (x, 400.0)]) == [("A", None, "grew", "exact"), ("A", None, "steady", "exact")]
+    # One side has no identity, or another column: the name alone is matched.
+    assert kinds([(None, 100.0)], [(x, 300.0)]) == [("A", None, "grew", "exact")]
+    assert kinds([({"location": "A", "other": "1"}, 100.0)], [(x, 300.0)]) == [("A", None, "grew", "exact")]
+    assert kinds([(x, 100.0)], []) == [("A", None, "vanished", "exact")]
+    # A family is told apart by the further columns too.
+    w = [({"location": f"w-{k}", "state": s}, 50.0) for k, s in ((1, "x"), (2, "y"))]
+    v = [({"location": f"w-{k}", "state": s}, 90.0) for k, s in ((7, "x"), (8, "y"))]
+    assert kinds(w, v) == [("w-#", None, "grew", "family")] * 2
+
+
 def test_duplicates_pair_in_order(spark):
     got = cmp.classify_changes(cmp.pair_rows(
         side(spark, [("frame_jank", "a", "", 1.0), ("frame_jank", "a", "", 50.0)]),
