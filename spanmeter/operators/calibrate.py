@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import lng, to_ms
 from ..functions.ordered import counted_values, top_k, values_at_ranks
-from ..session import settle
+from ..session import settle, together
 from .context import TraceContext
 from .detectors import DETECTORS
 from .registry import check_params, defaults_of
@@ -79,13 +79,15 @@ def propose_thresholds(ctx: TraceContext, rules: Sequence[Rule] = RULES, min_sam
     (the result is below 1); in the last two the default stays.
     """
     params = params or {}
-    parts = []
-    for d in sorted({r.detector for r in rules}):
+
+    def measured(d: str) -> DataFrame:
         rows = measure_open(ctx, d, params.get(d), rules)
         wanted = sorted({r.column for r in rules if r.detector == d})
-        parts.append(rows.select("detector", F.explode(F.array(*[
+        return rows.select("detector", F.explode(F.array(*[
             F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value"))
-            for c in wanted])).alias("_m")).select("detector", "_m.column", "_m.value"))
+            for c in wanted])).alias("_m")).select("detector", "_m.column", "_m.value")
+
+    parts = together([lambda d=d: measured(d) for d in sorted({r.detector for r in rules})])
     pooled = parts[0]
     for part in parts[1:]:
         pooled = pooled.unionByName(part)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import any_glob, glob, lng, nonneg, to_ms
 from ..functions.ordered import top_k
-from ..session import settle
+from ..session import settle, together
 from ..sources.readers import TraceTables
 
 
@@ -195,7 +195,8 @@ class TraceContext:
         """The same context with its clipped views and folds written out once, for when several detectors
         read them: ten scans and joins of the span table become one."""
         chosen = settle(self.chosen)
-        slice_win, tstate_win = settle(clip_spans(self.tables, chosen)), settle(clip_states(self.tables, chosen))
+        slice_win, tstate_win = together([lambda: settle(clip_spans(self.tables, chosen)),
+                                          lambda: settle(clip_states(self.tables, chosen))])
         return replace(self, chosen=chosen, slice_win=slice_win, tstate_win=tstate_win,
                        span_folds=settle(fold_spans(slice_win)), state_folds=fold_states(tstate_win))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import any_glob, as_key, from_key, glob, int_div, lng, ms_text, ns, tenths_text, to_ms
 from ..functions.ordered import counted_values, top_k, values_at_ranks
+from ..session import settle
 from .context import TraceContext
 from .intervals import intersect_intervals, islands
 
@@ -86,7 +87,7 @@ def main_thread_outlier(ctx: TraceContext, *, factor: float = 4, min_abs_ms: flo
     seen = ctx.slice_win.where(F.col("is_main_thread") & (F.col("dur") > 0)).select(
         "trace_id", "name", "dur")
     # Equal durations are folded once; the baseline and the outliers both read that.
-    folded = counted_values(seen, ["trace_id", "name"], "dur")
+    folded = settle(counted_values(seen, ["trace_id", "name"], "dur"))
     median = values_at_ranks(folded, ["trace_id", "name"], "dur",
                              {"median_ns": int_div(F.col("n") + 1, lng(2))})
     median = median.where(F.col("n") >= min_occurrences)
@@ -252,7 +253,7 @@ def stalls(ctx: TraceContext, min_stall_ms: float, max_gap_ms: float) -> DataFra
         "trace_id", "ts", (F.col("ts") + F.col("dur")).alias("te"),
         F.lit(None).cast("string").alias("span"), F.lit(None).cast("long").alias("slice_id"),
         "state")
-    marked = islands(spans.unionByName(states), ["trace_id"], ns(max_gap_ms))
+    marked = islands(settle(spans.unionByName(states)), ["trace_id"], ns(max_gap_ms))
     length = F.col("te") - F.col("ts")
     longest = F.struct(length, -F.col("slice_id"))
     per = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import lng
 from ..functions.ordered import TRACE_CELL_NS, carry, time_cell
+from ..session import settle
 
 
 def intersect_intervals(a: DataFrame, b: DataFrame, keys: Sequence[str],
@@ -29,7 +30,8 @@ def intersect_intervals(a: DataFrame, b: DataFrame, keys: Sequence[str],
                         (mine if side == "a" else zero).alias("da"),
                         (mine if side == "b" else zero).alias("db"))
 
-    events = (
+    # Read twice by the pass, once for the cells and once for the rows.
+    events = settle(
         bounds(a, "a").unionByName(bounds(b, "b"))
         .groupBy(*keys, "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
     )

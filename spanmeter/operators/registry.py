@@ -13,7 +13,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, together
 from .context import TraceContext
 from .detectors import DETECTORS, IDENTITY, LIMIT, _finding
 
@@ -89,15 +89,21 @@ def run_detectors(ctx: TraceContext, names: list[str] | None = None,
         (p.name, p.params, p.source,
          lambda p=p: DETECTORS[p.name](ctx, **p.params, limit=limit)) for p in plan]
     jobs += [(n, {}, "call", lambda f=f: f(ctx)) for n, f in (extra or {}).items()]
-    runs, done = [], {}
-    for name, params, source, build in jobs:
-        error = None
+
+    def attempt(build: Callable[[], DataFrame]) -> tuple[DataFrame | None, str | None]:
         try:
             df = build()
             df.schema  # analysis happens here; a bad plan must not take the others down
-            done[name] = df
+            return df, None
         except (PySparkException, ValueError) as e:
-            error = str(e).splitlines()[0]
+            return None, str(e).splitlines()[0]
+
+    runs, done = [], {}
+    # Some detectors write what they sort; those jobs run side by side.
+    for (name, params, source, _), (df, error) in zip(jobs, together([
+            lambda b=build: attempt(b) for *_, build in jobs]), strict=True):
+        if df is not None:
+            done[name] = df
         runs.append({"detector": name, "params": {k: str(v) for k, v in params.items()},
                      "params_source": source, "identity": list(IDENTITY.get(name, ())), "error": error})
     union = None

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,3 +50,12 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/spanmeter-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+T = TypeVar("T")
+
+
+def together(makers: Sequence[Callable[[], T]], at_once: int = 8) -> list[T]:
+    """Results of functions which start jobs of their own, in order, the jobs running side by side."""
+    with ThreadPoolExecutor(max(1, min(at_once, len(makers)))) as pool:
+        return list(pool.map(lambda make: make(), makers))

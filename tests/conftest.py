@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
     s = (SparkSession.builder.master("local[4]").appName("tests")
          .config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.default.parallelism", "2").config("spark.driver.memory", "4g")
          .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
          .getOrCreate())
