@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .near import links
-from .words import shingle_sets, signatures, words
+from .words import shingle_sets, signatures, slices, words
 
 COORDINATES = 96
 # Two sets of similarity 0.75 agree in 72 of 96 coordinates on average, with a deviation of 4.2;
@@ -29,27 +29,23 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            b = whole.slice(at, 2000)
-            values, bounds = _sets(b.column("t"))
-            n = np.diff(bounds)
-            s = signatures(values, bounds, COORDINATES)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
-            twice = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * values)])
-            yield pa.RecordBatch.from_arrays(
-                [b.column("i"), pa.array(n, pa.int64()),
-                 pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)),
-                 pa.array((twice[bounds[1:]] - twice[bounds[:-1]]).view(np.int64)),
-                 _lists(s.reshape(-1), np.concatenate([[0], np.cumsum(np.where(n > 0, COORDINATES, 0))]))],
-                ["i", "n", "h", "g", "keys"])
+    for b in slices(batches, rows=2000):
+        values, bounds = _sets(b.column("t"))
+        n = np.diff(bounds)
+        s = signatures(values, bounds, COORDINATES)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values)])
+        twice = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * values)])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("i"), pa.array(n, pa.int64()),
+             pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)),
+             pa.array((twice[bounds[1:]] - twice[bounds[:-1]]).view(np.int64)),
+             _lists(s.reshape(-1), np.concatenate([[0], np.cumsum(np.where(n > 0, COORDINATES, 0))]))],
+            ["i", "n", "h", "g", "keys"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            b = whole.slice(at, 2000)
-            yield pa.RecordBatch.from_arrays([b.column("i"), _lists(*_sets(b.column("t")))], ["id", "items"])
+    for b in slices(batches, rows=2000):
+        yield pa.RecordBatch.from_arrays([b.column("i"), _lists(*_sets(b.column("t")))], ["id", "items"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .near import links
-from .words import _LOWER, _powers, hash_spans, mix, shingle_sets, signatures, utf8, word_spans, words
+from .words import _LOWER, _powers, hash_spans, mix, shingle_sets, signatures, slices, utf8, word_spans, words
 
 MIN_WORDS = 20
 SEED = 11                # words; more than half of MIN_WORDS, so that the seeds of a passage touch
@@ -67,7 +67,7 @@ class _Cut:
         at = 0
         while at < len(first):
             lo = int(first[at])
-            upto = max(int(np.searchsorted(last, lo + (1 << 22), "right")), at + 1)
+            upto = max(int(np.searchsorted(last, lo + (1 << 18), "right")), at + 1)
             hi = int(last[upto - 1])
             n = hi - lo
             p = _powers(n + 1)
@@ -129,18 +129,12 @@ def _split_at(starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> tuple[n
     return np.sort(np.concatenate([starts, inside])), np.sort(np.concatenate([ends, inside]))
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            yield whole.slice(at, 1000)
-
-
 # kind 0: a paragraph; kind 1: a seed. at: the first word of its document; n: its words.
 UNITS = "i long, kind int, at int, n int, h long"
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _slices(batches):
+    for b in slices(batches):
         c = _Cut(b.column("t"))
         ids = b.column("i").to_numpy(zero_copy_only=False)
         bounds = np.append(np.searchsorted(c.starts, utf8(b.column("t"))[1][:-1]), len(c.starts))
@@ -167,7 +161,7 @@ def _paragraph_sets(c: _Cut) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, n, keys) of each paragraph: its hash, the size of its set, and the keys of its bands."""
-    for b in _slices(batches):
+    for b in slices(batches):
         c = _Cut(b.column("t"))
         hashes, values, at = _paragraph_sets(c)
         s = signatures(values, at, BANDS * ROWS, seed=11).reshape(-1, BANDS, ROWS)
@@ -181,7 +175,7 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _slices(batches):
+    for b in slices(batches):
         c = _Cut(b.column("t"))
         hashes, values, at = _paragraph_sets(c)
         yield pa.RecordBatch.from_arrays(
@@ -257,7 +251,7 @@ def _runs(t: pa.Table) -> pa.RecordBatch:
 def _beside(step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(i, p, d, w) of texts and their places (p, d): the `step` words before (d = -1) or from (1) word p, nearest first."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches):
             h, bounds = words(b.column("t"))
             asked = b.column("asked")
             places = asked.flatten()

@@ -6,6 +6,8 @@ UTF-8 bytes gives the same words as cutting code points. Hashes are 64-bit and t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -46,6 +48,20 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[ends[0]:ends[-1]], ends - ends[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "t", rows: int = 1000,
+           size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows whose texts have about `size` bytes at most, one row at
+    least: what a task holds follows from the longest text and not from the number of rows."""
+    for whole in batches:
+        _, ends = utf8(whole.column(column))
+        at = 0
+        while at < whole.num_rows:
+            upto = int(np.searchsorted(ends, ends[at] + size, "right")) - 1
+            upto = min(max(upto, at + 1), at + rows, whole.num_rows)
+            yield whole.slice(at, upto - at)
+            at = upto
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the n + 1 bounds of the rows' words."""
     space = _SPACE[data]
@@ -74,10 +90,10 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """A 64-bit hash of each byte range: a polynomial from prefix sums, moved to one origin and mixed.
 
     The ranges are shifted to the power of their own start by multiplying with that of the
-    distance to the end of the piece; pieces of 4 MB keep the table of powers small.
+    distance to the end of the piece; pieces of 256 KB keep the tables small.
     """
     out = np.empty(len(starts), np.uint64)
-    step = 1 << 22
+    step = 1 << 18
     at = 0
     while at < len(starts):
         lo = int(starts[at])
