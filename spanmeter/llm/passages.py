@@ -342,9 +342,10 @@ def _spans(t: pa.Table) -> pa.RecordBatch:
     e = s + n
     run = kind == 1
     os, oe, of_i = _outer(s[run], e[run], doc[run], first_i[run], first_at[run])
-    rs, re = _joined(os, oe)
-    enough = re - rs >= MIN_WORDS
-    rs, re = _joined(np.concatenate([rs[enough], s[~run]]), np.concatenate([re[enough], e[~run]]))
+    # A run has one first place: short ones that only touch are no passage together.
+    enough = oe - os >= MIN_WORDS
+    os, oe, of_i = os[enough], oe[enough], of_i[enough]
+    rs, re = _joined(np.concatenate([os, s[~run]]), np.concatenate([oe, e[~run]]))
     def within(x: np.ndarray) -> np.ndarray:
         k = np.searchsorted(rs, x, "right") - 1
         return np.flatnonzero((k >= 0) & (x < re[np.maximum(k, 0)])) if len(rs) else np.zeros(0, np.int64)

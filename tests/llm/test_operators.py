@@ -347,3 +347,30 @@ def test_line_rules(spark, none):
     assert [got[i].kept for i in range(7)] == [True, False, False, True, False, False, True]
     assert got[3].clean_text == good and got[3].n_failed_lines == 3 and got[4].n_repeat_words == 120 and got[2].n_words == 0
     assert cleaning.line_quality(none).collect() == []
+
+
+def test_short_repeats_which_touch_are_no_passage(spark):
+    """150 texts, each made of parts of 13 words which stand in different earlier texts."""
+    parts = [prose(500 + k, 13) for k in range(40)]
+    rows = [(k, prose(700 + k, 30) + " " + p + " " + prose(800 + k, 30)) for k, p in enumerate(parts)]
+    rows += [(100 + k, f"{prose(900 + k, 25)} {parts[k % 40]} {parts[(7 * k + 3) % 40]} {prose(1100 + k, 25)}") for k in range(150)]
+    got = by_id(passages.document_passages(spark.createDataFrame(rows, "doc_id long, text string")))
+    places = collections.defaultdict(list)
+    words_of = {i: t.split() for i, t in rows}
+    for i, w in sorted(words_of.items()):
+        for at in range(len(w) - 19):
+            places[tuple(w[at:at + 20])].append((i, at))
+    again = collections.defaultdict(set)
+    for found in places.values():
+        for i, at in found[1:]:
+            again[i].update(range(at, at + 20))
+    for i, _ in rows:
+        assert {k for s, e in got[i].spans for k in range(s, e)} <= again[i], i
+
+
+def test_a_very_long_text_and_repeated_ids_in_passages(spark):
+    long = prose(31, 400_000)
+    rows = [(1, long), (2, prose(32, 40) + " " + " ".join(long.split()[1000:1080]) + " " + prose(33, 40)), (3, PASSAGE), (3, PASSAGE), (3, PASSAGE)]
+    got = passages.document_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {r.doc_id: r.spans for r in got}
+    assert len(got) == 5 and [list(s) for s in spans[2]] == [[40, 120]] and spans[1] == []
