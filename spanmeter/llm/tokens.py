@@ -2,7 +2,8 @@
 
 A text is cut at spaces where the tokenizer's own pre-tokenisation always cuts, so the ids of the
 pieces in a row are the ids of the text. The pieces which a worker has not met are encoded by the
-library many at a time, with a mark between them; the memory for known pieces is bounded.
+library many at a time, with a mark between them. Known pieces are kept in two generations of bounded
+size: when the younger one is full the older one is forgotten, but for what has been met since.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 _DOUBTFUL = re.compile(f"[{WHITE}] ")
 _SURE = re.compile(f"(?<=[^{WHITE}]) ")
 MARK = "\x01"
-REMEMBERED = 1_000_000       # pieces
-REMEMBERED_CHARS = 40_000_000
+REMEMBERED = 500_000         # pieces of a generation
+REMEMBERED_CHARS = 20_000_000
 AT_ONCE = 512                # pieces in one call's text
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -35,6 +36,7 @@ class Encoder:
         self.mark = (" " if spaced else "") + MARK
         self.mark_ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.chars = 0
 
     @staticmethod
@@ -80,8 +82,13 @@ class Encoder:
                 parts = parts[1:]
             cut.append(parts)
         if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS:
-            self.known, self.chars = {}, 0
+            self.known, self.older, self.chars = {}, self.known, 0
         new = set().union(*cut).difference(self.known)
+        again = new.intersection(self.older)
+        if again:
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+            self.chars += sum(map(len, again))
+            new -= again
         if new:
             self._learn(list(new))
         take = self.known.__getitem__
