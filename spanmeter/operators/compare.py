@@ -115,12 +115,13 @@ def classify_changes(pairs: DataFrame, floor_ms: float = FLOOR_MS,
         .alias("ratio"), "b", "a")
 
 
-LARGEST_MOVE = [F.abs("delta_ms").desc(), F.asc("detector"), F.asc("location"), F.asc("detail")]
+def largest_move() -> list[Column]:
+    return [F.abs("delta_ms").desc(), F.asc("detector"), F.asc("location"), F.asc("detail")]
 
 
 def ordered_changes(changes: DataFrame) -> DataFrame:
     """The largest move first."""
-    return changes.orderBy("pair_id", *LARGEST_MOVE)
+    return changes.orderBy("pair_id", *largest_move())
 
 
 def range_overlap(changes: DataFrame) -> DataFrame:

@@ -173,8 +173,7 @@ def summary_counts(summary: DataFrame, by: str = "report_id") -> DataFrame:
 def merged_detector_runs(runs: DataFrame, by: str = "scenario_id") -> DataFrame:
     """A detector described by its first repeat which did not fail; error = the first error."""
     order = F.struct(F.col("error").isNotNull(), F.col("repeat_no"))
+    described = [c for c in ("params", "params_source", "identity") if c in runs.columns]
     return runs.groupBy(by, "detector").agg(
-        F.min_by("params", order).alias("params"),
-        F.min_by("params_source", order).alias("params_source"),
-        F.min_by("identity", order).alias("identity"),
+        *[F.min_by(c, order).alias(c) for c in described],
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("repeat_no"))).alias("error"))

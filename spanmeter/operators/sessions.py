@@ -1,8 +1,9 @@
 """Facts about assistant sessions: calls, usage, rounds, activity, cost, gaps, edits, milestones.
 
 `calls(session_id, agent, call_id, us, tool, command, path, new_text, old_text, is_error,
-output_chars, output_head, duration_s)`, `us` in epoch microseconds, agent `main` or `sub:<id>`.
-Command rules read the command without here-document bodies.
+output_chars, output_head, duration_s)` and the columns of `verdicts`, `us` in epoch microseconds, agent
+`main` or `sub:<id>`. Command rules read the command without here-document bodies; rules on results read
+what the whole result says, `output_head` is for display.
 """
 
 from __future__ import annotations
@@ -38,6 +39,18 @@ REPORT_FILE = r"report\.(?:json|md)|\." + TOOL + r"/out/"
 PY_WRITES = r"(?s)open\([^)]*[\"'](?:w|a|r\+)[\"']|\.write_text\(|\.write\("
 EDIT_VERB = r"(?:^|[\s;&|(])(?:sed\s+-[a-zA-Z]*i|perl\s+-[a-zA-Z]*i)\b"
 SHELL_ERROR = r"\(eval\):|\bcd:\d*:|no matches found|command not found: (?!" + TOOL + ")"
+PLACELESS_TRACEBACK = r"Traceback \(most recent call last\):(?!\s*File \"<(?:stdin|string)>\")"
+EXIT_CODE = r"(?m)^Exit code (\d+)"
+ENV_KINDS = [
+    ("hook redirected the call", r"(?i)hook|redirected"),
+    ("missing python module", r"(?i)ModuleNotFoundError|No module named"),
+    ("path not found", r"(?i)No such file or directory|no such file"),
+    ("command not found", r"(?i)command not found"),
+    ("permission denied", r"(?i)Permission denied"),
+    ("timeout", r"(?i)timed out|timeout"),
+]
+SHELL_TOOLS = (r"(?i)(?:^|__)(?:ctx_execute|ctx_batch_execute|bash|shell|sh|terminal|"
+               r"execute_command|run_command|run_shell_command|execute)$")
 CONCLUSION = {
     "place": r"\bPlace\b|Место",
     "evidence": r"\bEvidence\b|Улик|Доказательств",
@@ -62,28 +75,55 @@ def shell(c: str = "command") -> Column:
     return F.coalesce(strip_heredocs(c), F.lit(""))
 
 
+def verdicts(text: Column) -> dict[str, Column]:
+    """What a whole tool result says: exit code, traceback, shell error, kind of trouble, first line with text.
+
+    Taken while calls are put together, so that the result itself need not travel.
+    """
+    code = F.regexp_extract(text, EXIT_CODE, 1)
+    kind = F.lit("other")
+    for name, rx in reversed(ENV_KINDS):
+        kind = F.when(text.rlike(rx), F.lit(name)).otherwise(kind)
+    lines = F.filter(F.split(text, "\n"), lambda x: (F.trim(x) != "") & ~x.startswith("Exit code"))
+    return {"exit_code": F.when(code != "", code.try_cast("int")),
+            "traceback": text.rlike(PLACELESS_TRACEBACK), "shell_words": text.rlike(SHELL_ERROR),
+            "env_kind": kind, "first_line": F.trim(F.coalesce(F.get(lines, F.lit(0)), F.lit("")))}
+
+
 def calls(rows: DataFrame) -> DataFrame:
     """Tool uses joined with their results by id. Duration is result time less use time, at least 0.
 
-    Takes the content blocks `load_transcripts` gives.
+    Takes the content blocks `load_transcripts` gives. A shell command may come through another tool than the
+    usual one, as its `command`, or as `code` in a shell language.
     """
     use = rows.where((F.col("type") == "assistant") & (F.col("block_type") == "tool_use")).select(
         "session_id", "agent", F.col("use_id").alias("call_id"), epoch_us("ts").alias("us"), "tool",
         "input")
-    result = rows.where((F.col("type") == "user") & (F.col("block_type") == "tool_result")).groupBy(
-        "session_id", "agent", F.col("result_of").alias("call_id")).agg(
-        F.max_by(F.struct(epoch_us("ts").alias("us"), "result", "is_error"), "ts").alias("_r"))
+    out = F.coalesce("result", F.lit(""))
+    said = rows.where((F.col("type") == "user") & (F.col("block_type") == "tool_result")).select(
+        "session_id", "agent", F.col("result_of").alias("call_id"), "ts", F.struct(
+            epoch_us("ts").alias("us"), "is_error", F.length(out).cast("long").alias("output_chars"),
+            clip_text(out, 300).alias("output_head"),
+            *[e.alias(n) for n, e in verdicts(out).items()]).alias("_s"))
+    result = said.groupBy("session_id", "agent", "call_id").agg(F.max_by("_s", "ts").alias("_r"))
+
     def field(name: str) -> Column:
         return F.get_json_object("input", f"$.{name}")
-    out = F.coalesce("_r.result", F.lit(""))
+
     seconds = F.greatest(lng(0), F.col("_r.us") - F.col("us")) / F.lit(1e6)
+    shell_code = F.when(F.lower(field("language")).isin("shell", "bash", "sh"), field("code"))
+    command = F.when(F.col("tool").rlike(SHELL_TOOLS), F.coalesce(
+        field("command"), F.nullif(F.trim(shell_code), F.lit(""))))
+    none = verdicts(F.lit(""))
     return use.join(result, ["session_id", "agent", "call_id"], "left").select(
-        "session_id", "agent", "call_id", "us", "tool", field("command").alias("command"),
-        field("file_path").alias("path"),
+        "session_id", "agent", "call_id", "us", "tool", command.alias("command"),
+        F.coalesce(field("file_path"), field("path"), field("notebook_path")).alias("path"),
         F.coalesce(field("new_string"), field("content"), F.lit("")).alias("new_text"),
         F.coalesce(field("old_string"), F.lit("")).alias("old_text"),
         F.coalesce("_r.is_error", F.lit(False)).alias("is_error"),
-        F.length(out).cast("long").alias("output_chars"), clip_text(out, 300).alias("output_head"),
+        F.coalesce("_r.output_chars", lng(0)).alias("output_chars"),
+        F.coalesce("_r.output_head", F.lit("")).alias("output_head"),
+        *[F.coalesce(F.col(f"_r.{n}"), e).alias(n) for n, e in none.items()],
         F.round(seconds, 1).alias("duration_s"), "input")
 
 
@@ -136,7 +176,7 @@ def turns(rows: DataFrame) -> DataFrame:
                                              "interrupt").otherwise("text"))
     return rows.where((F.col("block_type") == "text") & (text != "")).select(
         "session_id", "agent", epoch_us("ts").alias("us"), F.col("type").alias("role"),
-        kind.alias("kind"), clip_text(text, 600).alias("text"),
+        kind.alias("kind"), text.alias("text"),
         F.nullif(name, F.lit("")).alias("command"))
 
 
@@ -164,21 +204,15 @@ def subcommands(c: DataFrame, tool: str = TOOL, verbs: Sequence[str] = VERBS) ->
                         F.regexp_extract_all(text, F.lit(pattern), 2).alias("a"))
     d = c.where(F.col("command").contains(tool)).withColumn("_m", F.filter(
         hits, lambda m: m["w"].startswith("-") | m["w"].isin(list(verbs))))
-    head = F.coalesce("output_head", F.lit(""))
-    exit_text = F.regexp_extract(head, r"Exit code (\d+)", 1)
     d = d.select("*", F.size("_m").alias("shared"), F.posexplode("_m").alias("pos", "_x"))
     sub = F.when(F.col("_x.w").startswith("-"), "help").otherwise(F.col("_x.w"))
     argv = F.trim(F.regexp_replace("_x.a", r"(?:^|\s+)\d?[<>]\S*.*$", ""))
-    traceback = head.contains("Traceback (most recent call last)") & ~head.rlike(
-        r'Traceback \(most recent call last\):\s*File "<(stdin|string)>"')
-    shell_error = head.rlike(SHELL_ERROR) & F.col("is_error")
     return d.select(
         "session_id", "agent", "call_id", "pos", "us", sub.alias("sub"), argv.alias("argv"),
-        "is_error", F.when(exit_text != "", exit_text.cast("int")).when(F.col("is_error"), None)
-        .otherwise(0).alias("exit"), "output_chars", "shared",
+        "is_error", F.coalesce("exit_code", F.when(~F.col("is_error"), 0)).alias("exit"), "output_chars", "shared",
         F.nullif(F.regexp_extract(argv, r"(?:^|\s)(?:-c|--config)\s+(\S+)", 1), F.lit(""))
         .alias("config"),
-        traceback.alias("traceback"), shell_error.alias("shell_error"),
+        "traceback", (F.col("shell_words") & F.col("is_error")).alias("shell_error"),
         (sub.isin("help", "explain") | argv.rlike(HELP_FLAG)).alias("is_help"))
 
 

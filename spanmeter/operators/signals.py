@@ -20,22 +20,18 @@ from . import sessions as ss
 
 SEVERITY = ["warn", "info", "ok", "skip"]
 
-# Captures outside the tool, and kinds of trouble in the environment.
+# Captures outside the tool, and how traces are kept, moved and named in a shell.
 BYPASS = [
     ("gradle", r"gradlew\b[^\n]*(?:\bconnected\w*|AndroidTest\b)"),
     ("adb", r"\badb\s+(?:-s\s+\S+\s+)?shell\s+(?:perfetto|am\s+start|cmd\s+activity)"),
     ("perfetto", r"(?:^|\s)perfetto\s+(?:-c|--txt|-o)"),
 ]
-ENV_KINDS = [
-    ("hook redirected the call", r"(?i)hook|redirected"),
-    ("missing python module", r"(?i)ModuleNotFoundError|No module named"),
-    ("path not found", r"(?i)No such file or directory|no such file"),
-    ("command not found", r"(?i)command not found"),
-    ("permission denied", r"(?i)Permission denied"),
-    ("timeout", r"(?i)timed out|timeout"),
-]
 DETECTOR_KEY = r"\b(?:min|max)_[a-z_]+\s*:"
 PRESERVE = r"(?:^|[\s;&|(])(?:cp|rsync|tar|zip|ditto)\s"
+MOVE = r"(?:^|[\s;&|(])mv\s+(?:-\S+\s+)*(\"[^\"]*\"|'[^']*'|\S+)\s+(\"[^\"]*\"|'[^']*'|\S+)"
+TRACE_ARGUMENT = r"((?:\"[^\"]*\"|'[^']*'|[^\s\"'])*\.(?:perfetto-trace|pftrace))\b"
+ASSIGNMENT = r"(?m)^\s*(?:export\s+)?([A-Za-z_][A-Za-z0-9_]*)=(\"[^\"]*\"|'[^']*'|\S+)"
+PIECES = r"\n|;|&&|\|\|?"
 
 
 @dataclass
@@ -159,10 +155,8 @@ def cleanup_balance(t: SessionTables) -> DataFrame:
     grep = t.calls.where(looks).join(last, "session_id").where(
         F.col("us") >= F.coalesce("_last", lng(0))).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("_greps"),
-        F.max_by("output_head", F.struct("us", "call_id")).alias("_seen"))
-    lines = F.filter(F.split(F.coalesce("_seen", F.lit("")), "\n"),
-                     lambda x: (F.trim(x) != "") & ~x.startswith("Exit code"))
-    first = F.trim(F.coalesce(F.get(lines, F.lit(0)), F.lit("")))
+        F.max_by("first_line", F.struct("us", "call_id")).alias("_seen"))
+    first = F.coalesce("_seen", F.lit(""))
     number = F.regexp_extract(first, r"(?:^|[\s:])(\d+)\s*$", 1)
     # A trailing number is a count; else a line with the prefix is a leftover.
     dirty = F.when(number != "", number.cast("long") != 0).otherwise(first.contains(t.prefix))
@@ -208,19 +202,94 @@ def thresholds_by_hand(t: SessionTables) -> DataFrame:
     return _out(d, "thresholds_by_hand", F.when(F.col("_c") < F.col("_w"), "info").otherwise("warn"))
 
 
+def _expanded(piece: Column, command: Column) -> Column:
+    """A piece of a command with the variables that the command itself sets put in, longer names first."""
+    pairs = F.arrays_zip(F.regexp_extract_all(command, F.lit(ASSIGNMENT), 1).alias("n"),
+                         F.regexp_extract_all(command, F.lit(ASSIGNMENT), 2).alias("v"))
+    longest = F.reverse(F.sort_array(F.transform(pairs, lambda p: F.struct(F.length(p["n"]).alias("k"), p["n"].alias("n"), p["v"].alias("v")))))
+
+    def put(text: Column, p: Column) -> Column:
+        value = F.regexp_replace(p["v"], "[\"']", "")
+        return F.replace(F.replace(text, F.concat(F.lit("${"), p["n"], F.lit("}")), value), F.concat(F.lit("$"), p["n"]), value)
+
+    return F.aggregate(longest, piece, put)
+
+
+def _as_argument(folder: Column) -> Column:
+    """Pattern of a folder taken whole: on its own, or with a star below it; `out` is not `build/out`."""
+    return F.concat(F.lit(r"(?:^|[ \"'=])\Q"), folder, F.lit(r"\E(?:$|[ \"']|/(?:$|[\s\"']|[^\s\"']*\*))"))
+
+
+def lost_baselines(t: SessionTables) -> DataFrame:
+    """Recordings over traces that were analyzed and not kept: `session_id, us, call_id, agent, traces_before, note`.
+
+    An analysis makes the traces worth keeping, a recording ends that. Between the two, copying a trace file or an
+    analyzed folder as a whole keeps them, and so does moving it, but not within the build tree, which
+    the next build cleans. The tool's own collect keeps the old set itself.
+    """
+    keys = ["session_id", "us", "call_id"]
+    d = t.calls.where(F.col("command").isNotNull() & F.col("us").isNotNull()).select(
+        *keys, "agent", ss.shell().alias("_sh")).where(
+        F.col("_sh").rlike(ss.TOOL + r"\s+analyze\b|" + PRESERVE + "|" + MOVE) | F.col("_sh").rlike(ss.RE_RECORD))
+    analysis = F.col("_sh").rlike(ss.TOOL + r"\s+analyze\b")
+    argv = F.regexp_extract_all("_sh", F.lit(ss.TOOL + r"\s+analyze\b([^;&|\n]*)"), 1)
+    trace = F.regexp_replace(F.regexp_extract("_argv", TRACE_ARGUMENT, 1), "[\"']", "")
+    folders = (
+        d.where(analysis).select(*keys, F.explode(argv).alias("_argv")).withColumn("_trace", trace)
+        .where(F.col("_trace").contains("/") & ~F.col("_trace").startswith("$"))
+        .select("session_id", "us", F.regexp_replace("_trace", "/[^/]*$", "").alias("folder"))
+        .where("folder <> ''").groupBy("session_id", "folder").agg(F.min("us").alias("_since"))
+    )
+    # Pieces of commands meet the folders their session has analyzed until then: few of either.
+    pieces = d.where(~analysis & F.col("_sh").rlike(PRESERVE + "|" + MOVE)).select(
+        *keys, F.posexplode(F.split("_sh", PIECES)).alias("_pos", "_p"), "_sh").select(
+        *keys, "_pos", _expanded(F.trim("_p"), F.col("_sh")).alias("_p"))
+    source, target = (F.regexp_replace(F.regexp_extract("_p", MOVE, k), "^[\"']|[\"']$", "") for k in (1, 2))
+    met = pieces.select(*keys, "_pos", F.col("_p").rlike(PRESERVE).alias("_copies"), "_p", source.alias("_from"),
+                        target.alias("_to")).join(folders, "session_id", "left")
+    known = F.col("_since") < F.col("us")
+    parent = F.when(F.col("folder").contains("/"), F.regexp_replace("folder", "/[^/]*$", ""))
+    moved = F.col("_from").rlike(ss.TRACE_FILE) | F.coalesce(known & F.regexp_like("_from", _as_argument(F.col("folder"))), F.lit(False))
+    per_piece = met.groupBy(*keys, "_pos", "_copies", "_p", "_from", "_to").agg(
+        F.max(F.coalesce(known & F.regexp_like("_p", _as_argument(F.col("folder"))), F.lit(False))).alias("_whole"),
+        F.max(moved).alias("_moves"),
+        F.max(F.when(known & F.col("_from").contains(F.col("folder")), F.col("folder"))).alias("_touched"),
+        F.max(F.coalesce(known & F.col("_to").startswith(parent), F.lit(False))).alias("_near"))
+    in_build = F.col("_to").contains("/build/") | F.col("_to").startswith("build/") | F.col("_near")
+    kept = (F.col("_copies") & (F.col("_whole") | F.col("_p").rlike(ss.TRACE_FILE))) | (F.col("_moves") & ~in_build)
+    did = per_piece.groupBy(*keys).agg(
+        F.max(kept).alias("_kept"),
+        F.max(F.when(F.col("_moves") & in_build, F.struct("_pos", F.col("_to").alias("to")))).alias("_moved"),
+        F.max(F.when(F.col("_moves"), F.struct("_pos", F.col("_touched").alias("folder")))).alias("_touched"))
+    at = F.struct("us", "call_id")
+    named = d.where(analysis).select(*keys, F.regexp_replace(F.regexp_replace(F.regexp_extract(
+        F.coalesce(F.get(argv, F.lit(0)), F.lit("")), TRACE_ARGUMENT, 1), "[\"']", ""), "/?[^/]*$", "").alias("_folder"))
+    d = d.join(did, keys, "left").join(named, keys, "left")
+    records = ~analysis & F.col("_sh").rlike(ss.RE_RECORD)
+    seen = carry(d.withColumn("_records", records).withColumn("_analysis", analysis), ["session_id"], ["us", "call_id"],
+                 time_cell("us", LOG_CELL_US),
+                 maxes={"_last_kept": F.when(F.col("_kept"), at),
+                        "_last_moved": F.when(F.col("_moved").isNotNull(), F.struct("us", "call_id", F.col("_moved.to").alias("to"))),
+                        "_last_touched": F.when(F.col("_touched.folder").isNotNull(), F.struct("us", "call_id", F.col("_touched.folder").alias("folder")))},
+                 maxes_before={"_last_analysis": F.when(F.col("_analysis"), F.struct("us", "call_id")),
+                               "_last_folder": F.when(F.col("_folder") != "", F.struct("us", "call_id", F.col("_folder").alias("folder"))),
+                               "_last_record": F.when(F.col("_records"), F.struct("us", "call_id"))})
+
+    def since(event: str) -> Column:
+        """Whether the event came after the analysis."""
+        return F.col(event).isNotNull() & (F.struct(F.col(f"{event}.us"), F.col(f"{event}.call_id")) > F.col("_last_analysis"))
+
+    lost = (F.col("_records") & ~F.col("_sh").rlike(ss.TOOL + r"\s+collect\b") & F.col("_last_analysis").isNotNull()
+            & ~since("_last_record") & ~since("_last_kept"))
+    return seen.where(lost).select(
+        *keys, "agent", F.coalesce(F.when(since("_last_touched"), F.col("_last_touched.folder")), F.col("_last_folder.folder"), F.lit("?"))
+        .alias("traces_before"),
+        F.when(since("_last_moved"), F.concat(F.lit("moved to "), F.col("_last_moved.to"), F.lit(" inside the build tree")))
+        .otherwise("no copy of the previous traces first").alias("note"))
+
+
 def baseline_lost(t: SessionTables) -> DataFrame:
-    """A re-recording after an analysis with no copy of the traces in between."""
-    text = ss.shell()
-    kind = (F.when(text.rlike(ss.TOOL + r"\s+analyze\b"), 1)
-            .when(text.rlike(ss.RE_RECORD) & text.rlike(ss.TOOL + r"\s+collect\b"), 4)
-            .when(text.rlike(ss.RE_RECORD), 3)
-            .when(text.rlike(PRESERVE) & text.rlike(r"perfetto-trace|pftrace|traces?\b"), 2))
-    d = t.calls.where(F.col("command").isNotNull()).select(
-        "session_id", "us", "call_id", kind.alias("kind")).where("kind is not null")
-    d = carry(d, ["session_id"], ["us", "call_id"], time_cell("us", LOG_CELL_US),
-              lags={"_before": F.col("kind")})
-    # The nearest event decides: an analysis (1) without a copy (2) or a recording (3, 4) since.
-    return _out(_count(d, (F.col("kind") == 3) & (F.col("_before") == 1)), "baseline_lost", "warn")
+    return _out(_count(lost_baselines(t)), "baseline_lost", "warn")
 
 
 def report_sliced_by_hand(t: SessionTables) -> DataFrame:
@@ -289,12 +358,8 @@ def retries(t: SessionTables) -> DataFrame:
 
 def env_kinds(t: SessionTables) -> DataFrame:
     """Errors of other tools by kind: `session_id, kind, n`."""
-    head = F.coalesce("output_head", F.lit(""))
-    kind = F.lit("other")
-    for name, rx in reversed(ENV_KINDS):
-        kind = F.when(head.rlike(rx), F.lit(name)).otherwise(kind)
     d = t.calls.where("is_error").withColumn("_sh", ss.shell())
-    return d.where(~_invokes()).withColumn("kind", kind).groupBy("session_id", "kind").agg(
+    return d.where(~_invokes()).groupBy("session_id", F.col("env_kind").alias("kind")).agg(
         F.count(F.lit(1)).alias("n"))
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import epoch_us
+from ..functions.exprs import clip_text, epoch_us
 from ..operators import runlog as rl
 from ..operators import sessions as ss
 from ..operators import signals as sg
@@ -30,8 +30,10 @@ COMMANDS = [
     "adb shell perfetto -c cfg -o out; sleep 3",
     "spanmeter analyze other.yml | tail -3",
 ]
-HEADS = ["ok", "Exit code 2\nno such option", "Traceback (most recent call last):\n  File \"x.py\"",
-         "No module named yaml", "zsh: command not found: foo"]
+# What a result says may come late in it.
+LATE = "\n".join(["line of a long build log"] * 40) + "\n"
+RESULTS = ["ok", "Exit code 2\nno such option", LATE + "Traceback (most recent call last):\n  File \"x.py\"",
+           LATE + "No module named yaml", "zsh: command not found: foo"]
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,8 +73,9 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
         command.alias("command"), path.alias("path"), F.coalesce(new, F.lit("")).alias("new_text"),
         F.coalesce(old, F.lit("")).alias("old_text"), (kind == "error").alias("is_error"),
         F.round(F.col("value") * 100).cast("long").alias("output_chars"),
-        F.when(kind == "error", F.get(_array(HEADS), (i % 5).cast("int"))).otherwise(F.lit("ok"))
-        .alias("output_head"), F.lit(1.0).alias("duration_s"))
+        F.when(kind == "error", F.get(_array(RESULTS), (i % 5).cast("int"))).otherwise(F.lit("ok"))
+        .alias("_result"), F.lit(1.0).alias("duration_s")).withColumns(
+            {"output_head": clip_text(F.col("_result"), 300), **ss.verdicts(F.col("_result"))}).drop("_result")
 
 
 def turns(spark: SparkSession, sf: str) -> DataFrame:
@@ -138,7 +141,7 @@ calls AS (
          END AS path,
          event_type = 'error' AS is_error, event_id,
          CAST(round(value * 100) AS BIGINT) AS output_chars,
-         CASE WHEN event_type = 'error' THEN {_array_sql(HEADS)}[event_id % 5 + 1] ELSE 'ok' END AS head
+         CASE WHEN event_type = 'error' THEN {_array_sql(RESULTS)}[event_id % 5 + 1] ELSE 'ok' END AS head
   FROM events),
 acts AS (
   SELECT *, CASE
@@ -356,6 +359,17 @@ QUERIES = {
         _matched,
         _q("SELECT session_id, cmd, calls[n].id AS call_id, best.id AS run_id, best.gap AS gap_us "
            "FROM walk WHERE best IS NOT NULL", _MATCH_SQL).replace("WITH", "WITH RECURSIVE", 1)),
+    "baseline_lost": (
+        lambda s, d: sg.lost_baselines(tables(s, d)).select("session_id", "call_id", "agent", "traces_before", "note"),
+        _q("""
+        SELECT session_id, call_id, agent, CASE WHEN named > 0 THEN 'traces' ELSE '?' END AS traces_before,
+               'no copy of the previous traces first' AS note
+        FROM (SELECT *, lag(kind) OVER (PARTITION BY session_id ORDER BY us, call_id) AS before,
+                     count(*) FILTER (k = 0) OVER (PARTITION BY session_id ORDER BY us, call_id
+                                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS named
+              FROM (SELECT *, CASE WHEN k IN (0, 12) THEN 'analysis' WHEN k IN (2, 11) THEN 'recording'
+                                   WHEN k = 7 THEN 'copy' END AS kind FROM calls) WHERE kind IS NOT NULL)
+        WHERE kind = 'recording' AND before = 'analysis'""")),
     "usage_totals": (
         lambda s, d: ss.usage_totals(usage(s, d)),
         f"""

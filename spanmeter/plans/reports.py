@@ -418,7 +418,7 @@ def _ordered(spark, sf):
     """The order as a column: changes of one pair carry their place."""
     d = cmp.ordered_changes(changes(spark, sf).drop("a", "b"))
     return d.select("pair_id", "detector", "location", "detail", "delta_ms", F.row_number().over(
-        Window.partitionBy("pair_id").orderBy(*cmp.LARGEST_MOVE)).alias("place"))
+        Window.partitionBy("pair_id").orderBy(*cmp.largest_move())).alias("place"))
 
 
 def _merged_runs(spark, sf):

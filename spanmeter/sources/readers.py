@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -77,11 +77,15 @@ def empty_tables(spark: SparkSession) -> TraceTables:
                           schemas.TRACE_TABLES.items()})
 
 
-def load_traces(spark: SparkSession, path: str) -> TraceTables:
+UNPLACED = "ts IS NULL OR dur IS NULL"
+
+
+def load_traces(spark: SparkSession, path: str, rejects: dict[str, Observation] | None = None) -> TraceTables:
     """Trace tables under `path/<table>/`, usually partitioned by `trace_id=…`.
 
     A table which is absent becomes an empty one: a trace without frames is silence, not an
-    error. Rows whose `ts` or `dur` is NULL cannot be placed in time and are left out.
+    error. Rows whose `ts` or `dur` is NULL cannot be placed in time and are left out: they are counted while the
+    table is first read, in `rejects[table].get["rejected"]`, and `unplaced_rows` gives them per trace.
     """
     tables = {}
     for name, ddl in schemas.TRACE_TABLES.items():
@@ -92,11 +96,25 @@ def load_traces(spark: SparkSession, path: str) -> TraceTables:
                 raise
             df = spark.createDataFrame([], ddl)
         if name in ("slice", "thread_state"):
-            df = df.where(F.col("ts").isNotNull() & F.col("dur").isNotNull())
+            if rejects is not None:
+                rejects[name] = Observation(f"{name} of {path}")
+                df = df.observe(rejects[name], F.count(F.lit(1)).alias("read"), F.count_if(F.expr(UNPLACED)).alias("rejected"))
+            df = df.where(f"NOT ({UNPLACED})")
         tables[name] = df
     return TraceTables(**tables)
 
 
+def unplaced_rows(spark: SparkSession, path: str) -> DataFrame:
+    """`trace_id, table, rows, rejected`: rows which `load_traces` leaves out for want of a time."""
+    out = None
+    for name in ("slice", "thread_state"):
+        one = _conform(_read(spark, f"{path}/{name}"), schemas.TRACE_TABLES[name]).groupBy("trace_id").agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.expr(UNPLACED)).alias("rejected")).select(
+            "trace_id", F.lit(name).alias("table"), "rows", "rejected")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
     """A run log, one JSON object per line; lines which do not parse are skipped."""
     return (
@@ -124,6 +142,10 @@ def load_transcripts(spark: SparkSession, path: str) -> DataFrame:
     parent = F.regexp_extract("_file", r"/([^/]+)/(?:subagents/)?agent-[^/]+\.jsonl$", 1)
     content = F.col("message.content")
     blocks = F.when(content.startswith("["), F.from_json(content, schemas.CONTENT_BLOCKS))
+    said = F.col("block.content")
+    parts = F.from_json(said, "array<struct<type:string,text:string>>")
+    blocks_text = F.array_join(F.transform(F.filter(parts, lambda b: b["type"] == "text"),
+                                           lambda b: F.coalesce(b["text"], F.lit(""))), "\n")
     plain = F.from_json(
         F.concat(F.lit('[{"type":"text"}]')), schemas.CONTENT_BLOCKS)
     return (
@@ -143,17 +165,31 @@ def load_transcripts(spark: SparkSession, path: str) -> DataFrame:
             F.coalesce("block.text", "_text").alias("text"), F.col("block.id").alias("use_id"),
             F.col("block.name").alias("tool"), F.col("block.input").alias("input"),
             F.col("block.tool_use_id").alias("result_of"),
-            F.col("block.content").alias("result"), F.col("block.is_error").alias("is_error"))
+            F.when(said.startswith("["), blocks_text).otherwise(said).alias("result"), F.col("block.is_error").alias("is_error"))
     )
 
 
 def load_dumps(spark: SparkSession, path: str) -> DataFrame:
-    """Text thread dumps as numbered lines: `dump_id, line_no, line`."""
-    files = (
-        spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("dump_id"), F.col("value").alias("text"))
+    """Text thread dumps as numbered lines: `dump_id, line_no, line`; see `numbered_lines`."""
+    return numbered_lines(spark, path).withColumnRenamed("file", "dump_id")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """`file, line_no, line` of text files of any size: a file is read in blocks by many tasks.
+
+    A row's place in its block and the lines of the blocks before it give its number; what is added up is one
+    row per block. Lines end at \\n, \\r\\n or \\r; a last empty line is none.
+    """
+    rows = (
+        spark.read.option("recursiveFileLookup", "true").text(path)
+        .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+                F.monotonically_increasing_id().alias("_at"), F.col("value").alias("line"))
     )
-    return text_lines(files, "dump_id", "text")
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")).select(
+        "file", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_lines"))
+    return rows.join(blocks, ["file", "_block"]).select(
+        "file", (F.col("_lines") + F.col("_at") - F.col("_first") + 1).cast("int").alias("line_no"), "line")
 
 
 def text_lines(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from spanmeter.operators import dumps as dm
 from spanmeter.operators import locks as lk
 from spanmeter.session import settle
-from spanmeter.sources.readers import load_dumps, text_lines
+from spanmeter.sources.readers import load_dumps, numbered_lines, text_lines
 
 # Two monitors with a holder each, four threads with nothing to do, one line no rule reads.
 EXPORT = """\
@@ -260,3 +260,22 @@ def test_ranking(spark):
     work = dm.working_threads(idle).join(wants, ["dump_id", "thread_no"], "left").fillna(False, ["wants"])
     rows = dm.rank_working(work, dm.own_frames(frames)).orderBy("place").collect()
     assert [(r.name, r.place) for r in rows] == [("SyncEngine-3", 1), ("Exporter", 2)]
+
+
+def test_lines_are_numbered_over_the_blocks_of_a_file(spark, tmp_path):
+    texts = {"a.txt": "".join(f"line {k} of a\n" for k in range(5000)), "b.txt": "one\r\ntwo\r\n\r\nfour", "c.txt": "", "d/e.txt": "\n\nx\n"}
+    for name, text in texts.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        rows = numbered_lines(spark, str(tmp_path))
+        got = {}
+        for r in rows.collect():
+            got.setdefault(r.file.split(str(tmp_path) + "/")[1], []).append((r.line_no, r.line))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = {n: list(enumerate(t.replace("\r\n", "\n").removesuffix("\n").split("\n"), 1)) for n, t in texts.items() if t}
+    assert {n: sorted(v) for n, v in got.items()} == want

@@ -184,6 +184,58 @@ def test_missing_tables_are_skipped_not_ok(spark, tmp_path):
     assert got["doctor_first"] == "warn" and got["retries"] == "info"
 
 
+def shell_session(spark, commands):
+    rows = [("s", "main", f"c{k:02}", k * 60_000_000, "Bash", cmd, None, "", "", False, 1, "ok", None, False, False, "other", "ok", 1.0)
+            for k, cmd in enumerate(commands)]
+    return sg.SessionTables(spark.createDataFrame(
+        rows, "session_id string, agent string, call_id string, us long, tool string, command string, path string, new_text string, "
+              "old_text string, is_error boolean, output_chars long, output_head string, exit_code int, traceback boolean, "
+              "shell_words boolean, env_kind string, first_line string, duration_s double"))
+
+
+ANALYZE, AGAIN = "spanmeter analyze build/out/*.perfetto-trace", "./gradlew :app:connectedCheck"
+
+
+@pytest.mark.parametrize("commands,lost", [
+    ([ANALYZE, AGAIN], [("build/out", "no copy of the previous traces first")]),
+    ([AGAIN, AGAIN], []),
+    ([ANALYZE, "cp build/out/a.perfetto-trace /safe/", AGAIN], []),
+    ([ANALYZE, "cp -r build/out /safe/ && ls", AGAIN], []),
+    ([ANALYZE, "cp -r 'build/out/' /safe/; " + AGAIN], []),
+    ([ANALYZE, "cp build/out/metrics.json /safe/", AGAIN], [("build/out", "no copy of the previous traces first")]),
+    ([ANALYZE, "cp -r other/build/out /safe/", AGAIN], [("build/out", "no copy of the previous traces first")]),
+    ([ANALYZE, "mv build/out build/out_before_fix", AGAIN], [("build/out", "moved to build/out_before_fix inside the build tree")]),
+    ([ANALYZE, "mv build/out /safe/before", AGAIN], []),
+    ([ANALYZE, 'OUT=build/out\ncp metrics.json /tmp && mv "$OUT" "${OUT}_old"', AGAIN],
+     [("build/out", "moved to build/out_old inside the build tree")]),
+    ([ANALYZE, "cp -r build/out /safe", ANALYZE, AGAIN], [("build/out", "no copy of the previous traces first")]),
+    ([ANALYZE, "spanmeter collect --into x", AGAIN], []),
+    ([ANALYZE, AGAIN, AGAIN, ANALYZE, AGAIN], [("build/out", "no copy of the previous traces first")] * 2),
+    (['spanmeter analyze "$T"', AGAIN], [("?", "no copy of the previous traces first")]),
+])
+def test_lost_baselines(spark, commands, lost):
+    got = sg.lost_baselines(shell_session(spark, commands)).orderBy("us").collect()
+    assert [(r.traces_before, r.note) for r in got] == lost
+
+
+def test_what_a_result_says_late_is_seen(spark, tmp_path):
+    late = "a line of a build log\n" * 100
+    said = [(1, late + "Traceback (most recent call last):\n  File \"x.py\""), (2, late + "Traceback (most recent call last):\n  File \"<stdin>\""),
+            (3, late + "ls: No such file or directory"), (4, "\n Exit code 1 is not its first word\n7 left"), (5, [
+                {"type": "text", "text": "Exit code 3"}, {"type": "image", "text": "x"}, {"type": "text", "text": "end"}])]
+    rows = [use(k, "2026-01-01T10:%02d:00Z" % k, "Bash", command="x") for k, _ in said]
+    rows += [use(6, "2026-01-01T10:06:00Z", "mcp__box__execute", language="sh", code="ls"),
+             use(7, "2026-01-01T10:07:00Z", "Read", path="a.kt")]
+    rows += [result(k, "2026-01-01T11:%02d:00Z" % k, text) for k, text in said]
+    (tmp_path / "s2.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    c = {r.call_id: r for r in ss.calls(load_transcripts(spark, str(tmp_path))).collect()}
+    assert [c[f"u{k}"].traceback for k in range(1, 6)] == [True, False, False, False, False]
+    assert c["u3"].env_kind == "path not found" and len(c["u3"].output_head) == 301
+    assert (c["u4"].exit_code, c["u4"].first_line) == (None, "Exit code 1 is not its first word")
+    assert (c["u5"].exit_code, c["u5"].output_chars, c["u5"].output_head, c["u5"].first_line) == (3, 15, "Exit code 3\nend", "end")
+    assert (c["u6"].command, c["u7"].path, c["u7"].traceback, c["u7"].env_kind) == ("ls", "a.kt", False, "other")
+
+
 KT = """package a
 import androidx.tracing.trace
 
