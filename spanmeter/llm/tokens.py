@@ -18,8 +18,8 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 _DOUBTFUL = re.compile(f"[{WHITE}] ")
 _SURE = re.compile(f"(?<=[^{WHITE}]) ")
 MARK = "\x01"
-REMEMBERED = 500_000         # pieces of a generation
-REMEMBERED_CHARS = 20_000_000
+REMEMBERED = 800_000         # pieces of a generation
+REMEMBERED_CHARS = 32_000_000
 AT_ONCE = 512                # pieces in one call's text
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
