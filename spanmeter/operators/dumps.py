@@ -193,19 +193,19 @@ def dump_frames(seg: DataFrame) -> DataFrame:
 
 
 def dump_locks(seg: DataFrame) -> DataFrame:
-    """Wanted and held monitors: `dump_id, thread_no, role, addr, cls, owner_tid`."""
+    """Wanted and held monitors: `dump_id, thread_no, role, addr, cls, owner_tid, line_no`."""
     def group(i):
         return _by_producer(lambda p: F.regexp_extract("text", p.lock, i) if p.lock else F.lit(""))
     on_sig = _by_producer(lambda p: F.lit(p.lock_on_signature))
     wants = seg.where(F.when(on_sig, F.col("is_sig")).otherwise(
         F.col("in_thread") & ~F.col("is_sig"))).select(
         "dump_id", "thread_no", F.lit("wants").alias("role"), group(1).alias("addr"),
-        group(2).alias("cls"), group(3).alias("owner_tid")).where("addr <> ''")
+        group(2).alias("cls"), group(3).alias("owner_tid"), "line_no").where("addr <> ''")
     held = _body(seg).select(
         "dump_id", "thread_no", F.lit("holds").alias("role"),
         _by_producer(lambda p: F.regexp_extract("text", p.held, 1) if p.held else F.lit(""))
         .alias("addr"), F.lit(None).cast("string").alias("cls"),
-        F.lit(None).cast("string").alias("owner_tid")).where("addr <> ''")
+        F.lit(None).cast("string").alias("owner_tid"), "line_no").where("addr <> ''")
     return wants.unionByName(held)
 
 

@@ -6,8 +6,6 @@ owner_tid)`. Thread ids are compared as given, an empty one names nobody.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,16 +21,17 @@ def _wants(locks: DataFrame, threads: DataFrame) -> DataFrame:
 def lock_groups(locks: DataFrame, threads: DataFrame) -> DataFrame:
     """One row per wanted monitor and owner: waiters, whether main is among them, the holder.
 
-    The holder is the thread of the named tid; when that tid is not in the dump, the first thread
-    which says it holds the address. Order: `blocks_main` first, then by number of waiters.
+    The holder is the thread of the named tid, the first of several processes' threads with that tid; when the
+    tid is not in the dump, the first thread which says it holds the address. Order: `blocks_main` first, then by
+    number of waiters.
     """
     groups = _wants(locks, threads).groupBy("dump_id", "addr", "owner_tid").agg(
         F.count(F.lit(1)).alias("waiters"),
         F.max(F.col("name") == "main").alias("blocks_main"),
         F.min_by("cls", "thread_no").alias("monitor"))
-    by_tid = threads.where(F.col("tid").cast("string") != "").select(
-        "dump_id", F.col("tid").alias("owner_tid"), F.col("name").alias("_n1"),
-        F.col("tid").alias("_t1"))
+    by_tid = threads.where(F.col("tid").cast("string") != "").groupBy(
+        "dump_id", F.col("tid").alias("owner_tid")).agg(F.min_by("name", "thread_no").alias("_n1")).withColumn(
+        "_t1", F.col("owner_tid"))
     holds = locks.where(F.col("role") == "holds").join(
         threads.select("dump_id", "thread_no", "name", "tid"), ["dump_id", "thread_no"]).groupBy(
         "dump_id", "addr").agg(F.min_by(F.struct("name", "tid"), "thread_no").alias("_h"))
@@ -53,45 +52,43 @@ def ordered_groups(groups: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def wait_edges(locks: DataFrame, threads: DataFrame) -> DataFrame:
-    """`dump_id, tid, next`: the thread whose monitor a thread wants, where that thread exists."""
+    """`dump_id, tid, next`: the thread whose monitor a thread wants, where that thread exists.
+
+    Of several notes the last one stands, by `line_no` where the locks carry it; of several threads of one tid, that
+    of the last thread.
+    """
     alive = threads.where(F.col("tid").cast("string") != "").select(
         "dump_id", F.col("tid").alias("next")).distinct()
-    edges = _wants(locks, threads).where(F.col("tid").cast("string") != "").select(
-        "dump_id", "tid", F.col("owner_tid").alias("next"))
-    return edges.join(alive, ["dump_id", "next"], "left_semi").dropDuplicates(["dump_id", "tid"])
+    at = F.struct("thread_no", *[F.col(c) for c in ("line_no",) if c in locks.columns], "owner_tid")
+    edges = _wants(locks, threads).where(F.col("tid").cast("string") != "").join(
+        alive.withColumnRenamed("next", "owner_tid"), ["dump_id", "owner_tid"], "left_semi")
+    return edges.groupBy("dump_id", "tid").agg(F.max_by("owner_tid", at).alias("next"))
+
+
+SQUARED_AT_ONCE = 3    # squarings of the jump table between two writes: eight times as far each
 
 
 def wait_roots(edges: DataFrame) -> DataFrame:
     """For every thread with an edge: `root, steps, in_cycle`.
 
     A thread wants at most one monitor, so the graph is a function and pointer doubling finds the
-    end of every walk in log2(n) joins. A walk which has not ended by then runs into a loop; its
+    end of every walk. Walks that have ended are set aside, so what is doubled on shrinks fast: most chains have
+    a few steps. A walk that has not ended after as many steps as there are edges runs into a loop; its
     root is the last thread before the loop closes.
     """
     edges = settle(edges)
-    n = edges.groupBy("dump_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    rounds = math.ceil(math.log2(n + 1)) if n else 0
-    # Only threads which are wanted by a waiting thread and wait themselves can lie inside a walk.
-    jump = edges.select("dump_id", "tid", F.col("next").alias("at"), F.lit(1).cast("long")
-                        .alias("steps"))
-    jump = _double(jump, rounds)
-    live = edges.select("dump_id", F.col("tid").alias("at"), F.lit(True).alias("_live"))
-    ended = settle(jump.join(live, ["dump_id", "at"], "left"))
-    straight = ended.where(F.col("_live").isNull()).select(
-        "dump_id", "tid", F.col("at").alias("root"), "steps", F.lit(False).alias("in_cycle"))
-    loops = ended.where(F.col("_live"))
-    # After n steps every looping walk stands on its loop: those threads are the loop's members.
-    members = loops.select("dump_id", F.col("at").alias("tid")).distinct()
-    members = settle(members)
-    if members.isEmpty():
+    ended, loops = _walked(edges, edges)
+    straight = ended.select("dump_id", "tid", F.col("at").alias("root"), "steps", F.lit(False).alias("in_cycle"))
+    if loops is None:
         return straight
+    # After n steps every looping walk stands on its loop: those threads are the loop's members.
+    members = settle(loops.select("dump_id", F.col("at").alias("tid")).distinct())
     before = edges.join(members, ["dump_id", "tid"]).select(
         "dump_id", F.col("next").alias("entry"), F.col("tid").alias("_last"))
+    # Walk again, stopping at the loop: its members have no edge here.
     outside = edges.join(loops.select("dump_id", "tid"), ["dump_id", "tid"], "left_semi").join(
         members, ["dump_id", "tid"], "left_anti")
-    # Walk again, stopping at the loop: its members have no edge here.
-    reach = _double(outside.select("dump_id", "tid", F.col("next").alias("at"),
-                                   F.lit(1).cast("long").alias("steps")), rounds)
+    reach, _ = _walked(outside, outside)
     entries = reach.select("dump_id", "tid", F.col("at").alias("entry"), "steps").unionByName(
         members.select("dump_id", "tid", F.col("tid").alias("entry"), F.lit(0).cast("long")
                        .alias("steps")))
@@ -100,21 +97,34 @@ def wait_roots(edges: DataFrame) -> DataFrame:
     return straight.unionByName(looped)
 
 
-def _double(jump: DataFrame, rounds: int) -> DataFrame:
-    """Squares the jump table until no jump lands on a thread which can go on, or `rounds` times."""
-    jump = settle(jump)
-    for _ in range(rounds):
-        onward = jump.select("dump_id", F.col("tid").alias("at"), F.col("at").alias("_to"),
-                             F.col("steps").alias("_more"))
-        nxt = settle(jump.join(onward, ["dump_id", "at"], "left").select(
-            "dump_id", "tid", F.coalesce("_to", "at").alias("at"),
-            (F.col("steps") + F.coalesce("_more", F.lit(0).cast("long"))).alias("steps"),
-            F.col("_to").isNotNull().alias("_moved")))
-        moved = nxt.where("_moved").limit(1).isEmpty()
-        jump = nxt.drop("_moved")
-        if moved:
-            break
-    return jump
+def _walked(edges: DataFrame, starts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The walks from `starts` along `edges`: those that end (`at`, `steps`), and those that never do."""
+    jump = edges.select("dump_id", "tid", F.col("next").alias("at"), F.lit(1).cast("long").alias("steps"))
+    walks = starts.select("dump_id", "tid", F.col("next").alias("at"), F.lit(1).cast("long").alias("steps"))
+    live = edges.select("dump_id", F.col("tid").alias("at"), F.lit(True).alias("_live"))
+    done, far, n = None, 1, None
+    while True:
+        for _ in range(SQUARED_AT_ONCE):
+            walks, jump, far = _onward(walks, jump), _onward(jump, jump), far * 2
+        both = settle(walks.join(live, ["dump_id", "at"], "left").select("dump_id", "tid", "at", "steps", "_live"))
+        some = both.where("_live IS NULL").drop("_live")
+        done = some if done is None else done.unionByName(some)
+        walks = both.where("_live").drop("_live")
+        if walks.isEmpty():
+            return done, None
+        if n is None:
+            n = edges.groupBy("dump_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if far > n:
+            return done, walks
+        jump = settle(jump)
+
+
+def _onward(walks: DataFrame, jump: DataFrame) -> DataFrame:
+    """Walks continued by the jumps of where they stand."""
+    further = jump.select("dump_id", F.col("tid").alias("at"), F.col("at").alias("_to"), F.col("steps").alias("_more"))
+    return walks.join(further, ["dump_id", "at"], "left").select(
+        "dump_id", "tid", F.coalesce("_to", "at").alias("at"),
+        (F.col("steps") + F.coalesce("_more", F.lit(0).cast("long"))).alias("steps"))
 
 
 def chain_roots(locks: DataFrame, threads: DataFrame, groups: DataFrame | None = None) -> DataFrame:

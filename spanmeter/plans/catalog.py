@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
 
-MODULES = ["traces", "reports", "inventories", "dumpset", "logset", "corpusset"]
+MODULES = ["traces", "reports", "inventories", "dumpset", "logset", "corpusset", "loading"]
 
 
 def _entries() -> dict:

@@ -268,7 +268,7 @@ QUERIES = {
               UNION ALL SELECT dump_id, thread_no, 'native', 1, 'native: #00 pc 0x1f libc.so'
               FROM fr WHERE dump % 2 = 0""")),
     "dump_locks": (
-        lambda s, d: dm.dump_locks(dm.segment_threads(dump_lines(s, d))),
+        lambda s, d: dm.dump_locks(dm.segment_threads(dump_lines(s, d))).drop("line_no"),
         _q("""SELECT dump_id, thread_no, 'wants' AS role, '0x' || lower(to_hex(owner)) AS addr,
                      cls, CAST(owner AS VARCHAR) AS owner_tid FROM c WHERE state = 'blocked'
               UNION ALL SELECT dump_id, thread_no, 'holds', '0x' || lower(to_hex(tid)), NULL, NULL

@@ -462,6 +462,16 @@ reports AS (
          count(*) OVER (PARTITION BY o_custkey) AS n
   FROM orders)"""
 
+MERGED_BODY = """
+SELECT * EXCLUDE (identity_detail), CASE WHEN identity_detail <> ''
+       THEN CAST(to_json({'location': location, 'detail': identity_detail}) AS VARCHAR)
+       ELSE CAST(to_json({'location': location}) AS VARCHAR) END AS identity FROM merged"""
+
+
+def merged_sql(body: str) -> str:
+    return _q(body)
+
+
 _OWN_SQL = f"""
 found AS (
   SELECT trace_id, split_part(name, ' ', 1) AS location, CAST(slice_id % 3 AS VARCHAR) AS depth,
@@ -546,10 +556,7 @@ QUERIES = {
                  {ms('min(ts_end - ts_start)')} AS min_ms, {ms('max(ts_end - ts_start)')} AS max_ms,
                  count(*) > 1 AND max(ts_end - ts_start) > 2 * min(ts_end - ts_start) AS divergent
           FROM win GROUP BY 1""")),
-    "merge_repeats": (_merged, _q("""
-        SELECT * EXCLUDE (identity_detail), CASE WHEN identity_detail <> ''
-               THEN CAST(to_json({'location': location, 'detail': identity_detail}) AS VARCHAR)
-               ELSE CAST(to_json({'location': location}) AS VARCHAR) END AS identity FROM merged""")),
+    "merge_repeats": (_merged, _q(MERGED_BODY)),
     "merge_spread": (_spread_flat, _q("""
         SELECT scenario_id, detector, location, identity_detail, metric,
                CAST(min(v) AS DOUBLE) / 100.0 AS "min", CAST(max(v) AS DOUBLE) / 100.0 AS "max",

@@ -279,3 +279,26 @@ def test_lines_are_numbered_over_the_blocks_of_a_file(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     want = {n: list(enumerate(t.replace("\r\n", "\n").removesuffix("\n").split("\n"), 1)) for n, t in texts.items() if t}
     assert {n: sorted(v) for n, v in got.items()} == want
+
+
+def test_one_holder_per_lock_and_the_last_note_of_a_thread(spark):
+    threads = spark.createDataFrame(
+        [("d", 1, "main", "1"), ("d", 2, "owner", "7"), ("d", 3, "same tid", "7"), ("d", 4, "w", "9"), ("d", 5, "x", "8")],
+        "dump_id string, thread_no int, name string, tid string")
+    locks = spark.createDataFrame(
+        [("d", 1, "wants", "0xa", "A", "7", 10), ("d", 4, "wants", "0xb", "B", "8", 20), ("d", 4, "wants", "0xa", "A", "7", 21)],
+        "dump_id string, thread_no int, role string, addr string, cls string, owner_tid string, line_no int")
+    got = {(r.addr, r.owner_tid): (r.holder, r.waiters) for r in lk.lock_groups(locks, threads).collect()}
+    assert got == {("0xa", "7"): ("owner", 2), ("0xb", "8"): ("x", 1)}
+    assert {(r.tid, r.next) for r in lk.wait_edges(locks, threads).collect()} == {("1", "7"), ("9", "7")}
+
+
+def test_long_chains_and_loops_have_their_roots(spark):
+    chain = [("c", str(k), str(k + 1)) for k in range(300)]
+    loop = [("l", str(k), str((k + 1) % 5)) for k in range(5)] + [("l", "10", "3"), ("l", "11", "10")]
+    edges = spark.createDataFrame(chain + loop, "dump_id string, tid string, next string")
+    got = {(r.dump_id, r.tid): (r.root, r.steps, r.in_cycle) for r in lk.wait_roots(edges).collect()}
+    assert all(got["c", str(k)] == ("300", 300 - k, False) for k in range(300))
+    assert got["l", "11"] == ("2", 2, True) and got["l", "10"] == ("2", 1, True)
+    assert all(got["l", str(k)][2] for k in range(5)) and got["l", "0"][0] == "4"
+    assert lk.wait_roots(edges.where("false")).collect() == []
