@@ -308,7 +308,52 @@ _SIGNAL_SQL = {
         "trace_opened_directly", "CASE WHEN n > 0 THEN 'warn' ELSE 'ok' END", "n",
         "(SELECT session_id, count(*) FILTER (path = 'traces/x.pftrace') AS n FROM calls "
         "GROUP BY session_id)")),
+    "report_sliced_by_hand": ("", _sig(
+        "report_sliced_by_hand", "'info'", "n",
+        "(SELECT session_id, count(*) AS n FROM calls WHERE k = 8 GROUP BY session_id)")),
+    "bypass_tools": ("", _sig(
+        "bypass_tools", "'info'", "n",
+        "(SELECT session_id, count(DISTINCT k) AS n FROM calls WHERE k IN (2, 11) GROUP BY session_id)")),
+    "env_friction": ("", _sig(
+        "env_friction", "'info'", "n",
+        "(SELECT session_id, count(DISTINCT CASE event_id % 5 WHEN 3 THEN 'module' WHEN 4 THEN 'command' ELSE 'other' END) AS n "
+        "FROM calls WHERE is_error AND k NOT IN (0, 1, 6, 12) GROUP BY session_id)")),
+    "tool_failures": ("", _sig(
+        "tool_failures", "CASE WHEN own > 0 THEN 'warn' ELSE 'info' END", "n",
+        "(SELECT session_id, count(*) AS n, count(*) FILTER (head NOT LIKE 'zsh:%') AS own FROM invoked "
+        "WHERE is_error AND NOT x.h GROUP BY session_id)")),
+    "loop_in_main_context": ("", _sig(
+        "loop_in_main_context", "'warn'", "n", """
+        (SELECT e.session_id, any_value(e.edits) + count(c.call_id) AS n
+         FROM (SELECT session_id, min(us) AS first, count(*) AS edits FROM calls
+               WHERE tool = 'Edit' AND agent = 'main' GROUP BY session_id) e
+         LEFT JOIN calls c ON c.session_id = e.session_id AND c.agent = 'main' AND c.us > e.first AND c.k IN (2, 11)
+         GROUP BY e.session_id)""")),
+    "instrumentation_prefix": (_BAL_SQL, _sig(
+        "instrumentation_prefix", "CASE WHEN n > 0 THEN 'warn' ELSE 'ok' END", "n", """
+        (SELECT session_id, sum(unprefixed) AS n FROM balance GROUP BY session_id
+         HAVING sum(unprefixed) > 0 OR sum(added + removed + shell) > 0)""")),
+    "edits_outside_allowed": ("", _sig(
+        "edits_outside_allowed", "'info'", "0", "(SELECT DISTINCT session_id FROM calls WHERE tool = 'Edit')")),
+    "config_bypassed": ("", _sig(
+        "config_bypassed", "CASE WHEN last < wrote THEN 'info' ELSE 'warn' END", "n", """
+        (SELECT session_id, count(*) FILTER (k = 6) AS n, max(us) FILTER (k = 6) AS last,
+                min(us) FILTER (k = 9) AS wrote FROM calls GROUP BY session_id HAVING count(*) FILTER (k = 6) > 0)""")),
+    "thresholds_by_hand": ("", _sig(
+        "thresholds_by_hand", "CASE WHEN calibrated < wrote THEN 'info' ELSE 'warn' END", "n", """
+        (SELECT session_id, count(*) FILTER (k = 9) AS n, min(us) FILTER (k = 9) AS wrote,
+                min(us) FILTER (k = 6) AS calibrated FROM calls GROUP BY session_id HAVING count(*) FILTER (k = 9) > 0)""")),
+    "baseline_lost": ("", _sig(
+        "baseline_lost", "'warn'", "n", """
+        (SELECT session_id, count(*) AS n FROM (
+           SELECT *, lag(kind) OVER (PARTITION BY session_id ORDER BY us, call_id) AS before
+           FROM (SELECT *, CASE WHEN k IN (0, 12) THEN 1 WHEN k IN (2, 11) THEN 2 WHEN k = 7 THEN 3 END AS kind FROM calls)
+           WHERE kind IS NOT NULL) WHERE kind = 2 AND before = 1 GROUP BY session_id)""")),
+    "agent_prompt_gaps": ("", _sig("agent_prompt_gaps", "'skip'", "0", "(SELECT DISTINCT session_id FROM calls)")),
+    "conclusion_shape": ("", _sig("conclusion_shape", "'skip'", "0", "(SELECT DISTINCT session_id FROM calls)")),
 }
+# Rules over a table that the sample sessions lack; alone they have nothing to read.
+_SKIPPED = ("agent_prompt_gaps", "conclusion_shape")
 
 
 def signal(name: str, **limits):
@@ -477,7 +522,7 @@ QUERIES = {
         _q("SELECT session_id, call_id, us, agent, sub, nus - us AS after_us FROM retries",
            _RETRY_SQL)),
     **{f"signal_{n}": (signal(n), _q(body, *([c] if c else [])))
-       for n, (c, body) in _SIGNAL_SQL.items()},
+       for n, (c, body) in _SIGNAL_SQL.items() if n not in _SKIPPED},
     "signals_all": (_signals_all, None),
     "session_summary": (_summary, _SUMMARY_SQL),
 }
