@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.exprs import iso_text
@@ -26,21 +29,50 @@ def read_log(spark: SparkSession, path: str, lateness: str = "1 hour",
 
 
 def stream_sittings(log: DataFrame, gap_s: int = 30 * 60) -> DataFrame:
-    """Sittings as they close: the session gap of a run is its own length plus the gap, so the
-    silence is counted from the END of a run.
+    """Sittings as they close, the same as in the batch form: the silence is counted from the END of the run before.
 
-    Deviation from the batch form: sessions merge on the largest end seen, not on the previous
-    run's. State is one row per open sitting.
+    Runs wait until the watermark has passed them and then go in order of their start, so a file that arrives
+    late but in time changes nothing. State per project: the runs that wait, and the open sitting with the end of
+    its last run, at which a timer closes it. `log` needs a watermark on `ts`.
     """
-    length = F.coalesce(F.col("ms"), F.lit(0)) + F.lit(gap_s * 1000 + 1)
-    gap = F.concat(length.cast("string"), F.lit(" milliseconds"))
-    d = log.groupBy("project", F.session_window("ts", gap).alias("w")).agg(
-        F.min("ts").alias("started"), F.count(F.lit(1)).alias("runs"),
-        F.max_by("version", F.when(F.col("version").isNotNull(), F.col("ts"))).alias("version"))
-    closed = F.timestamp_millis(F.unix_millis("w.end") - F.lit(gap_s * 1000 + 1))
+    gap = gap_s * 1_000_000
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, sitting = json.loads(state.get[0]) if state.exists else ([], None)
+        for b in batches:
+            us = b["ts"].astype("datetime64[us]").astype("int64")
+            ends = us + b["ms"].fillna(0).astype("int64") * 1000
+            waiting += [[int(u), c, int(e), v] for u, c, e, v in zip(
+                us, b["cmd"].astype(object).where(b["cmd"].notna(), None), ends,
+                b["version"].astype(object).where(b["version"].notna(), None), strict=True)]
+        passed = state.getCurrentWatermarkMs() * 1000
+        waiting.sort(key=lambda r: (r[0], r[1] or ""))
+        closed = []
+        while waiting and waiting[0][0] < passed:
+            us, _, end, version = waiting.pop(0)
+            if sitting is not None and us - sitting[1] > gap:
+                closed.append(sitting)
+                sitting = None
+            started, _, runs, known = sitting or (us, end, 0, None)
+            sitting = (started, end, runs + 1, version if version is not None else known)
+        if sitting is not None and passed - sitting[1] > gap:
+            closed.append(sitting)
+            sitting = None
+        if waiting or sitting is not None:
+            state.update((json.dumps([waiting, sitting]),))
+            due = min([r[0] for r in waiting[:1]] + ([sitting[1] + gap] if sitting is not None else []))
+            state.setTimeoutTimestamp(max(due, passed) // 1000 + 2)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame([(key[0], *c) for c in closed], columns=["project", "started", "ended", "runs", "version"])
+
+    rows = log.select(F.coalesce("project", F.lit("")).alias("project"), "ts", "cmd", "ms", "version")
+    d = rows.groupBy("project").applyInPandasWithState(
+        advance, "project string, started long, ended long, runs long, version string", "held string",
+        "append", GroupStateTimeout.EventTimeTimeout)
+    d = d.withColumns({"started": F.timestamp_micros("started"), "ended": F.timestamp_micros("ended")})
     ident = F.substring(F.sha2(F.concat_ws("\n", "project", iso_text("started")), 256), 1, 12)
-    return d.select("project", ident.alias("sitting_id"), "started", closed.alias("ended"), "runs",
-                    "version")
+    return d.select("project", ident.alias("sitting_id"), "started", "ended", "runs", "version")
 
 
 def stream_failures(log: DataFrame, window: str = "10 minutes") -> DataFrame:

@@ -40,6 +40,21 @@ def test_sittings_equal_the_batch_form(spark, tmp_path):
     assert sorted(r.runs for r in got) == [1, 1, 3]
 
 
+def test_nested_and_late_runs_sit_as_in_the_batch_form(spark, tmp_path):
+    # A run of two hours with short ones inside: the silence counts from the run before, not from the largest end.
+    entries = [("p", 0, "analyze", 120 * 60_000, 0), ("p", 10, "doctor", 1, 0), ("p", 60, "names", 1, 0), ("p", 85, "mark", None, 0),
+               ("p", 150, "analyze", 1, 0), ("q", 5, "names", 10, 0), ("p", 400, "analyze", 20 * 60_000, 0), ("p", 450, "anr", 1, 0)]
+    log(tmp_path / "log", "a.json", [entries[k] for k in (4, 0, 2)])
+    log(tmp_path / "log", "b.json", [entries[k] for k in (3, 1, 5)])    # within the watermark, out of order
+    log(tmp_path / "log", "c.json", entries[6:])
+    log(tmp_path / "log", "d.json", [("z", 9000, "reflect", 1, 0)])
+    got = drain(stream_sittings(read_log(spark, str(tmp_path / "log"), lateness="3 hours", max_files=1)), "nested")
+    batch = rl.sitting_facts(rl.sittings(rl.from_log(load_runs(spark, str(tmp_path / "log"))))).where("project <> 'z'").collect()
+    assert sorted((r.project, r.sitting_id, r.runs, r.version, round(r.ended.timestamp() * 1e6)) for r in got) == sorted(
+        (r.project, r.sitting_id, r.runs, r.version, r.ended_us) for r in batch)
+    assert sorted(r.runs for r in got) == [1, 1, 2, 2, 2]
+
+
 def test_failures(spark, tmp_path):
     log(tmp_path / "log", "a.json", [("p", 1, "analyze", 1, 1), ("p", 3, "analyze", 1, 0),
                                      ("p", 4, "doctor", 1, 2), ("z", 999, "x", 1, 0)])
