@@ -194,7 +194,8 @@ def write_ids(tokens: DataFrame, vocabulary: int, path: str) -> None:
             yield flush()
 
     (tokens.mapInArrow(encode, "part int, i long, n long, bits binary, marks binary")
-     .repartition(parts, "part").sortWithinPartitions("part", "i")
+     # By range, so that the files follow each other in the order of the ids.
+     .repartitionByRange(parts, "part").sortWithinPartitions("part", "i")
      .mapInArrow(assemble, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
 
