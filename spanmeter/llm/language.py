@@ -20,7 +20,6 @@ from .words import utf8
 
 WIDTH = 1 << 13
 PER_LANGUAGE = 400       # rows per language that machines are fitted on, on average
-LANGUAGES = 200          # the most frequent languages which are learned
 # Families of languages. A language that is not named is a family of its own.
 FAMILIES = {
     "germanic": ["de", "en", "nl", "sv", "da", "no", "is", "af"],
@@ -165,12 +164,12 @@ def document_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Learned from the rows with text and lang whose remainder by 4 is not 2. A text that is null or has
     no letter is `und` with score 0, as is every text where nothing could be learned; with one language
-    every lettered text has it. Rows with the same or no id are kept as they are. Other columns are
-    not read.
+    every lettered text has it. All languages are learned; the driver sees their names and counts. Rows with
+    the same or no id are kept as they are. Other columns are not read.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang"))
     learn = rows.where(F.col("t").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("i"), 4) != 2))
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = learn.groupBy("lang").count().collect()
     langs = {r.lang: r["count"] for r in counts}
     found = predict(rows, sorted(langs), fit(learn, langs))
     return found.select(F.col("i").alias("doc_id"), (remainder(F.col("i"), 4) == 2).alias("held_out"), "lang_pred", "score")

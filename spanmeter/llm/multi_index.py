@@ -125,7 +125,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rows = settle(rows.select("i", F.when(sound, F.col("v")).alias("v")))
     classes = settle(rows.where("v is not null").groupBy("v").agg(F.min("i").alias("id"), F.count("*").alias("m")))
     edges, counts = [], []
-    for width, n in classes.groupBy(F.size("v")).count().orderBy(F.size("v")).limit(1 << 12).collect():
+    for width, n in classes.groupBy(F.size("v")).count().orderBy(F.size("v")).collect():
         linked = settle(_links(classes.where(F.size("v") == width), n, cosine, recall))
         counts.append(linked.select("id", "links"))
         edges.append(linked.select(F.col("id").alias("a"), F.col("root").alias("b")))
