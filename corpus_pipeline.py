@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a
 DataFrame which is written as Parquet and read again as the next one's docs. All but the last return
-the columns of documents.
+the columns of documents, further ones included, whatever they are called. No documents give no rows
+at any stage, and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -23,7 +24,10 @@ def _ready(spark: SparkSession) -> SparkSession:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes the lines that fail a rule; documents which fail the base rules or lose too much text go."""
+    """Removes the lines that fail a rule; documents which fail the base rules or lose too much text go.
+
+    A null or empty text fails the base rules. Repeated rows, and rows without an id, are judged one by one.
+    """
     _ready(spark)
     clean = cleaning.measured(docs, keep=docs.columns).where("kept and barrier >= 0")
     def column(c: str):
@@ -34,21 +38,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.7 or more go."""
+    """Documents with a toxicity score of 0.7 or more go.
+
+    Null and empty texts have a score too, that of a text without any vote. Rows are scored by their text alone, so
+    repeated ones go or stay together.
+    """
     model = toxicity.fitted(docs, _ready(spark).read.parquet(f"{sf_dir}/labels.parquet"))
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"), F.struct(*docs.columns).alias("k"))
     return toxicity.score(rows, model, ["k"]).where(F.col("score") < toxicity.THRESHOLD).select("k.*")
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near-identical documents the one with the smallest id stays; one without an id stays."""
+    """Of near-identical documents the one with the smallest id stays; one without an id stays.
+
+    Null and empty texts are like nothing and stay. Rows with the same id are one document and stay or go together.
+    """
     _ready(spark)
     gone = settle(minhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id"))
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages which an earlier document or place keeps; a document that loses all its words goes."""
+    """Removes passages which an earlier document or place keeps; a document that loses all its words goes.
+
+    Earlier means the smaller id. Null and empty texts, and rows without an id, lose nothing. Rows with the same id
+    are one document and lose the same words.
+    """
     _ready(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").alias("t"))
     found = settle(passages.removals(rows.where("i is not null")).select(F.col("i").alias("doc_id"), "spans"))
@@ -74,7 +89,10 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each token of each document lies in the training sequences."""
+    """Where each token of each document lies in the training sequences.
+
+    A null or empty text is the end id alone. Repeated rows are packed one by one.
+    """
     _ready(spark)
     return packing.packed_documents(docs)
 
