@@ -18,6 +18,7 @@ COORDINATES = 96
 # fewer than 54 happen about once in 200 000 pairs just at the threshold, and more rarely above it.
 MATCHES = 54
 SHINGLE = 5
+CROWD = 256               # buckets of more classes, not yet known to be one, are compared in blocks
 
 
 def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +69,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return (wanted.mapInArrow(_contents, "id long, items array<long>")
                 .groupBy("id").agg(F.first("items").alias("items")))
 
-    found = links(classes.select("id", "n", "keys"), MATCHES, contents)
+    found = links(classes.select("id", "n", "keys"), MATCHES, contents, crowd=CROWD)
     named = classes.select("n", "h", "g", "id").join(found, "id", "left").select(
         "n", "h", "g", F.coalesce("component", "id").alias("c"))
     out = (signed.select("i", "n", "h", "g").join(named, ["n", "h", "g"], "left")

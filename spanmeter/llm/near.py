@@ -11,9 +11,10 @@ its buckets; after the components of these links are known, only sets of differe
 each pair once, at the smallest key which both have posted. Every link is confirmed on the full sets,
 and no cap is set on buckets or partners.
 
-Where sets are small, a crowded bucket is compared in blocks instead: a task holds the sets of two
-blocks, compares them all, and returns which of them hang together, so that no pair is written. That
-is still work with the square of the bucket, but each set travels once per block and not per partner.
+A crowded bucket of different sets that are too alike to be told apart by rare keys is compared in blocks
+instead: a task holds the sets of two blocks, compares them all on the full sets, and returns which of them
+hang together, so that no pair is written. That is still work with the square of the bucket, but each set
+travels once per block and not per partner.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ def posted(items: DataFrame, need: int) -> DataFrame:
                     F.slice(F.col("s.key"), F.lit(1), F.size("s") - (need - 1)).alias("posts")))
 
 
-BLOCK_SETS = 512          # about as many sets and elements go into a block
-BLOCK_ELEMENTS = 200_000
+BLOCK_SETS = 2048         # about as many sets and elements go into a block
+BLOCK_ELEMENTS = 1_000_000
 
 
 def _confirmed(pairs: DataFrame, kept: DataFrame, full: DataFrame, need: int, percent: int) -> DataFrame:

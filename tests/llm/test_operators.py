@@ -374,3 +374,32 @@ def test_a_very_long_text_and_repeated_ids_in_passages(spark):
     got = passages.document_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     spans = {r.doc_id: r.spans for r in got}
     assert len(got) == 5 and [list(s) for s in spans[2]] == [[40, 120]] and spans[1] == []
+
+
+def test_crowds_of_copies_below_and_above_the_threshold(spark, monkeypatch):
+    """Edited copies of one text, of which some are just alike enough: crowded buckets, in several blocks."""
+    monkeypatch.setattr(minhash, "CROWD", 8)
+    monkeypatch.setattr(near, "BLOCK_SETS", 16)
+    r, base = random.Random(5), BASE.split()
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for at in r.sample(range(len(w)), r.choice([1, 3, 5, 6, 7])):
+            w[at] = f"edit{k}x{at}"
+        rows.append((k, " ".join(w)))
+    got = by_id(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    sets = {i: {tuple(w[k:k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a in sets:
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    assert {i: got[i].component_id for i in sets} == {i: find(i) for i in sets}
+    assert len({find(i) for i in sets}) > 10
