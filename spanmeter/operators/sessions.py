@@ -470,7 +470,8 @@ def session_list(c: DataFrame, t: DataFrame, invoked: DataFrame, subs: DataFrame
                  since_us: int | None = None, prefix: str | None = None,
                  hunter: str = "perf-hunter") -> DataFrame:
     """Sessions with start, duration, invocations, hunts and first prompt. Only those which used the
-    tool for real work, unless named by an id prefix."""
+    tool for real work, by command, slash command or hunt, unless named by an id prefix. Looking back on
+    sessions is no such work."""
     base = c.select("session_id", "us").unionByName(t.select("session_id", "us")).groupBy(
         "session_id").agg(F.min("us").alias("started_us"), F.max("us").alias("ended_us"))
     n = invoked.groupBy("session_id").agg(
@@ -478,17 +479,19 @@ def session_list(c: DataFrame, t: DataFrame, invoked: DataFrame, subs: DataFrame
     first = t.where((F.col("role") == "user") & (F.col("kind") == "text")).groupBy("session_id").agg(
         F.min_by(F.substring(F.regexp_replace("text", r"\s+", " "), 1, 60), F.struct("us", "text"))
         .alias("first_prompt"))
-    d = base.join(n, "session_id", "left").join(first, "session_id", "left")
+    own = t.where((F.col("kind") == "slash") & F.col("command").startswith("/" + TOOL)
+                  & (F.col("command") != f"/{TOOL}-reflect")).groupBy("session_id").agg(F.count(F.lit(1)).alias("_slash"))
+    d = base.join(n, "session_id", "left").join(first, "session_id", "left").join(own, "session_id", "left")
     if subs is not None:
         d = d.join(subs.where(F.col("type") == hunter).groupBy("session_id").agg(
             F.count(F.lit(1)).alias("hunts")), "session_id", "left")
     else:
         d = d.withColumn("hunts", lng(0))
-    d = d.fillna(0, ["invocations", "_real", "hunts"])
+    d = d.fillna(0, ["invocations", "_real", "hunts", "_slash"])
     if since_us is not None:
         d = d.where(F.col("ended_us") >= since_us)
     d = d.where(F.col("session_id").startswith(prefix)) if prefix else d.where(
-        (F.col("_real") > 0) | (F.col("hunts") > 0))
+        (F.col("_real") > 0) | (F.col("_slash") > 0) | (F.col("hunts") > 0))
     return d.select("session_id", "started_us", int_div(
         F.col("ended_us") - F.col("started_us"), lng(1_000_000)).alias("duration_s"),
         "invocations", "hunts", "first_prompt")

@@ -30,6 +30,7 @@ COMMANDS = [
     "adb shell perfetto -c cfg -o out; sleep 3",
     "spanmeter analyze other.yml | tail -3",
 ]
+SLASH = ["/go", "/spanmeter-hunt", "/spanmeter-reflect"]
 # What a result says may come late in it.
 LATE = "\n".join(["line of a long build log"] * 40) + "\n"
 RESULTS = ["ok", "Exit code 2\nno such option", LATE + "Traceback (most recent call last):\n  File \"x.py\"",
@@ -87,7 +88,8 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
          + F.col("turn") * 30_000_000).alias("us"), "role",
         F.when((F.col("role") == "user") & (F.col("turn") == 0) & (F.col("conv_id") % 4 == 0), "slash")
         .when((F.col("role") == "user") & (F.col("conv_id") % 7 == 0), "interrupt")
-        .otherwise("text").alias("kind"), "text", F.lit("/go").alias("command"))
+        .otherwise("text").alias("kind"), "text",
+        F.get(_array(SLASH), (F.col("conv_id") % 3).cast("int")).alias("command"))
 
 
 def usage(spark: SparkSession, sf: str) -> DataFrame:
@@ -165,7 +167,8 @@ subs AS (
 
 TURNS_SQL = """
 turns AS (
-  SELECT 's' || conv_id AS session_id, role, text,
+  SELECT 's' || conv_id AS session_id, role, text, CASE conv_id % 3 WHEN 0 THEN '/go' WHEN 1 THEN '/spanmeter-hunt'
+           ELSE '/spanmeter-reflect' END AS command,
          1704067200000000 + conv_id * 60000000 + turn * 30000000 AS us,
          CASE WHEN role = 'user' AND turn = 0 AND conv_id % 4 = 0 THEN 'slash'
               WHEN role = 'user' AND conv_id % 7 = 0 THEN 'interrupt' ELSE 'text' END AS kind
@@ -488,7 +491,7 @@ QUERIES = {
         UNION ALL SELECT session_id, us, 'shell wrote spanmeter.yml', agent FROM calls WHERE k = 9
         UNION ALL SELECT session_id, min(us), 'temporary instrumentation added', arg_min(agent, us)
           FROM calls WHERE k = 5 OR (tool = 'Edit' AND event_id % 3 = 0) GROUP BY session_id
-        UNION ALL SELECT session_id, us, 'slash /go', 'main' FROM turns WHERE kind = 'slash'
+        UNION ALL SELECT session_id, us, 'slash ' || command, 'main' FROM turns WHERE kind = 'slash'
         UNION ALL SELECT session_id, us, 'user interrupted', 'main' FROM turns
           WHERE kind = 'interrupt'""", TURNS_SQL)),
     "marker_balance": (
@@ -506,10 +509,12 @@ QUERIES = {
             "first_prompt"),
         _q(f"""
         SELECT b.session_id, min(b.us) AS started_us, {big('(max(b.us) - min(b.us)) // 1000000')}
-                 AS duration_s, {big('any_value(n.n)')} AS invocations, CAST(0 AS BIGINT) AS hunts
+                 AS duration_s, {big('coalesce(any_value(n.n), 0)')} AS invocations, CAST(0 AS BIGINT) AS hunts
         FROM (SELECT session_id, us FROM calls UNION ALL SELECT session_id, us FROM turns) b
-        JOIN (SELECT session_id, count(*) AS n FROM subs GROUP BY session_id) n
-          ON n.session_id = b.session_id GROUP BY b.session_id""", TURNS_SQL)),
+        LEFT JOIN (SELECT session_id, count(*) AS n FROM subs GROUP BY session_id) n USING (session_id)
+        GROUP BY b.session_id
+        HAVING any_value(n.n) > 0 OR b.session_id IN (
+          SELECT session_id FROM turns WHERE kind = 'slash' AND command = '/spanmeter-hunt')""", TURNS_SQL)),
     "prompt_mentions": (
         lambda s, d: ss.text_fields(table(s, d, "conversations"), {
             "opens": "(?i)^the", "number": r"\d+", "question": r"\?"}).drop("text"),

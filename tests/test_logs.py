@@ -276,3 +276,12 @@ def test_corpus(spark, tmp_path):
     (left,) = cp.leftover_markers(files, "AGENTTMP_", "spanmeter:mark").collect()
     assert (left.path, left.markers, left.removable) == ("core/net/src/B.java", 1, 1)
     assert [(r.kind, r.files) for r in cp.pattern_inventory(files).collect()] == [("di_koin", 1)]
+
+
+def test_a_session_of_slash_commands_alone_is_listed(spark):
+    t = shell_session(spark, ["ls"])
+    turns = spark.createDataFrame(
+        [("a", "main", 1, "user", "slash", "x", "/spanmeter-hunt"), ("b", "main", 1, "user", "slash", "x", "/spanmeter-reflect"),
+         ("c", "main", 1, "user", "text", "hello", None)],
+        "session_id string, agent string, us long, role string, kind string, text string, command string")
+    assert [r.session_id for r in ss.session_list(t.calls, turns, t.invoked).collect()] == ["a"]
