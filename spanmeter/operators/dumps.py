@@ -293,6 +293,15 @@ def scope_process(threads: DataFrame, packages: DataFrame) -> DataFrame:
     return d.where(mine).drop("_target").join(away, "dump_id")
 
 
+def scope_dump(threads: DataFrame, frames: DataFrame, locks: DataFrame, packages: DataFrame
+               ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Threads, frames and locks of the process which hung. Locks and idleness are judged on these: another
+    process may use the same thread ids and addresses."""
+    mine = scope_process(threads, packages)
+    keys = mine.select("dump_id", "thread_no")
+    return mine, *(df.join(keys, ["dump_id", "thread_no"], "left_semi") for df in (frames, locks))
+
+
 def mask_rank(c: Column | str, masks: Sequence[tuple[str, Sequence[str]]] = IDLE) -> Column:
     """Place of the first reason one of whose texts is in the frame, else NULL."""
     c = F.col(c) if isinstance(c, str) else c

@@ -129,9 +129,29 @@ def _roots(s, d):
 
 def _summary(s, d):
     p = Parsed(s, d)
-    idle = settle(dm.idle_reason(p.threads, p.frames))
-    return dm.dump_summary(dm.scope_process(p.threads, p.packages()), idle,
-                           lk.lock_groups(p.locks, p.threads), dm.unread_lines(p.seg))
+    threads, frames, locks = dm.scope_dump(p.threads, p.frames, p.locks, p.packages())
+    return dm.dump_summary(threads, settle(dm.idle_reason(threads, frames)), lk.lock_groups(locks, threads),
+                           dm.unread_lines(p.seg))
+
+
+def _two_processes(s, d):
+    """The same dumps, every third thread of the even ones in another process; every fourth dump names that one."""
+    p = Parsed(s, d)
+    number = F.substring("dump_id", 2, 9).cast("int")
+    threads = p.threads.withColumn("process", F.when((number % 2 == 0) & (F.col("thread_no") % 3 == 0), "other.app").otherwise("an.app"))
+    packages = p.threads.select("dump_id").distinct().withColumn(
+        "package", F.when(number % 4 == 0, "other.app").otherwise("no.such.app"))
+    return threads, p.frames, p.locks, packages
+
+
+def _scope(s, d):
+    return dm.scope_process(*(x for k, x in enumerate(_two_processes(s, d)) if k in (0, 3))).select(
+        "dump_id", "thread_no", "process", "elsewhere")
+
+
+def _scoped_groups(s, d):
+    threads, _, locks = dm.scope_dump(*_two_processes(s, d))
+    return lk.lock_groups(locks, threads).select("dump_id", "addr", "waiters", "blocks_main", "holder_tid")
 
 
 def _ranked(s, d):
@@ -211,6 +231,17 @@ g AS (
 gh AS (SELECT g.*, h.name AS holder, h.tid AS holder_tid FROM g
        LEFT JOIN c h ON h.dump_id = g.dump_id AND h.tid = g.owner)"""
 
+SCOPE_SQL = """
+two AS (SELECT *, CASE WHEN dump % 2 = 0 AND thread_no % 3 = 0 THEN 'other.app' ELSE 'an.app' END AS process FROM c),
+hung AS (
+  SELECT dump_id, CASE WHEN count(DISTINCT process) > 1 THEN
+           CASE WHEN any_value(dump) % 4 = 0 THEN 'other.app' ELSE arg_min(process, thread_no) END END AS target
+  FROM two GROUP BY dump_id),
+scoped AS (
+  SELECT *, target IS NULL OR process = target AS mine,
+         count(*) FILTER (process <> target) OVER (PARTITION BY dump_id) AS away
+  FROM two JOIN hung USING (dump_id))"""
+
 WALK_SQL = """
 e AS (SELECT w.dump_id, w.tid, w.owner AS nxt FROM c w JOIN c o ON o.tid = w.owner
       WHERE w.state = 'blocked'),
@@ -274,6 +305,13 @@ QUERIES = {
               UNION ALL SELECT dump_id, thread_no, 'holds', '0x' || lower(to_hex(tid)), NULL, NULL
               FROM c WHERE dump % 2 = 1""")),
     "idle_threads": (_idle, _q("SELECT dump_id, thread_no, name, idle FROM fr")),
+    "scope_process": (_scope, _q(f"""
+        SELECT dump_id, thread_no, process, {big('away')} AS elsewhere FROM scoped WHERE mine""", SCOPE_SQL)),
+    "scoped_lock_groups": (_scoped_groups, _q(f"""
+        SELECT w.dump_id, '0x' || lower(to_hex(w.owner)) AS addr, {big('count(*)')} AS waiters,
+               bool_or(w.name = 'main') AS blocks_main, CAST(any_value(h.tid) AS VARCHAR) AS holder_tid
+        FROM scoped w LEFT JOIN scoped h ON h.dump_id = w.dump_id AND h.tid = w.owner AND h.mine
+        WHERE w.mine AND w.state = 'blocked' GROUP BY w.dump_id, w.owner""", SCOPE_SQL)),
     "lock_groups": (_groups, _q(f"""
         SELECT dump_id, addr, CAST(owner AS VARCHAR) AS owner_tid, monitor, {big('waiters')} AS waiters,
                blocks_main, holder, CAST(holder_tid AS VARCHAR) AS holder_tid,
