@@ -18,7 +18,7 @@ COORDINATES = 96
 # fewer than 54 happen about once in 200 000 pairs just at the threshold, and more rarely above it.
 MATCHES = 54
 SHINGLE = 5
-CROWD = 256               # buckets of more classes, not yet known to be one, are compared in blocks
+CROWD = 64                # buckets of more classes, not yet known to be one, are compared in blocks
 
 
 def _sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
