@@ -283,17 +283,12 @@ def test_katz_against_dictionaries(docs, none):
     total, distinct = sum(uni.values()), len(uni)
     of = np.bincount(list(uni.values()), minlength=8)[1:7]
     known = katz.Words(total, distinct, of, np.zeros(0, np.uint64), np.zeros(0, np.int64), 0)
-    number = {w for w, c in uni.items() if c >= 2}
     def p1(w):
         return uni[w] * known.of(np.array([uni[w]]))[0] * known.scale / total
-    rare = 1 - sum(p1(w) for w in number) - known.unknown * katz.SILENT
-    def name(w):
-        return w if w is None or w in number else "rare of all words"
-    prob = {w: p1(w) for w in number} | {"rare of all words": rare}
-    follow, hist = collections.Counter(), collections.Counter()
-    for (h, w), c in pair.items():
-        follow[name(h), name(w)] += c
-        hist[name(h)] += c
+    prob = {w: p1(w) for w in uni}
+    follow, hist = pair, collections.Counter()
+    for (h, _), c in pair.items():
+        hist[h] += c
     d = dict(enumerate(katz.discounts(np.bincount(list(follow.values()), minlength=8)[1:7]), 1))
     seen = collections.defaultdict(dict)
     for (h, w), c in follow.items():
@@ -301,23 +296,35 @@ def test_katz_against_dictionaries(docs, none):
     def p2(h, w):
         if w in seen[h]:
             return seen[h][w]
-        return (1 - sum(seen[h].values())) / (1 - sum(prob[x] for x in seen[h])) * prob[w]
+        return (1 - sum(seen[h].values())) / (1 - sum(prob[x] for x in seen[h])) * prob.get(w, known.unknown * (1 - katz.SILENT))
     for h in list(hist)[:40]:
         back = (1 - sum(seen[h].values())) / (1 - sum(prob[x] for x in seen[h]))
-        assert sum(p2(h, w) for w in prob) + back * known.unknown * katz.SILENT == pytest.approx(1)
+        assert sum(p2(h, w) for w in prob) + back * known.unknown == pytest.approx(1)
     for i, w in tokens.items():
         base = sum(math.log10((uni[x] + 0.5) / (total + 0.5 * (distinct + 1))) for x in w)
-        full = 0.0
-        for h, x in zip([None, *w], w):
-            full += math.log10(p2(name(h), name(x)))
-            if name(x) != x:
-                full += math.log10((p1(x) if uni[x] else known.unknown * (1 - katz.SILENT)) / rare)
+        full = sum(math.log10(p2(h, x)) for h, x in zip([None, *w], w))
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(uni[x] > 0 for x in w), total)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(full), i
     assert katz.document_scores(none).collect() == []
 
 
+@pytest.mark.parametrize("share", [0.5, 0.02, 0.002])
+def test_katz_pairs_of_rare_words_are_their_own(spark, monkeypatch, share):
+    """Whatever words have numbers, the scores are the same, and a pair of rare words is known as a pair."""
+    r = random.Random(5)
+    often = [prose(k, 1) for k in range(40)]
+    rows = [(i, " ".join([r.choice(often) for _ in range(60)] + ["left right", "hapax%d" % i] + [r.choice(often) for _ in range(9)]))
+            for i in range(40)] + [(100, "left right"), (101, "right left"), (102, "never seen right"), (103, None)]
+    data = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = by_id(katz.document_scores(data))
+    assert plain[100].score > plain[101].score + 1
+    monkeypatch.setattr(katz, "SHARE", share)
+    for i, x in by_id(katz.document_scores(data)).items():
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (plain[i].n_tokens, plain[i].n_known, plain[i].train_tokens)
+        assert x.base_score == pytest.approx(plain[i].base_score) and x.score == pytest.approx(plain[i].score), i
+
+
 def test_languages(spark, docs, none):
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language.document_languages(real).join(real.select("doc_id", "lang"), "doc_id").where("held_out").collect()
