@@ -2,7 +2,8 @@
 
 A text is cut at spaces where the tokenizer's own pre-tokenisation always cuts, so the ids of the
 pieces in a row are the ids of the text. The pieces which a worker has not met are encoded by the
-library many at a time, with a mark between them. Known pieces are kept in two generations of bounded
+library many at a time: where each begins with its space they follow each other as in a text, and the
+bytes that the ids stand for say where one ends; else a mark stands between them. Known pieces are kept in two generations of bounded
 size: when the younger one is full the older one is forgotten, but for what has been met since.
 """
 
@@ -33,11 +34,13 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True   # their strings in a text are ordinary text
         self.spaced = spaced
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.mark = (" " if spaced else "") + MARK
-        self.mark_ids = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_ids = [] if spaced else self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.chars = 0
+        if spaced:                                    # a character of a byte-level token is a byte
+            tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+            self.width = np.array([len(tokens.get(i, "")) for i in range(max(tokens) + 1)])
 
     @staticmethod
     def of(path: str, spaced: bool) -> Encoder:
@@ -51,26 +54,42 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         lead = " " if self.spaced else ""
-        between = self.mark if self.spaced else f" {self.mark} "
-        plain = [p for p in pieces if MARK not in p and len(p) < 1000]
+        if self.spaced:                               # white space at a piece's end would run on into the next one
+            plain = [p for p in pieces if p and len(p) < 1000 and not p[-1].isspace()]
+        else:
+            plain = [p for p in pieces if MARK not in p and len(p) < 1000]
         groups = [plain[at:at + AT_ONCE] for at in range(0, len(plain), AT_ONCE)]
-        texts = [between.join([lead + p for p in g]) for g in groups]
+        texts = [lead + lead.join(g) if self.spaced else f" {MARK} ".join(g) for g in groups]
         for at in range(0, len(texts), 16):
             found = self.tokenizer.encode_batch_fast(texts[at:at + 16], add_special_tokens=False)
-            for group, e in zip(groups[at:at + 16], found, strict=True):
+            for group, text, e in zip(groups[at:at + 16], texts[at:at + 16], found, strict=True):
                 ids = np.array(e.ids, self.dtype)
-                ends = np.append(np.flatnonzero(ids == self.mark_ids[-1]) - (len(self.mark_ids) - 1), len(ids))
-                if len(ends) != len(group):
+                bounds = self._by_bytes(group, text, ids) if self.spaced else self._by_marks(group, ids)
+                if bounds is None:
                     self.known.update(zip(group, self._direct([lead + p for p in group]), strict=True))
                     continue
-                starts = np.concatenate([[0], ends[:-1] + len(self.mark_ids)])
                 body, wide = ids.tobytes(), self.dtype.itemsize
-                self.known.update(zip(group, [body[s:e] for s, e in zip(starts * wide, ends * wide)], strict=True))
-        rest = [p for p in pieces if MARK in p or len(p) >= 1000]
-        if rest:
+                self.known.update(zip(group, [body[s:e] for s, e in zip(*[(x * wide).tolist() for x in bounds])], strict=True))
+        if len(plain) < len(pieces):
+            rest = list(set(pieces).difference(plain))
             self.known.update(zip(rest, self._direct([lead + p for p in rest]), strict=True))
         self.chars += sum(map(len, pieces))
 
+    def _by_bytes(self, group: list[str], text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Where each piece of a text begins and ends in its ids; None if that can't be told."""
+        to = np.cumsum([len(p) + 1 for p in group] if text.isascii() else [len(p.encode()) + 1 for p in group])
+        have = np.cumsum(self.width[ids])
+        ends = np.searchsorted(have, to) + 1
+        if ends[-1] != len(ids) or (have[ends - 1] != to).any():
+            return None
+        return np.append(0, ends[:-1]), ends
+
+    def _by_marks(self, group: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        ends = np.append(np.flatnonzero(ids == self.mark_ids[-1]) - (len(self.mark_ids) - 1), len(ids))
+        if len(ends) != len(group):
+            return None
+        return np.concatenate([[0], ends[:-1] + len(self.mark_ids)]), ends
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of the encoder's `dtype`; null: none."""
         cut, heads = [], []

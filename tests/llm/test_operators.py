@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from spanmeter.llm import (byte_bpe, cleaning, huffman, katz, language, minhash, multi_index, near, packing,
-                           passages, toxicity, words)
+                           passages, tokens, toxicity, words)
 
 SYL = ["ka", "lo", "mi", "ra", "tu", "ne", "so", "vi", "pe", "da"]
 
@@ -309,8 +309,7 @@ def test_katz_against_dictionaries(docs, none):
     assert katz.document_scores(none).collect() == []
 
 
-@pytest.mark.parametrize("share", [0.5, 0.02, 0.002])
-def test_katz_pairs_of_rare_words_are_their_own(spark, monkeypatch, share):
+def test_katz_pairs_of_rare_words_are_their_own(spark, monkeypatch):
     """Whatever words have numbers, the scores are the same, and a pair of rare words is known as a pair."""
     r = random.Random(5)
     often = [prose(k, 1) for k in range(40)]
@@ -319,10 +318,29 @@ def test_katz_pairs_of_rare_words_are_their_own(spark, monkeypatch, share):
     data = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     plain = by_id(katz.document_scores(data))
     assert plain[100].score > plain[101].score + 1
-    monkeypatch.setattr(katz, "SHARE", share)
-    for i, x in by_id(katz.document_scores(data)).items():
-        assert (x.n_tokens, x.n_known, x.train_tokens) == (plain[i].n_tokens, plain[i].n_known, plain[i].train_tokens)
-        assert x.base_score == pytest.approx(plain[i].base_score) and x.score == pytest.approx(plain[i].score), i
+    for share in (0.5, 0.01):
+        monkeypatch.setattr(katz, "SHARE", share)
+        for i, x in by_id(katz.document_scores(data)).items():
+            assert (x.n_tokens, x.n_known, x.train_tokens) == (plain[i].n_tokens, plain[i].n_known, plain[i].train_tokens)
+            assert x.base_score == pytest.approx(plain[i].base_score) and x.score == pytest.approx(plain[i].score), i
+
+
+def test_byte_level_pieces_are_encoded_without_marks(monkeypatch):
+    r = random.Random(8)
+    odd = ["".join(r.choice("abTé's 19.,\n\t\u00a0\u3000\u0301日\x01\x1f  ") for _ in range(40)) for _ in range(300)]
+    texts = [t for _, t in TEXTS] + [prose(20, 900), " a  b ", "x" * 2000, "<|endoftext|> Ġa"] + odd
+    encoder = tokens.Encoder(P.path("byte_bpe_50k.json"), True)
+    given, library = [], encoder.tokenizer
+
+    class Watched:
+        def encode_batch_fast(self, batch, **more):
+            given.extend(batch)
+            return library.encode_batch_fast(batch, **more)
+
+    encoder.tokenizer = Watched()
+    for t, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids == np.array(library.encode(t or "", add_special_tokens=False).ids, encoder.dtype).tobytes(), t
+    assert sum(t.count(tokens.MARK) for t in given) <= sum((t or "").count(tokens.MARK) for t in texts)
 
 
 def test_languages(spark, docs, none):
