@@ -14,7 +14,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from .tokens import WHITE
 
 BLOCK_CHARS = 4_000_000
-_DOUBTFUL = re.compile(f"[{WHITE}] ")
+_DOUBTFUL = re.compile(f" (?<=[{WHITE}] )")     # begins with a fixed character, so that the search skips to it
 _SURE = re.compile(f"(?<=[^{WHITE}]) ")
+# Latin letters in every Unicode version.
+_LETTERS = re.compile("[A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u017f]+")
 _LOADED: dict[str, tuple] = {}
 
 STREAM = "block long, doc_ids array<long>, sizes array<long>, groups binary, low binary, high binary"
@@ -56,6 +60,8 @@ class _Block:
 
     def __init__(self, pattern: str):
         self.pattern = regex.compile(pattern)
+        # Whether a space and letters after it are one pre-token; a pattern of another kind cuts all pieces.
+        self.spaced = pattern == public_tokenizers.PATTERN
         self.number: dict[str, int] = {}
         self.known: dict[str, bytes] = {}
         self.mark = hashlib.blake2b(digest_size=8)
@@ -63,17 +69,25 @@ class _Block:
 
     def _numbers(self, piece: str) -> bytes:
         n = self.number
-        return np.array([n.setdefault(w, len(n)) for w in self.pattern.findall(piece)], np.uint32).tobytes()
+        return array("I", [n.setdefault(w, len(n)) for w in self.pattern.findall(piece)]).tobytes()
 
     def add(self, i: int | None, text: str) -> None:
         # A pre-token never reaches over a space that follows a character which is no space.
         parts = _SURE.split(text) if _DOUBTFUL.search(text) else text.split(" ")
-        known, out = self.known, [self._numbers(parts[0])]
-        for p in parts[1:]:
-            found = known.get(p)
-            if found is None:
-                found = known[p] = self._numbers(" " + p)
-            out.append(found)
+        known, number = self.known, self.number
+        out = [self._numbers(parts[0]), *map(known.get, parts[1:])]
+        if None in out:
+            letters = _LETTERS.fullmatch
+            for k, p in enumerate(parts[1:], 1):
+                if out[k] is None:
+                    found = known.get(p)               # the same text may have it twice
+                    if found is None:
+                        if self.spaced and letters(p):
+                            found = number.setdefault(" " + p, len(number)).to_bytes(4, sys.byteorder)
+                        else:
+                            found = self._numbers(" " + p)
+                        known[p] = found
+                    out[k] = found
         body = b"".join(out)
         self.mark.update(f"{i} {len(body)} {zlib.crc32(body)}|".encode())
         self.ids.append(i)
