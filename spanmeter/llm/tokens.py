@@ -3,29 +3,64 @@
 A text is cut at spaces where the tokenizer's own pre-tokenisation always cuts, so the ids of the
 pieces in a row are the ids of the text. The pieces which a worker has not met are encoded by the
 library many at a time: where each begins with its space they follow each other as in a text, and the
-bytes that the ids stand for say where one ends; else a mark stands between them. Known pieces are kept in two generations of bounded
-size: when the younger one is full the older one is forgotten, but for what has been met since.
+bytes that the ids stand for say where one ends; else a mark stands between them. Where the tokenizer normalises, pieces
+of Latin letters, digits and punctuation are cut by its own pattern here, and the library's model gets each different
+word once, in the form which the model reads. Known pieces are kept in two generations of bounded size: when the
+younger one is full the older one is forgotten, but for what has been met since.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
-from tokenizers import Tokenizer
+import regex
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 # Unicode white space, the characters with the property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _DOUBTFUL = re.compile(f" (?<=[{WHITE}] )")     # begins with a fixed character, so that the search skips to it
 _SURE = re.compile(f"(?<=[^{WHITE}]) ")
 MARK = "\x01"
+# Characters which are their own NFC in any row, have one lower-case character each, and are of the same
+# kind in every Unicode version; the last one of a piece is no white space.
+_PLAIN = re.compile("[!-~\t\n\r\xa1-\u012f\u0131-\u017f\u2013\u2014\u2018-\u201f\u2026]*"
+                    "[!-~\xa1-\u012f\u0131-\u017f\u2013\u2014\u2018-\u201f\u2026]")
+_BETWEEN = "\x02"             # pieces; no plain one has it
+_NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 REMEMBERED = 800_000         # pieces of a generation
 REMEMBERED_CHARS = 32_000_000
+REMEMBERED_WORDS = 300_000
 AT_ONCE = 512                # pieces in one call's text
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
+def _byte_characters() -> str:
+    """The character which stands for each byte in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
+
+
+_BYTES = _byte_characters()
+
+
+def _own_pattern(path: str) -> str | None:
+    """The pattern by which a tokenizer cuts what it has put into NFC and lower case; None for other kinds."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    steps = (found["pre_tokenizer"] or {}).get("pretokenizers") or []
+    if (found["model"]["type"] == "BPE" and not found["post_processor"]
+            and (found["normalizer"] or {}).get("normalizers") == _NORMAL
+            and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+            and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and "Regex" in steps[0]["pattern"]
+            and not steps[1]["use_regex"] and not steps[1]["add_prefix_space"]):
+        return steps[0]["pattern"]["Regex"]
+    return None
+
+
 class Encoder:
     """`spaced`: the tokenizer keeps a space with the word after it (byte-level BPE); otherwise it drops them."""
 
@@ -37,10 +72,20 @@ class Encoder:
         self.mark_ids = [] if spaced else self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.chars = 0
-        if spaced:                                    # a character of a byte-level token is a byte
-            tokens = {i: t for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-            self.width = np.array([len(tokens.get(i, "")) for i in range(max(tokens) + 1)])
+        # A character of a byte-level token is a byte.
+        tokens = {i: t.removesuffix("</w>") for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
+        self.width = np.array([len(tokens.get(i, "")) for i in range(max(tokens) + 1)])
+        own = None if spaced else _own_pattern(path)
+        self.pattern = None
+        if own is not None:
+            # No row of signs goes over what stands between pieces.
+            self.pattern = regex.compile(_BETWEEN + "|" + own.replace(r"[^\s\p{L}\p{N}]", rf"[^\s\p{{L}}\p{{N}}{_BETWEEN}]"))
+            self.model = Tokenizer.from_file(path)
+            self.model.encode_special_tokens = True
+            self.model.normalizer = normalizers.Sequence([])
+            self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
 
     @staticmethod
     def of(path: str, spaced: bool) -> Encoder:
@@ -53,6 +98,57 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def _learn(self, pieces: list[str]) -> None:
+        if self.pattern is None:
+            self._learn_texts(pieces)
+        else:
+            plain = list(filter(_PLAIN.fullmatch, pieces))
+            if plain:
+                self.known.update(zip(plain, self._by_words(plain), strict=True))
+            if len(plain) < len(pieces):
+                self._learn_texts(list(set(pieces).difference(plain)))
+        self.chars += sum(map(len, pieces))
+
+    def _by_words(self, pieces: list[str]) -> list[bytes]:
+        """The ids of plain pieces, from those of the words in them."""
+        cut = self.pattern.findall(_BETWEEN.join(pieces).lower())
+        cut.append(_BETWEEN)
+        if len(self.words) > REMEMBERED_WORDS:
+            self.words = {}
+        words = self.words
+        words[_BETWEEN] = _BETWEEN.encode() * self.dtype.itemsize
+        new = list(set(cut).difference(words))
+        form = _BETWEEN.join(new).encode().decode("latin-1").translate(_BYTES).split(_BYTES[2]) if new else []
+        for at in range(0, len(new), AT_ONCE):
+            group = form[at:at + AT_ONCE]
+            e = self.model.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0]
+            ids = np.array(e.ids, self.dtype)
+            bounds = self._ends(np.cumsum(list(map(len, group))), ids)
+            if bounds is None:
+                raise RuntimeError("the ids do not stand for the words")
+            words.update(zip(new[at:at + AT_ONCE], self._slices(ids, bounds), strict=True))
+        bodies = list(map(words.__getitem__, cut))
+        # Numbers of a word's ids; the last word of a piece is what stands after it.
+        sizes = np.cumsum(np.fromiter(map(len, bodies), np.int64, len(bodies)))
+        ends = np.flatnonzero(np.fromiter(map(_BETWEEN.__eq__, cut), bool, len(cut)))
+        if len(ends) != len(pieces):
+            raise RuntimeError("the pieces do not end where they are marked")
+        to = sizes[ends]
+        body = b"".join(bodies)
+        return [body[s:e] for s, e in zip([0, *to[:-1].tolist()], (to - len(words[_BETWEEN])).tolist(), strict=True)]
+
+    def _slices(self, ids: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> list[bytes]:
+        body, wide = ids.tobytes(), self.dtype.itemsize
+        return [body[s:e] for s, e in zip(*[(x * wide).tolist() for x in bounds], strict=True)]
+
+    def _ends(self, to: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Where what ends at the bytes `to` begins and ends in the ids; None if that can't be told."""
+        have = np.cumsum(self.width[ids])
+        ends = np.searchsorted(have, to) + 1
+        if ends[-1] != len(ids) or (have[ends - 1] != to).any():
+            return None
+        return np.append(0, ends[:-1]), ends
+
+    def _learn_texts(self, pieces: list[str]) -> None:
         lead = " " if self.spaced else ""
         if self.spaced:                               # white space at a piece's end would run on into the next one
             plain = [p for p in pieces if p and len(p) < 1000 and not p[-1].isspace()]
@@ -68,21 +164,14 @@ class Encoder:
                 if bounds is None:
                     self.known.update(zip(group, self._direct([lead + p for p in group]), strict=True))
                     continue
-                body, wide = ids.tobytes(), self.dtype.itemsize
-                self.known.update(zip(group, [body[s:e] for s, e in zip(*[(x * wide).tolist() for x in bounds])], strict=True))
+                self.known.update(zip(group, self._slices(ids, bounds), strict=True))
         if len(plain) < len(pieces):
             rest = list(set(pieces).difference(plain))
             self.known.update(zip(rest, self._direct([lead + p for p in rest]), strict=True))
-        self.chars += sum(map(len, pieces))
 
     def _by_bytes(self, group: list[str], text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         """Where each piece of a text begins and ends in its ids; None if that can't be told."""
-        to = np.cumsum([len(p) + 1 for p in group] if text.isascii() else [len(p.encode()) + 1 for p in group])
-        have = np.cumsum(self.width[ids])
-        ends = np.searchsorted(have, to) + 1
-        if ends[-1] != len(ids) or (have[ends - 1] != to).any():
-            return None
-        return np.append(0, ends[:-1]), ends
+        return self._ends(np.cumsum([len(p) + 1 for p in group] if text.isascii() else [len(p.encode()) + 1 for p in group]), ids)
 
     def _by_marks(self, group: list[str], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
         ends = np.append(np.flatnonzero(ids == self.mark_ids[-1]) - (len(self.mark_ids) - 1), len(ids))

@@ -6,7 +6,7 @@ import pyarrow as pa
 import public_tokenizers as P
 import regex
 
-from spanmeter.llm import byte_bpe
+from spanmeter.llm import byte_bpe, tokens
 
 SIGNS = "aZé×÷ßİ'stred 1９²\n\t  \x85\xa0.,!–中ſşŉ\x1c\x02<|>_ªº"
 
@@ -26,3 +26,13 @@ def test_letters_after_a_space_need_no_pattern(monkeypatch):
     words = list(block.number)
     for text, body in zip(texts, block.parts, strict=True):
         assert [words[k] for k in memoryview(body).cast("I")] == regex.findall(P.PATTERN, text)
+
+
+def test_words_of_new_pieces_are_encoded_once(monkeypatch):
+    encoder = tokens.Encoder(P.path("word_bpe_49k.json"), False)
+    texts = ["Größere größere, (größere) it's\nGRÖSSERE", None, *_odd(2000)]
+    assert encoder.encode(texts) == encoder._direct([t or "" for t in texts])
+    # Pieces that are new but have only known words are not encoded again.
+    monkeypatch.setattr(encoder, "model", None)
+    monkeypatch.setattr(encoder, "tokenizer", None)
+    assert len(encoder.encode(["größere.GRÖSSERE"])) == 1
