@@ -6,15 +6,19 @@ library many at a time: where each begins with its space they follow each other
 bytes that the ids stand for say where one ends; else a mark stands between them. Where the tokenizer normalises, pieces
 of Latin letters, digits and punctuation are cut by its own pattern here, and the library's model gets each different
 word once, in the form which the model reads. Known pieces are kept in two generations of bounded size: when the
-younger one is full the older one is forgotten, but for what has been met since.
+younger one is full the older one is forgotten, but for what has been met since. A worker that waits for work
+forgets all.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import threading
+import time
 
 import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
@@ -33,6 +37,7 @@ REMEMBERED = 800_000         # pieces of a generation
 REMEMBERED_CHARS = 32_000_000
 REMEMBERED_WORDS = 300_000
 AT_ONCE = 512                # pieces in one call's text
+IDLE_SECONDS = 4.0
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
@@ -61,6 +66,17 @@ def _own_pattern(path: str) -> str | None:
     return None
 
 
+def _forgetting() -> None:
+    """Lets go of what the encoders know once none has been used for a while."""
+    while True:
+        time.sleep(IDLE_SECONDS / 4)
+        for e in list(_ENCODERS.values()):
+            with e.lock:
+                if e.known and time.monotonic() - e.used > IDLE_SECONDS:
+                    e.forget()
+                    pa.default_memory_pool().release_unused()
+
+
 class Encoder:
     """`spaced`: the tokenizer keeps a space with the word after it (byte-level BPE); otherwise it drops them."""
 
@@ -74,6 +90,7 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.chars = 0
+        self.lock, self.used = threading.Lock(), time.monotonic()
         # A character of a byte-level token is a byte.
         tokens = {i: t.removesuffix("</w>") for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.width = np.array([len(tokens.get(i, "")) for i in range(max(tokens) + 1)])
@@ -90,9 +107,14 @@ class Encoder:
     @staticmethod
     def of(path: str, spaced: bool) -> Encoder:
         if (path, spaced) not in _ENCODERS:
+            if not _ENCODERS:
+                threading.Thread(target=_forgetting, daemon=True).start()
             _ENCODERS[path, spaced] = Encoder(path, spaced)
         return _ENCODERS[path, spaced]
 
+    def forget(self) -> None:
+        self.known, self.older, self.words, self.chars = {}, {}, {}, 0
+
     def _direct(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
@@ -181,6 +203,12 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian integers of the encoder's `dtype`; null: none."""
+        with self.lock:
+            found = self._encode(texts)
+            self.used = time.monotonic()
+        return found
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
         cut, heads = [], []
         for t in texts:
             t = t or ""

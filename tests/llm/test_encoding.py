@@ -1,6 +1,7 @@
 """Cutting and encoding of new pieces, without Spark."""
 
 import random
+import time
 
 import pyarrow as pa
 import public_tokenizers as P
@@ -36,3 +37,15 @@ def test_words_of_new_pieces_are_encoded_once(monkeypatch):
     monkeypatch.setattr(encoder, "model", None)
     monkeypatch.setattr(encoder, "tokenizer", None)
     assert len(encoder.encode(["größere.GRÖSSERE"])) == 1
+
+
+def test_an_encoder_that_waits_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "IDLE_SECONDS", 0.2)
+    monkeypatch.setattr(tokens, "_ENCODERS", {})
+    encoder = tokens.Encoder.of(P.path("byte_bpe_50k.json"), True)
+    first = encoder.encode(["some words of a text"])
+    end = time.monotonic() + 20
+    while encoder.known and time.monotonic() < end:
+        time.sleep(0.1)
+    assert not encoder.known
+    assert encoder.encode(["some words of a text"]) == first
