@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import settle, settle_alone
 from .near import links
 from .words import _LOWER, _powers, hash_spans, mix, shingle_sets, signatures, slices, utf8, word_spans, words
 
@@ -189,8 +189,6 @@ def repeats(rows: DataFrame) -> DataFrame:
     units = settle(rows.mapInArrow(_units, UNITS))
     place = F.struct("i", "at")
     groups = units.where("kind = 0").groupBy("h").agg(F.count("*").alias("f"), F.min(place).alias("first"))
-    paragraphs = settle(rows.mapInArrow(_banded, "id long, n long, keys array<long>").groupBy("id")
-                        .agg(F.max("n").alias("n"), F.first("keys").alias("keys")))
 
     def contents(ids: DataFrame) -> DataFrame:
         # Only the documents which have one of the paragraphs are cut again.
@@ -199,7 +197,12 @@ def repeats(rows: DataFrame) -> DataFrame:
         return (rows.join(wanted, "i", "left_semi").mapInArrow(_contents, "id long, items array<long>")
                 .join(ids, "id", "left_semi").groupBy("id").agg(F.first("items").alias("items")))
 
-    near = links(paragraphs, 1, contents, crowd=CROWD)
+    def linked() -> DataFrame:
+        paragraphs = settle(rows.mapInArrow(_banded, "id long, n long, keys array<long>").groupBy("id")
+                            .agg(F.max("n").alias("n"), F.first("keys").alias("keys")))
+        return links(paragraphs, 1, contents, crowd=CROWD)
+
+    near = settle_alone(rows.sparkSession, linked)
     named = (groups.join(near.withColumnRenamed("id", "h"), "h", "left")
              .select("h", "f", "first", F.coalesce("component", "h").alias("cluster")))
     several = named.groupBy("cluster").agg(F.sum("f").alias("members"), F.min("first").alias("kept")).where("members > 1")
@@ -276,14 +279,17 @@ def _extended(rows: DataFrame, runs: DataFrame) -> DataFrame:
     while True:
         asked = (left.select("i", "p", "d").union(left.selectExpr("first_i", "q", "d")).distinct()
                  .groupBy("i").agg(F.collect_list(F.struct("p", "d")).alias("asked")))
-        # Rows with the same id are one document: one of them is compared.
-        near = settle(rows.join(asked, "i").select("i", "t", "asked").mapInArrow(_beside(step), "i long, p int, d int, w array<long>")
-                      .groupBy("i", "p", "d").agg(F.min("w").alias("w")))
-        there = near.selectExpr("i first_i", "p q", "d", "w v")
-        unlike = F.array_position(F.zip_with("w", "v", lambda a, b: a == b), F.lit(False))
-        equal = F.when(unlike > 0, unlike - 1).otherwise(F.least(F.size("w"), F.size("v"))).cast("int")
-        part = settle(left.join(near, ["i", "p", "d"]).join(there, ["first_i", "q", "d"])
-                      .select("i", "first_i", "d", "p", "q", equal.alias("k")).where("k > 0"))
+
+        def equal_words() -> DataFrame:
+            # Rows with the same id are one document: one of them is compared.
+            near = settle(rows.join(asked, "i").select("i", "t", "asked").mapInArrow(_beside(step), "i long, p int, d int, w array<long>")
+                          .groupBy("i", "p", "d").agg(F.min("w").alias("w")))
+            there = near.selectExpr("i first_i", "p q", "d", "w v")
+            unlike = F.array_position(F.zip_with("w", "v", lambda a, b: a == b), F.lit(False))
+            equal = F.when(unlike > 0, unlike - 1).otherwise(F.least(F.size("w"), F.size("v"))).cast("int")
+            return (left.join(near, ["i", "p", "d"]).join(there, ["first_i", "q", "d"])
+                    .select("i", "first_i", "d", "p", "q", equal.alias("k")).where("k > 0"))
+        part = settle_alone(rows.sparkSession, equal_words)
         back = F.when(F.col("d") < 0, F.col("k")).otherwise(0)
         more = part.select("i", F.lit(1).alias("kind"), (F.col("p") - back).alias("at"), F.col("k").alias("n"),
                            F.array().cast("array<long>").alias("clusters"), "first_i", (F.col("q") - back).alias("first_at"))
@@ -369,7 +375,7 @@ def _spans(t: pa.Table) -> pa.RecordBatch:
 def removals(rows: DataFrame) -> DataFrame:
     """(i, spans, clusters, firsts) of the documents that lose words: disjoint ascending spans of words
     [from, upto), the clusters of what is removed and the documents which keep them."""
-    runs = settle(_by_document(repeats(rows), _runs, RUNS))
+    runs = settle_alone(rows.sparkSession, lambda: _by_document(repeats(rows), _runs, RUNS))
     return _by_document(runs.union(_extended(rows, runs)), _spans, "i long, spans array<array<int>>, clusters array<long>, firsts array<long>")
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import ContextVar
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,11 +48,30 @@ def settle(df: DataFrame) -> DataFrame:
     true size is known to the optimizer, and it outlives any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanmeter-{uuid.uuid4().hex}"
+    path = f"{_FOLDER.get() or shared_dir(spark)}/spanmeter-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("folder of the tables which `settle` writes", default=None)
+
+
+def settle_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """Settles what `make` gives, and gives up the tables that were settled on the way to it.
+
+    Nothing else may read those tables. They lie in one folder, which an empty table then overwrites.
+    """
+    folder = f"{_FOLDER.get() or shared_dir(spark)}/spanmeter-{uuid.uuid4().hex}"
+    outside = _FOLDER.set(folder)
+    try:
+        made = make()
+    finally:
+        _FOLDER.reset(outside)
+    made = settle(made)
+    spark.range(0).write.mode("overwrite").parquet(folder)
+    return made
+
+
 T = TypeVar("T")
 
 

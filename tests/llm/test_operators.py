@@ -4,12 +4,14 @@ import base64
 import collections
 import hashlib
 import math
+import pathlib
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -152,6 +154,16 @@ def test_a_passage_goes_to_its_last_word(spark):
     assert got[10].spans == [[8, 43]] and got[10].kept_in == [10]
 
 
+def test_passages_give_up_what_they_wrote_on_the_way(docs, spark):
+    """Once the runs of repeated words are known, nothing keeps the table of all units on disk."""
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.rglob("*.parquet"))
+    assert sum(r.n_spans for r in passages.document_passages(docs).collect()) > 0
+    left = [pq.read_schema(f).names for f in set(shared.rglob("*.parquet")) - before]
+    assert not [x for x in left if "h" in x or "keys" in x or "w" in x]
+    assert [x for x in left if "clusters" in x]
+
+
 def test_near_copies_in_short_lines(spark):
     """Hard-wrapped paragraphs are compared as paragraphs, however they are wrapped."""
     w = prose(41, 120).split()
