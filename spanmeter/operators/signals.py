@@ -47,6 +47,7 @@ class SessionTables:
     allowed: Sequence[str] = field(default_factory=tuple)
     prefix: str = ss.PREFIX
     config_name: str = ss.TOOL + ".yml"
+    balance: DataFrame | None = None        # marker balance per file; None: made from the calls
 
     def __post_init__(self):
         if self.invoked is None:
@@ -123,7 +124,7 @@ def rounds_over_max(t: SessionTables, limit: int = 3) -> DataFrame:
 
 
 def _balance(t: SessionTables) -> DataFrame:
-    return ss.marker_balance(t.calls, t.prefix, t.allowed)
+    return ss.marker_balance(t.calls, t.prefix, t.allowed) if t.balance is None else t.balance
 
 
 def instrumentation_prefix(t: SessionTables) -> DataFrame:
@@ -392,6 +393,7 @@ SIGNALS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (
     context_hogs)}
 # What the tool's own calls alone can answer, and which tables the other rules need.
 FROM_CALLS_ALONE = {"doctor_first", "tool_failures", "retries", "help_lookups", "long_gaps"}
+BALANCED = {"instrumentation_prefix", "edits_outside_allowed", "cleanup_balance"}
 NEEDS = {"entry_fumbling": "turns", "agent_prompt_gaps": "subagents",
          "conclusion_shape": "subagents"}
 
@@ -401,6 +403,11 @@ def run_signals(t: SessionTables, names: Sequence[str] | None = None) -> DataFra
     without the tool calls it needs gives `skip` for that session."""
     # Every rule reads the calls, and half of them the invocations.
     t = replace(t, calls=settle(t.calls), invoked=settle(t.invoked))
+    if len(BALANCED.intersection(names or SIGNALS)) > 1:
+        try:
+            t = replace(t, balance=settle(_balance(t)))
+        except PySparkException:
+            pass                            # the rules say so themselves
     everyone = t.calls.select("session_id").distinct()
     out = None
     for name in names or SIGNALS:

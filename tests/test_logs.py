@@ -175,6 +175,16 @@ def test_transcripts_to_signals(spark, tmp_path):
     assert "temporary instrumentation added" in labels
 
 
+def test_rules_over_the_markers_share_one_balance(spark, tmp_path, monkeypatch):
+    made, balance = [], ss.marker_balance
+    monkeypatch.setattr(ss, "marker_balance", lambda *a: made.append(a) or balance(*a))
+    t = sg.SessionTables(ss.calls(load_transcripts(spark, transcript(tmp_path))), allowed=["src"])
+    got = {r.signal: (r.severity, r.rows) for r in sg.run_signals(t, sorted(sg.BALANCED)).collect()}
+    assert len(made) == 1
+    alone = {r.signal: (r.severity, r.rows) for x in sorted(sg.BALANCED) for r in sg.SIGNALS[x](t).collect()}
+    assert got == alone and got["cleanup_balance"] == ("warn", 1)
+
+
 def test_missing_tables_are_skipped_not_ok(spark, tmp_path):
     c = ss.calls(load_transcripts(spark, transcript(tmp_path)))
     bare = spark.createDataFrame([("s1", False)], "session_id string, tools boolean")
