@@ -39,6 +39,43 @@ def test_words_of_new_pieces_are_encoded_once(monkeypatch):
     assert len(encoder.encode(["größere.GRÖSSERE"])) == 1
 
 
+def test_byte_level_words_of_new_pieces_are_encoded_once(monkeypatch):
+    encoder = tokens.Encoder(P.path("byte_bpe_50k.json"), True)
+    texts = ["x Größere größere, (größere) it's\nGRÖSSERE it's, <|endoftext|> end", None, *_odd(2000)]
+    assert encoder.encode(texts) == encoder._direct([t or "" for t in texts])
+    # Pieces that are new but have only known words are not encoded again; the first of a text is.
+    whole = encoder._direct(["x größere,\nGRÖSSERE"])
+    monkeypatch.setattr(encoder, "model", None)
+    monkeypatch.setattr(encoder, "_learn_texts", None)
+    assert encoder.encode(["x größere,\nGRÖSSERE"]) == whole
+
+
+def test_a_piece_is_looked_up_once_for_all_texts_at_hand():
+    class Counting(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return dict.get(self, *key)
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        encoder = tokens.Encoder(P.path(name), spaced)
+        encoder.known.number = Counting(encoder.known.number)
+        texts = ["one two two one two"] * 50
+        assert encoder.encode(texts) == encoder._direct(texts)
+        assert encoder.known.number.asked == 2
+
+
+def test_pieces_of_the_older_generation_are_taken_over(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    for name, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        encoder = tokens.Encoder(P.path(name), spaced)
+        texts = _odd(400)
+        found = [x for at in range(0, 400, 20) for x in encoder.encode(texts[at:at + 20])]
+        assert found == encoder._direct(texts)
+        assert len(encoder.older) > 50
+        assert encoder.encode(texts[-30:]) == found[-30:]
+
+
 def test_an_encoder_that_waits_forgets(monkeypatch):
     monkeypatch.setattr(tokens, "IDLE_SECONDS", 0.2)
     monkeypatch.setattr(tokens, "_ENCODERS", {})
