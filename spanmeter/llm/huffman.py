@@ -25,6 +25,7 @@ from .tokens import Encoder
 MAX_BITS = 18            # of a code; 32 - 7 at most, so that any code lies in four bytes
 STRIDE = 512             # ids between checkpoints
 BLOCK_IDS = 1 << 16
+READ_IDS = 1 << 19       # ids decoded at once, one block at least
 END_ID = 2
 
 BLOCKS = ("part int, block int, before long, n long, doc_ids array<long>, sizes array<long>, marks array<long>, "
@@ -72,11 +73,12 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def look_up(lengths: np.ndarray, most: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """For every value of the next `most` bits: the id that they begin with, and its length."""
-    codes = canonical(lengths)
-    ids, sizes = np.zeros(1 << most, np.uint32), np.zeros(1 << most, np.int64)
-    for i in np.flatnonzero(lengths):
-        at, width = int(codes[i]) << (most - int(lengths[i])), 1 << (most - int(lengths[i]))
-        ids[at:at + width], sizes[at:at + width] = i, lengths[i]
+    # Codes ascend by length, then by id, without a gap.
+    by = np.lexsort((np.arange(len(lengths)), lengths))
+    by = by[lengths[by] > 0]
+    wide = 1 << (most - lengths[by])
+    ids, sizes = np.zeros(1 << most, np.uint32), np.zeros(1 << most, np.uint8)
+    ids[:wide.sum()], sizes[:wide.sum()] = np.repeat(by, wide), np.repeat(lengths[by], wide)
     return ids, sizes
 
 
@@ -103,7 +105,7 @@ def to_bits(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray, lengths: np.n
 
 
 def from_bits(bits: bytes, sizes: np.ndarray, marks: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The ids of a block; every checkpoint is decoded as a lane of its own."""
+    """The ids of a block, or of several in a row; every checkpoint is decoded as a lane of its own."""
     raw = np.frombuffer(bits + bytes(8), np.uint8).astype(np.uint32)
     four = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
     lanes = (sizes + STRIDE - 1) // STRIDE
@@ -194,8 +196,8 @@ def write_ids(tokens: DataFrame, vocabulary: int, path: str) -> None:
             yield flush()
 
     (tokens.mapInArrow(encode, "part int, i long, n long, bits binary, marks binary")
-     # By range, so that the files follow each other in the order of the ids.
-     .repartitionByRange(parts, "part").sortWithinPartitions("part", "i")
+     # A partition for each part, so that the files follow each other in the order of the ids.
+     .repartitionById(parts, F.col("part")).sortWithinPartitions("part", "i")
      .mapInArrow(assemble, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks"))
 
 
@@ -211,15 +213,25 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = look_up(lengths)
-        for b in batches:
-            for part, before, docs, sizes, marks, bits in zip(
-                    *[b.column(c) for c in ("part", "before", "doc_ids", "sizes", "marks", "bits")], strict=True):
-                sizes = sizes.values.to_numpy()
-                ids = from_bits(bits.as_py(), sizes, marks.values.to_numpy(), table)
-                at = _bounds(sizes)
+        for whole in batches:
+            upto, at = np.cumsum(whole.column("n").to_numpy()), 0
+            while at < whole.num_rows:
+                most = READ_IDS + (int(upto[at - 1]) if at else 0)
+                n = max(int(np.searchsorted(upto, most, "right")) - at, 1)
+                b, at = whole.slice(at, n), at + n
+                bits = b.column("bits").to_pylist()
+                marks = b.column("marks")
+                shift = 8 * np.repeat(_bounds(list(map(len, bits)))[:-1], np.diff(marks.offsets.to_numpy()))
+                sizes = b.column("sizes").flatten().to_numpy()
+                ids = from_bits(b"".join(bits), sizes, marks.flatten().to_numpy() + shift, table)
+                to = _bounds(sizes)
+                # The ids before each block, in the corpus and here.
+                before = np.array([firsts[p] for p in b.column("part").to_pylist()], np.int64) + b.column("before").to_numpy()
+                before -= _bounds(b.column("n").to_numpy())[:-1]
+                docs = b.column("doc_ids")
                 yield pa.RecordBatch.from_arrays(
-                    [docs.values, pa.array(at[:-1] + (firsts[part.as_py()] + before.as_py())), pa.array(sizes),
-                     pa.array([ids[s:e].tobytes() for s, e in zip(at[:-1], at[1:])], pa.binary())],
+                    [docs.flatten(), pa.array(to[:-1] + np.repeat(before, np.diff(docs.offsets.to_numpy()))), pa.array(sizes),
+                     pa.array([ids[s:e].tobytes() for s, e in zip(to[:-1], to[1:])], pa.binary())],
                     ["doc_id", "start", "n_tokens", "ids"])
 
     return blocks.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")

@@ -1,13 +1,16 @@
-"""Cutting and encoding of new pieces, without Spark."""
+"""Cutting and encoding of new pieces, and ids in files of several blocks."""
 
 import random
 import time
+import zlib
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers as P
 import regex
+from pyspark.sql import DataFrame
 
-from spanmeter.llm import byte_bpe, tokens
+from spanmeter.llm import byte_bpe, huffman, tokens
 
 SIGNS = "aZé×÷ßİ'stred 1９²\n\t  \x85\xa0.,!–中ſşŉ\x1c\x02<|>_ªº"
 
@@ -86,3 +89,35 @@ def test_an_encoder_that_waits_forgets(monkeypatch):
         time.sleep(0.1)
     assert not encoder.known
     assert encoder.encode(["some words of a text"]) == first
+
+
+def test_documents_are_coded_in_one_pass_and_read_in_several_blocks(spark, monkeypatch):
+    def ranged(*_):
+        raise AssertionError("a partitioning by range draws its sample from a pass of its own over what it deals out")
+    monkeypatch.setattr(DataFrame, "repartitionByRange", ranged)
+    draw = random.Random(6)
+    texts = [" ".join(draw.choice(["one", "two,", "größere", "IT'S", "9"]) for _ in range(draw.randint(0, 2000))) for _ in range(400)]
+    ids = list(range(-200, 200))
+    draw.shuffle(ids)
+    rows = spark.createDataFrame([*zip(ids, texts), (7_000, None)], "doc_id long, text string")
+    found = {r.doc_id: r for r in huffman.coded_documents(rows).collect()}
+    encoder, start = tokens.Encoder(P.path("word_bpe_49k.json"), False), 0
+    for i, body in sorted(zip([*ids, 7_000], encoder._direct([*texts, ""]), strict=True)):
+        want = np.append(np.frombuffer(body, encoder.dtype), huffman.END_ID).astype("<u4")
+        assert (found[i].start, found[i].n_tokens, found[i].ids_crc32) == (start, len(want), zlib.crc32(want.tobytes()))
+        start += len(want)
+    assert len(found) == 401 and start > 4 * huffman.BLOCK_IDS
+
+
+def test_blocks_in_a_row_are_decoded_at_once():
+    draw = np.random.default_rng(3)
+    lengths = huffman.code_lengths(np.bincount(draw.geometric(0.02, 50_000), minlength=900))
+    used = np.flatnonzero(lengths)
+    first, second = (huffman.to_bits(x, np.array([700, 0, 300]), huffman.canonical(lengths), lengths) + (x,)
+                     for x in (draw.choice(used, 1000), draw.choice(used, 1000)))
+    shifts = 8 * huffman._bounds([len(b) for b in [*first[0], *second[0]]])[:-1]
+    marks = np.concatenate([m + s for m, s in zip([*first[1], *second[1]], shifts, strict=True)])
+    table = huffman.look_up(lengths)
+    got = huffman.from_bits(b"".join([*first[0], *second[0]]), np.array([700, 0, 300] * 2), marks, table)
+    assert (got == np.concatenate([first[2], second[2]])).all()
+    assert table[1].dtype == np.uint8
