@@ -138,8 +138,9 @@ def write_ids(tokens: DataFrame, vocabulary: int, path: str) -> None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for b in batches:
-            for x in b.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=vocabulary)
+            for at in range(0, b.num_rows, 500):
+                ids = np.frombuffer(b"".join(b.column(0).slice(at, 500).to_pylist()), kind)
+                total += np.bincount(ids, minlength=vocabulary)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "c"])
 
